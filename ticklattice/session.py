@@ -20,6 +20,7 @@ def build_session(app: str = "ticklattice", cores: str = "*", shuffle_partitions
         .config("spark.sql.streaming.stateStore.providerClass",
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if SparkSession.getActiveSession() is None:
         builder = builder.master(f"local[{cores}]").config("spark.driver.memory", "8g")
