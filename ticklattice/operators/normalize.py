@@ -29,13 +29,21 @@ def _number_levels(c: Column) -> Column:
     return F.transform(c, lambda x: F.struct(number_text(x["price"]).alias("price"), number_text(x["qty"]).alias("qty")))
 
 
+def typed(data: Column, types: dict[str, str]) -> dict[str, Column]:
+    """The entries of a map of texts by name, each as its type; null where absent or of another type."""
+    out = {}
+    for name, kind in types.items():
+        raw = F.try_element_at(data, F.lit(name))
+        out[name] = F.from_json(raw, kind) if kind.startswith("ARRAY") else raw.try_cast(kind)
+    return out
+
+
 def binance_ws_trades(log: DataFrame) -> DataFrame:
     """Trade stream messages in ``payload``; the buyer being the maker means a sell. The order type is not sent: 0."""
-    d = F.from_json("payload", sc.BINANCE_WS_TRADE)["data"]
-    return log.select("symbol", d.alias("d")).select(
-        F.lit("binance").alias("platform"), "symbol", F.col("d.t").alias("platform_trade_id"),
-        F.col("d.T").alias("time_ms"), F.col("d.p").alias("price"), F.col("d.q").alias("quantity"),
-        _int(F.col("d.m")).alias("side"), F.lit(0).alias("order_type"), _no_misc(),
+    d = typed(F.from_json("payload", sc.BINANCE_WS_TRADE)["data"], sc.BINANCE_WS_TRADE_TYPES)
+    return log.select(
+        F.lit("binance").alias("platform"), "symbol", d["t"].alias("platform_trade_id"), d["T"].alias("time_ms"),
+        d["p"].alias("price"), d["q"].alias("quantity"), _int(d["m"]).alias("side"), F.lit(0).alias("order_type"), _no_misc(),
     )
 
 
@@ -91,7 +99,7 @@ def binance_snapshots(log: DataFrame) -> DataFrame:
 
 def binance_diffs(log: DataFrame) -> DataFrame:
     """Depth update messages, stamped with their event time."""
-    d = F.from_json("payload", sc.BINANCE_WS_DIFF)["data"]
+    d = typed(F.from_json("payload", sc.BINANCE_WS_DIFF)["data"], sc.BINANCE_WS_DIFF_TYPES)
     return log.select(
         F.lit("binance").alias("platform"), "symbol", "id", F.lit("update").alias("type"), d["E"].alias("time_ms"),
         _pairs(d["b"]).alias("bids"), _pairs(d["a"]).alias("asks"),
@@ -140,8 +148,8 @@ def stream_type(payload: Column, exchange: str) -> Column:
 
 # What each stream must hold to be valid: its schema and the fields that may not be missing.
 _CHECKS: dict[tuple[str, str], tuple[str, list[str]]] = {
-    ("binance", "trade"): (sc.BINANCE_WS_TRADE, ["stream"] + [f"data.{f}" for f in ("e", "E", "s", "t", "p", "q", "T", "m", "M")]),
-    ("binance", "diff_depth"): (sc.BINANCE_WS_DIFF, ["stream"] + [f"data.{f}" for f in ("e", "E", "s", "U", "u", "b", "a")]),
+    ("binance", "trade"): (sc.BINANCE_WS_TRADE, ["stream", "data"]),
+    ("binance", "diff_depth"): (sc.BINANCE_WS_DIFF, ["stream", "data"]),
     ("binance", "partial_depth"): (sc.BINANCE_WS_PARTIAL, ["stream", "data.lastUpdateId", "data.bids", "data.asks"]),
     ("binance", "ack"): (sc.BINANCE_ACK, ["id"]),
     ("kraken", "trade"): (sc.KRAKEN_WS_TRADE, ["channel", "type", "data"]),
@@ -152,6 +160,7 @@ _CHECKS: dict[tuple[str, str], tuple[str, list[str]]] = {
     ("kraken", "heartbeat"): (sc.KRAKEN_WS_CHANNEL, ["channel"]),
     ("kraken", "status"): (sc.KRAKEN_WS_CHANNEL, ["channel", "type", "data"]),
 }
+_MAP_TYPES = {"trade": sc.BINANCE_WS_TRADE_TYPES, "diff_depth": sc.BINANCE_WS_DIFF_TYPES}
 _ITEM_FIELDS = {
     "trade": ["symbol", "side", "price", "qty", "ord_type", "trade_id", "timestamp"],
     "book": ["symbol", "bids", "asks", "checksum"],
@@ -174,10 +183,15 @@ def validation_error(payload: Column, exchange: str) -> Column:
             for step in path.split("."):
                 field = field[step]
             gaps = gaps | field.isNull()
+        wrong = body["_bad"].isNotNull()
+        if exchange == "binance" and stream in _MAP_TYPES:
+            for name, value in typed(body["data"], _MAP_TYPES[stream]).items():
+                raw = F.try_element_at(body["data"], F.lit(name))
+                gaps, wrong = gaps | raw.isNull(), wrong | (raw.isNotNull() & value.isNull())
         if exchange == "kraken" and stream in _ITEM_FIELDS:
             gaps = gaps | F.exists(
                 body["data"], lambda x, s=stream: F.greatest(*[x[f].isNull().cast("int") for f in _ITEM_FIELDS[s]], F.lit(0)) == 1)
-        bad = bad.when((kind == stream) & body["_bad"].isNotNull(), "wrong type").when((kind == stream) & gaps, "missing field")
+        bad = bad.when((kind == stream) & wrong, "wrong type").when((kind == stream) & gaps, "missing field")
     return bad
 
 
@@ -200,7 +214,8 @@ def split_by_symbol(messages: DataFrame) -> DataFrame:
 
 def group_in_order(df: DataFrame, key: str, position: str, value: str, out: str = "values") -> DataFrame:
     """The values of each key as a list in order of position, for keys that hold few rows each."""
-    return df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(position, value))), lambda x: x[value]).alias(out))
+    return df.groupBy(key).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct(F.col(position).alias("at"), F.col(value).alias("value")))), lambda x: x["value"]).alias(out))
 
 
 def skip_processed(log: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ticklattice.functions.scale import lag_one, running
@@ -183,45 +184,70 @@ def order_windows(ticks: DataFrame, size_ms: int, *, close: str = "inside", slic
 
     Each tick weighs the time since the previous tick of its window (since the window's start for the first), at least
     1. ``close='inside'`` takes the closing best prices from the last tick of the window, ``'next'`` from the first
-    tick after it. Ticks of one window are cut into time slices (64 per window unless given) so a busy one is shared.
+    tick after it.
+
+    A window is summed in two steps: per time slice (64 per window unless given), leaving out each slice's first tick,
+    whose weight and changes need the slice before; then over the slices, where those first ticks are added. The ticks
+    are read once and a busy window is shared by many tasks.
     """
     cut = slice_ticks_ms or max(1, size_ms // 64)
+    group = [*KEYS, "window_start_ms"]
+    both = (F.col("tot_b") != 0) & (F.col("tot_a") != 0)
+    weighed = {  # what each weighted sum adds per unit of weight; null adds nothing
+        "sw": F.lit(1.0), "sw_mid": F.col("mid"), "sw_micro": F.col("micro"), "sw_spread": F.col("spread"),
+        "n_w": F.when(F.col("mid").isNotNull(), 1.0), "sw_bid": F.when(both, F.col("tot_b")),
+        "sw_ask": F.when(both, F.col("tot_a")),
+        "sw_imb": F.when(both, F.try_divide(F.col("tot_b") - F.col("tot_a"), F.col("tot_b") + F.col("tot_a"))),
+        "sw_bid_best_sz": F.col("bq0"), "sw_ask_best_sz": F.col("aq0"),
+    }
+    changes = {"n_mid_up": ("mid", 1), "n_mid_down": ("mid", -1), "n_spread_widen": ("spread", 1), "n_spread_tighten": ("spread", -1)}
+
+    def weight(now: Column, before: Column) -> Column:
+        return F.when(now > before, now - before).otherwise(1).cast("double")
+
+    def moved(now: Column, before: Column, sign: int) -> Column:
+        return F.coalesce(((now - before) * sign > 0).cast("long"), F.lit(0))
+
+    in_slice = W.partitionBy(*group, "_slice").orderBy("id")
     rows = with_prices(ticks).withColumn("window_size_ms", F.lit(size_ms).cast("long")).withColumn(
         "window_start_ms", window_start("time_ms", size_ms)).withColumn("_slice", F.floor(F.col("time_ms") / cut))
-    group = [*KEYS, "window_start_ms"]
-    rows = lag_one(rows, group, ["id"], {"prev_t": "time_ms", "prev_mid": "mid", "prev_spread": "spread"})
+    # Mids are centred on one mid of their slice before squaring, so the variance does not cancel.
+    rows = rows.select(
+        "*", *[x.alias(f"x_{n}") for n, x in weighed.items()], F.min("mid").over(W.partitionBy(*group, "_slice")).alias("ref"),
+        *[F.lag(c).over(in_slice).alias(f"prev_{c}") for c in ("time_ms", "mid", "spread")],
+    ).withColumn("w", F.when(F.col("prev_time_ms").isNotNull(), weight(F.col("time_ms"), F.col("prev_time_ms"))))
+    dev = F.col("mid") - F.col("ref")
+    quote = F.struct("time_ms", "mid", "spread", "bb", "ba", "bq0", "aq0", *[f"x_{n}" for n in weighed])
+    parts = rows.groupBy(*group, "_slice").agg(
+        *[F.sum(F.col("w") * F.col(f"x_{n}")).alias(n) for n in weighed],
+        F.sum(F.col("w") * dev).alias("d1"), F.sum(F.col("w") * dev * dev).alias("d2"), F.min("ref").alias("ref"),
+        F.count("*").alias("n_updates"), F.min("spread").alias("spread_min"), F.max("spread").alias("spread_max"),
+        *[F.sum(moved(F.col(c), F.col(f"prev_{c}"), sign)).alias(n) for n, (c, sign) in changes.items()],
+        F.min_by(quote, "id").alias("head"), F.max_by(quote, "id").alias("tail"),
+    )
 
-    since = F.coalesce("prev_t", "window_start_ms")
-    dt = F.greatest(F.col("time_ms") - since, F.lit(0))
-    w = F.when(dt == 0, 1).otherwise(dt).cast("double")
-    both = (F.col("tot_b") != 0) & (F.col("tot_a") != 0)
-    rows = rows.withColumns({
-        "since": since, "w": w, "both": both,
-        "imb": F.when(both, F.try_divide(F.col("tot_b") - F.col("tot_a"), F.col("tot_b") + F.col("tot_a"))),
-        # Mids are centred near their level before squaring, so the variance does not cancel.
-        "ref": F.col("bb"),
+    across = W.partitionBy(*group).orderBy("_slice")
+    parts = parts.withColumn("back", F.lag("tail").over(across)).withColumn(
+        "base", F.min("ref").over(W.partitionBy(*group))
+    ).withColumn("since", F.coalesce(F.col("back.time_ms"), F.col("window_start_ms")))
+    wf = weight(F.col("head.time_ms"), F.col("since"))
+    or_zero = lambda c: F.coalesce(c, F.lit(0.0))
+    dev_f, shift = F.col("head.mid") - F.col("ref"), F.col("ref") - F.col("base")
+    parts = parts.withColumns({
+        **{n: or_zero(F.col(n)) + or_zero(wf * F.col(f"head.x_{n}")) for n in weighed},
+        "d1": or_zero(F.col("d1")) + or_zero(wf * dev_f), "d2": or_zero(F.col("d2")) + or_zero(wf * dev_f * dev_f),
+        **{n: F.col(n) + moved(F.col(f"head.{c}"), F.col(f"back.{c}"), sign) for n, (c, sign) in changes.items()},
     })
-    zero = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
-    weighed = lambda name: zero(F.col("w") * F.col(name))
-    count = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
-    last = F.struct("mid", "spread", "bb", "ba", "bq0", "aq0")
-    refs = rows.groupBy(*group).agg(F.min("mid").alias("ref0"))
-    rows = rows.drop("ref").join(refs, group).withColumn("dev", F.col("mid") - F.col("ref0"))
-    out = rows.groupBy(*group).agg(
-        F.sum("w").alias("sw"), weighed("mid").alias("sw_mid"), weighed("micro").alias("sw_micro"),
-        F.coalesce(F.min("spread"), F.lit(float("inf"))).alias("spread_min"),
-        F.coalesce(F.max("spread"), F.lit(float("-inf"))).alias("spread_max"),
-        weighed("spread").alias("sw_spread"),
-        zero(F.when(F.col("mid").isNotNull(), F.col("w"))).alias("n_w"),
-        F.first("ref0").alias("ref0"), weighed("dev").alias("d1"), zero(F.col("w") * F.col("dev") * F.col("dev")).alias("d2"),
-        zero(F.when(F.col("both"), F.col("w") * F.col("tot_b"))).alias("sw_bid"),
-        zero(F.when(F.col("both"), F.col("w") * F.col("tot_a"))).alias("sw_ask"), weighed("imb").alias("sw_imb"),
-        weighed("bq0").alias("sw_bid_best_sz"), weighed("aq0").alias("sw_ask_best_sz"), F.count("*").alias("n_updates"),
-        count(F.col("mid") > F.col("prev_mid")).alias("n_mid_up"), count(F.col("mid") < F.col("prev_mid")).alias("n_mid_down"),
-        count(F.col("spread") > F.col("prev_spread")).alias("n_spread_widen"),
-        count(F.col("spread") < F.col("prev_spread")).alias("n_spread_tighten"),
-        F.min_by("since", "id").alias("t_first"), F.max_by("time_ms", "id").alias("t_last"),
-        F.max_by(last, F.col("id")).alias("last"), F.min_by(last, F.col("id")).alias("first"),
+    out = parts.groupBy(*group).agg(
+        *[F.sum(n).alias(n) for n in weighed],
+        F.sum(F.col("d1") + or_zero(F.col("n_w") * shift)).alias("d1"),
+        F.sum(F.col("d2") + or_zero(2 * shift * F.col("d1") + F.col("n_w") * shift * shift)).alias("d2"),
+        F.min("base").alias("base"), F.sum("n_updates").alias("n_updates"),
+        F.coalesce(F.min("spread_min"), F.lit(float("inf"))).alias("spread_min"),
+        F.coalesce(F.max("spread_max"), F.lit(float("-inf"))).alias("spread_max"),
+        *[F.sum(n).alias(n) for n in changes],
+        F.min_by("since", "_slice").alias("t_first"), F.max("tail.time_ms").alias("t_last"),
+        F.max_by("tail", "_slice").alias("last"), F.min_by("head", "_slice").alias("first"),
     )
     if close == "next":
         sliced = out.withColumn("_o", -F.col("window_start_ms")).withColumn("_slice", F.floor(F.col("_o") / (size_ms * 4096)))
@@ -236,7 +262,7 @@ def order_windows(ticks: DataFrame, size_ms: int, *, close: str = "inside", slic
     open_quote = F.col("last.mid").isNull() | F.col("last.spread").isNull()
     return out.withColumns({
         "window_end_ms": F.col("window_start_ms") + F.col("window_size_ms"),
-        "mean_mid": F.when(n_w > 0, F.col("ref0") + mean_dev).otherwise(0.0),
+        "mean_mid": F.when(n_w > 0, F.col("base") + mean_dev).otherwise(0.0),
         "M2_mid": F.when(n_w > 0, F.greatest(F.col("d2") - n_w * mean_dev * mean_dev, F.lit(0.0))).otherwise(0.0),
         "close_mid": F.when(open_quote & sane, (ba + bb) * 0.5).otherwise(F.col("last.mid")),
         "close_spread": F.when(open_quote & sane, ba - bb).otherwise(F.col("last.spread")),

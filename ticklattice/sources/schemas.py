@@ -16,10 +16,17 @@ ORDER_BOOKS = f"platform STRING, symbol STRING, id LONG, type STRING, time_ms LO
 
 _PAIRS = "ARRAY<ARRAY<STRING>>"
 
-BINANCE_WS_TRADE = (
-    "stream STRING, data STRUCT<e: STRING, E: LONG, s: STRING, t: LONG, p: STRING, q: STRING, T: LONG, m: BOOLEAN, M: BOOLEAN>"
-)
-BINANCE_WS_DIFF = f"stream STRING, data STRUCT<e: STRING, E: LONG, s: STRING, U: LONG, u: LONG, b: {_PAIRS}, a: {_PAIRS}>"
+# Two Binance streams use field names that differ only in case (t and T, e and E), which Spark's struct fields do not
+# tell apart, so their data is read as a map and typed by name.
+BINANCE_WS_TRADE = "stream STRING, data MAP<STRING, STRING>"
+BINANCE_WS_TRADE_TYPES = {
+    "e": "string", "E": "bigint", "s": "string", "t": "bigint", "p": "string", "q": "string", "T": "bigint",
+    "m": "boolean", "M": "boolean",
+}
+BINANCE_WS_DIFF = "stream STRING, data MAP<STRING, STRING>"
+BINANCE_WS_DIFF_TYPES = {
+    "e": "string", "E": "bigint", "s": "string", "U": "bigint", "u": "bigint", "b": _PAIRS, "a": _PAIRS,
+}
 BINANCE_WS_PARTIAL = f"stream STRING, data STRUCT<lastUpdateId: LONG, bids: {_PAIRS}, asks: {_PAIRS}>"
 BINANCE_REST_TRADES = (
     "request STRUCT<query: STRUCT<symbol: STRING, fromId: LONG, limit: INT>>, "
