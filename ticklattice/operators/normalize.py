@@ -169,36 +169,44 @@ _ITEM_FIELDS = {
 }
 
 
-def validation_error(payload: Column, exchange: str) -> Column:
-    """Why a message is not valid, null if it is: not JSON, unknown stream, a wrong type or a missing field."""
-    kind = stream_type(payload, exchange)
-    bad = F.when(F.try_parse_json(payload).isNull(), "not json").when(kind.isNull(), "unknown stream")
-    for (where, stream), (schema, required) in _CHECKS.items():
-        if where != exchange:
-            continue
-        body = F.from_json(payload, schema + ", _bad STRING", {"columnNameOfCorruptRecord": "_bad"})
-        gaps = F.lit(False)
+def _lacks(fields: list[str]):
+    return lambda item: F.greatest(*[item[f].isNull().cast("int") for f in fields]) == 1
+
+
+def with_errors(log: DataFrame, exchange: str) -> DataFrame:
+    """Add ``stream_type`` and ``error``: why a message is not valid, null if it is.
+
+    A message may not be JSON, be of no known stream, have a field of a wrong type or lack one. Each message is routed
+    once and then parsed once, by the schema of its stream.
+    """
+    kind, checks = F.col("stream_type"), {s: c for (e, s), c in _CHECKS.items() if e == exchange}
+    routed = log.withColumn("stream_type", stream_type(F.col("payload"), exchange))
+    parsed = routed.select("*", *[
+        F.when(kind == s, F.from_json("payload", schema + ", _bad STRING", {"columnNameOfCorruptRecord": "_bad"})).alias(f"_b_{s}")
+        for s, (schema, _) in checks.items()
+    ])
+    error = F.when(kind.isNull(), F.when(F.try_parse_json("payload").isNull(), "not json").otherwise("unknown stream"))
+    for stream, (_, required) in checks.items():
+        body = F.col(f"_b_{stream}")
+        wrong, gaps = body["_bad"].isNotNull(), F.lit(False)
         for path in required:
             field = body
             for step in path.split("."):
                 field = field[step]
             gaps = gaps | field.isNull()
-        wrong = body["_bad"].isNotNull()
         if exchange == "binance" and stream in _MAP_TYPES:
             for name, value in typed(body["data"], _MAP_TYPES[stream]).items():
                 raw = F.try_element_at(body["data"], F.lit(name))
                 gaps, wrong = gaps | raw.isNull(), wrong | (raw.isNotNull() & value.isNull())
         if exchange == "kraken" and stream in _ITEM_FIELDS:
-            gaps = gaps | F.exists(
-                body["data"], lambda x, s=stream: F.greatest(*[x[f].isNull().cast("int") for f in _ITEM_FIELDS[s]], F.lit(0)) == 1)
-        bad = bad.when((kind == stream) & wrong, "wrong type").when((kind == stream) & gaps, "missing field")
-    return bad
+            gaps = gaps | F.exists(body["data"], _lacks(_ITEM_FIELDS[stream]))
+        error = error.when((kind == stream) & wrong, "wrong type").when((kind == stream) & gaps, "missing field")
+    return parsed.select(*log.columns, "stream_type", error.alias("error"))
 
 
 def validate(log: DataFrame, exchange: str) -> tuple[DataFrame, DataFrame]:
     """Good messages with their ``stream_type``, and the quarantine with its ``error``."""
-    checked = log.withColumn("stream_type", stream_type(F.col("payload"), exchange)).withColumn(
-        "error", validation_error(F.col("payload"), exchange))
+    checked = with_errors(log, exchange)
     return checked.where(F.col("error").isNull()).drop("error"), checked.where(F.col("error").isNotNull())
 
 

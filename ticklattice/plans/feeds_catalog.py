@@ -424,12 +424,8 @@ SELECT platform, id, CASE WHEN platform = 'binance' THEN CASE WHEN event_type =
   WHEN event_type = 'signup' THEN 'not json' WHEN event_type = 'click' THEN 'missing field' END AS error FROM log""")
 def _p14(spark, sf):
     m = _mixed_messages(spark, sf)
-    out = None
-    for exchange in ("binance", "kraken"):
-        good, bad = nz.validate(m.where(F.col("platform") == exchange), exchange)
-        both = good.select("platform", "id", F.lit(None).cast("string").alias("error")).unionByName(bad.select("platform", "id", "error"))
-        out = both if out is None else out.unionByName(both)
-    return out
+    checked = [nz.with_errors(m.where(F.col("platform") == e), e) for e in ("binance", "kraken")]
+    return checked[0].unionByName(checked[1]).select("platform", "id", "error")
 
 
 @query("split_by_symbol", cte(TRADES) + """
