@@ -5,7 +5,9 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,19 +35,22 @@ ORDER_FEATURES = [
 
 
 class Ladder:
-    """One side of a book: sizes by price, prices in ascending order, running totals."""
+    """One side of a book: sizes by price in ascending order and running totals.
 
-    def __init__(self, best_is_high: bool, saved: list | None = None, depth: int = 0):
-        self.best_is_high, self.depth = best_is_high, depth
-        self.load([(Decimal(p), Decimal(q)) for p, q in saved or []])
+    Prices are positions in ``prices``, the sorted exact prices of the chunk, so they compare and hash as small integers.
+    """
+
+    def __init__(self, best_is_high: bool, prices: list[Decimal], levels=(), depth: int = 0):
+        self.best_is_high, self.prices, self.depth = best_is_high, prices, depth
+        self.load(levels)
 
     def load(self, levels) -> None:
         self.sizes = {p: q for p, q in levels if q != 0}
         self.ladder = sorted(self.sizes)
         self.qty = sum(self.sizes.values(), Decimal(0))
-        self.notional = sum((p * q for p, q in self.sizes.items()), Decimal(0))
+        self.notional = sum((self.prices[p] * q for p, q in self.sizes.items()), Decimal(0))
 
-    def change(self, price: Decimal, size: Decimal) -> None:
+    def change(self, price: int, size: Decimal) -> None:
         before = self.sizes.pop(price, None)
         if before is not None and size == 0:
             del self.ladder[bisect_left(self.ladder, price)]
@@ -55,18 +60,23 @@ class Ladder:
             self.sizes[price] = size
         moved = size - (before or 0)
         self.qty += moved
-        self.notional += price * moved
+        self.notional += self.prices[price] * moved
 
     def trim(self) -> None:
         """Drop the worst prices beyond the snapshot's depth; a side that began empty has no limit."""
         while self.depth and len(self.ladder) > self.depth:
             self.change(self.ladder[0 if self.best_is_high else -1], Decimal(0))
 
-    def best(self):
-        return self.ladder[-1 if self.best_is_high else 0] if self.ladder else None
+    def top(self) -> tuple:
+        """Best price and size, total size, notional and number of levels."""
+        totals = float(self.qty), float(self.notional), len(self.ladder)
+        if not self.ladder:
+            return None, 0.0, *totals
+        best = self.ladder[-1 if self.best_is_high else 0]
+        return float(self.prices[best]), float(self.sizes[best]), *totals
 
     def save(self) -> list:
-        return [[str(p), str(q)] for p, q in self.sizes.items()]
+        return [[str(self.prices[p]), str(q)] for p, q in self.sizes.items()]
 
 
 class BookFold:
@@ -76,48 +86,52 @@ class BookFold:
         self.limit_depth = limit_depth
 
     def __call__(self, state: dict | None, table: pa.Table):
-        bids = Ladder(True, state and state["bids"], state["bid_depth"] if state else 0)
-        asks = Ladder(False, state and state["asks"], state["ask_depth"] if state else 0)
+        saved = [(state or {}).get(k) or [] for k in ("bids", "asks")]
+        flat = [_flat(table.column(k)) for k in ("bids", "asks")]
+        held = [pa.array([Decimal(p) for p, _ in s], pa.decimal128(38, 18)) for s in saved]
+        prices, codes = _sorted_codes([f[1] for f in flat] + held)
+        books = []
+        for k in (0, 1):
+            levels = zip(codes[2 + k], [Decimal(q) for _, q in saved[k]], strict=True)
+            depth = state["depths"][k] if state else 0
+            books.append((Ladder(k == 0, prices, levels, depth), flat[k][0], codes[k], flat[k][2]))
         live, settled = bool(state and state["live"]), False
-        kinds = table.column("type").to_pylist()
-        sides = [(bids, *_flat(table.column("bids"))), (asks, *_flat(table.column("asks")))]
         ticks: list[tuple] = []
-        for i, kind in enumerate(kinds):
+        for i, kind in enumerate(table.column("type").to_pylist()):
             if kind == "snapshot":
-                for side, at, price, size in sides:
+                for side, at, price, size in books:
                     side.load(list(zip(price[at[i]:at[i + 1]], size[at[i]:at[i + 1]], strict=True)))
                     side.depth = len(side.ladder) if self.limit_depth else 0
                 live = settled = True
             elif live:
-                for side, at, price, size in sides:
+                for side, at, price, size in books:
                     for j in range(at[i], at[i + 1]):
                         side.change(price[j], size[j])
                     side.trim()
             if live:
-                ticks.append((i, *_top(bids), *_top(asks)))
-        after = {"bids": bids.save(), "asks": asks.save(), "bid_depth": bids.depth, "ask_depth": asks.depth, "live": live}
+                ticks.append((i, *books[0][0].top(), *books[1][0].top()))
+        bids, asks = books[0][0], books[1][0]
+        after = {"bids": bids.save(), "asks": asks.save(), "depths": [bids.depth, asks.depth], "live": live}
         return _tick_table(table, ticks), after, settled
 
 
-def _flat(column) -> tuple[list, list, list]:
-    """A list column as (offsets, prices, sizes); a null list counts as empty."""
-    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks)
+def _flat(column) -> tuple[list[int], pa.Array, list[Decimal]]:
+    """A list column as offsets, all prices and all sizes; a null list counts as empty."""
+    lists = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    offsets = [0, *pc.cumulative_sum(pc.fill_null(lists.value_lengths(), 0)).to_pylist()]
     values = lists.flatten()
-    offsets, at = [0], 0
-    for n in lists.value_lengths().to_pylist():
-        at += n or 0
-        offsets.append(at)
-    return offsets, values.field("price").to_pylist(), values.field("qty").to_pylist()
-
-
-def _top(side: Ladder) -> tuple:
-    best = side.best()
-    return (
-        None if best is None else float(best), 0.0 if best is None else float(side.sizes[best]),
-        float(side.qty), float(side.notional), len(side.ladder),
-    )
+    return offsets, values.field("price"), values.field("qty").to_pylist()
+
+
+def _sorted_codes(arrays: list[pa.Array]) -> tuple[list[Decimal], list[list[int]]]:
+    """The distinct prices in order, and each array as positions among them."""
+    encoded = pa.concat_arrays(arrays).dictionary_encode()
+    order = pc.sort_indices(encoded.dictionary).to_numpy()
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    codes = rank[encoded.indices.to_numpy(zero_copy_only=False)] if len(order) else np.empty(0, dtype=np.int64)
+    cuts = np.cumsum([len(a) for a in arrays])[:-1]
+    return encoded.dictionary.take(pa.array(order)).to_pylist(), [c.tolist() for c in np.split(codes, cuts)]
 
 
 def _tick_table(table: pa.Table, ticks: list[tuple]) -> pa.Table:
