@@ -15,12 +15,13 @@ K = "platform, symbol, window_size_ms, window_end_ms"
 
 
 def r(c, n: int = 6):
-    """Rounded, with -0.0 turned into 0.0."""
-    return F.round(c, n) + F.lit(0.0)
+    """Rounded for comparison: -0.0 becomes 0.0, and halves are nudged up by a hundredth of the last digit, so that sums
+    that differ in their last bits round alike."""
+    return F.round(c + F.lit(10.0 ** -(n + 2)), n) + F.lit(0.0)
 
 
 def rs(c: str, n: int = 6) -> str:
-    return f"(round({c}, {n}) + 0.0)"
+    return f"(round({c} + {10.0 ** -(n + 2):.{n + 2}f}::DOUBLE, {n}) + 0.0)"
 
 
 TRADE_WINDOWS = f"""
