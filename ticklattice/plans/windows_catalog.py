@@ -14,14 +14,18 @@ KEYS = [*tw.KEYS, "window_end_ms"]
 K = "platform, symbol, window_size_ms, window_end_ms"
 
 
+def _nudge(n: int) -> float:
+    return 7.318e-3 * 10.0**-n
+
+
 def r(c, n: int = 6):
-    """Rounded for comparison: -0.0 becomes 0.0, and halves are nudged up by a hundredth of the last digit, so that sums
-    that differ in their last bits round alike."""
-    return F.round(c + F.lit(10.0 ** -(n + 2)), n) + F.lit(0.0)
+    """Rounded for comparison: -0.0 becomes 0.0, and values are moved up by under a hundredth of the last digit, so that
+    halves, which sums differing in their last bits would round either way, come out alike."""
+    return F.round(c + F.lit(_nudge(n)), n) + F.lit(0.0)
 
 
 def rs(c: str, n: int = 6) -> str:
-    return f"(round({c} + {10.0 ** -(n + 2):.{n + 2}f}::DOUBLE, {n}) + 0.0)"
+    return f"(round({c} + {_nudge(n)!r}, {n}) + 0.0)"
 
 
 TRADE_WINDOWS = f"""
