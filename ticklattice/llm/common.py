@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,21 +52,6 @@ def text_bytes(column) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-class WordHashes(dict):
-    """Word to 64-bit hash, kept for the words seen so far; emptied when full, so memory stays bounded."""
-
-    LIMIT = 1_000_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray, seed: int) -> np.ndarray:
     """A one-to-one scramble of 64-bit numbers, another one for each seed."""
     x = x ^ np.uint64((seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
@@ -76,23 +60,78 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[bytes], k: int, hashes: WordHashes) -> Iterator[np.ndarray]:
+_CHUNK_BYTES = 4_000_000
+_BASE = 0x9E3779B97F4A7C15
+_LETTERS = mixed(np.arange(1, 257, dtype=np.uint64), 5)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    p = np.full(n, base & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    p[0] = 1
+    return np.multiply.accumulate(p)
+
+
+class WordCutter:
+    """Cuts byte strings at ASCII white space and hashes the words, many texts at a time.
+
+    A word's hash is a polynomial in its bytes' numbers, got from running sums; the factor its place puts on it is taken
+    off again, which works because the base is odd.
+    """
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def cut(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all words, and how many each text has."""
+        buf = np.frombuffer(b" ".join(texts).lower() + b" ", np.uint8)
+        if len(self.up) <= len(buf):
+            self.up, self.down = _powers(_BASE, len(buf) + 1), _powers(pow(_BASE, -1, 1 << 64), len(buf) + 1)
+        space = _SPACE[buf]
+        before = np.concatenate([[True], space[:-1]])
+        starts, ends = np.flatnonzero(before & ~space), np.flatnonzero(~before & space)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[buf] * self.up[: len(buf)], dtype=np.uint64)])
+        hashes = mixed((total[ends] - total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64), 7)
+        edges = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        return hashes, np.diff(np.searchsorted(starts, edges))
+
+
+def chunks(texts: list[bytes], size: int = _CHUNK_BYTES) -> Iterator[list[bytes]]:
+    """The texts in turn, in lists of about ``size`` bytes; a longer text comes alone."""
+    held, n = [], 0
+    for t in texts:
+        if held and n + len(t) > size:
+            yield held
+            held, n = [], 0
+        held.append(t)
+        n += len(t)
+    if held:
+        yield held
+
+
+def shingle_sets(texts: list[bytes], k: int, cutter: WordCutter) -> Iterator[np.ndarray]:
     """For each text its distinct ``k``-word shingles as sorted 64-bit numbers.
 
     Words are cut at ASCII white space of the text in small ASCII letters. A text of fewer words is one shingle of all
     of them; one without words has none.
     """
-    for text in texts:
-        words = text.lower().split()
-        if not words:
-            yield np.empty(0, np.uint64)
-            continue
-        h = hashes.of(words)
-        n, width = len(h), min(k, len(h))
-        s = np.full(n - width + 1, width, np.uint64)
-        for i in range(width):
-            s = mixed(s + h[i : n - width + 1 + i], i + 1)
-        yield np.unique(s)
+    for some in chunks(texts):
+        hashes, counts = cutter.cut(some)
+        wide = np.full(max(0, len(hashes) - k + 1), k, np.uint64)
+        for i in range(k):
+            wide = mixed(wide + hashes[i : len(wide) + i], i + 1)
+        end = 0
+        for n in counts.tolist():
+            start, end = end, end + n
+            if n >= k:
+                yield np.unique(wide[start : end - k + 1])
+            elif n:
+                s = np.full(1, n, np.uint64)
+                for i in range(n):
+                    s = mixed(s + hashes[start + i : start + i + 1], i + 1)
+                yield s
+            else:
+                yield np.empty(0, np.uint64)
 
 
 def components(edges: DataFrame, label: str = "links") -> DataFrame:

@@ -5,15 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ticklattice.llm.common import table
+from ticklattice.llm.decontamination import contamination
 from ticklattice.llm.exact_dedup import exact_duplicates
 from ticklattice.llm.jaccard_join import similar_documents
 from ticklattice.llm.sharding import shards
+from ticklattice.llm.toxicity import severity, train
 
 N_SHARDS = 24
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=10)
+    digest = F.sha2(F.array_join("item_ids", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return severity(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"), shingle=3, percent=90)
 
@@ -27,10 +41,34 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_ngram_jaccard_join, op8_exact_dedup, op10_sharding)
+    f.__name__: f for f in (op1_decontamination, op3_toxicity, op7_ngram_jaccard_join, op8_exact_dedup, op10_sharding)
 }
 
 ORACLES: dict[str, str] = {
+    # Windows of items and of documents as strings; a word is hit when a window that begins at most nine before it occurs.
+    "op1_decontamination": r"""
+        WITH lowered AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        items AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        sized AS (SELECT item_id, w, least(10, len(w)) AS width FROM items WHERE len(w) > 0),
+        grams AS (
+            SELECT DISTINCT item_id, width, array_to_string(w[i:i + width - 1], ' ') AS g
+            FROM (SELECT *, unnest(range(1, len(w) - width + 2)) AS i FROM sized)),
+        widths AS (SELECT DISTINCT width FROM grams),
+        places AS (
+            SELECT doc_id, width, i, array_to_string(w[i:i + width - 1], ' ') AS g
+            FROM (SELECT *, unnest(range(1, len(w) - width + 2)) AS i FROM lowered, widths WHERE len(w) >= width)),
+        found AS (SELECT DISTINCT doc_id, width, i, item_id FROM places JOIN grams USING (width, g)),
+        hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + width)) AS p FROM found) GROUP BY doc_id),
+        owners AS (
+            SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s
+            FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
+        SELECT l.doc_id, len(l.w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(o.n, 0) AS n_items,
+               sha256(coalesce(o.s, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+        FROM lowered l LEFT JOIN hit h USING (doc_id) LEFT JOIN owners o USING (doc_id)""",
     "op8_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
