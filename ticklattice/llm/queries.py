@@ -10,11 +10,24 @@ from pyspark.sql import functions as F
 from ticklattice.llm.common import table
 from ticklattice.llm.decontamination import contamination
 from ticklattice.llm.exact_dedup import exact_duplicates
+from ticklattice.llm.html_extract import extract
 from ticklattice.llm.jaccard_join import similar_documents
+from ticklattice.llm.license_scan import known_digests, license_scan
+from ticklattice.llm.piece_codec import encode, model_bytes
 from ticklattice.llm.sharding import shards
 from ticklattice.llm.toxicity import severity, train
+from ticklattice.llm.url_filter import url_filter, url_parts
 
 N_SHARDS = 24
+#: (verdict, host, path)
+URL_RULES = (
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+)
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +41,24 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return severity(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"), known_digests(spark))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number in a url's path is the document the page shows, whose labels make the url a good or a bad example."""
+    pages = table(spark, sf_dir, "pages")
+    number = F.regexp_extract(url_parts(F.col("url"))[1], r"/(\d{1,18})", 1).try_cast("bigint")
+    bad = (F.max("toxic") == 1) | (F.min("quality") == 0)
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.when(bad, "block").otherwise("allow").alias("verdict"))
+    labelled = pages.select("url", number.alias("doc_id")).join(marks, "doc_id").select("url", "verdict")
+    return url_filter(pages, labelled, URL_RULES)
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"), shingle=3, percent=90)
 
@@ -36,12 +67,29 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokens = encode(docs, model_bytes(TOKENIZER), check_col="decodes_back")
+    return tokens.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "decodes_back")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"), N_SHARDS)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_toxicity, op7_ngram_jaccard_join, op8_exact_dedup, op10_sharding)
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op3_toxicity,
+        op4_html_extraction,
+        op5_license_scans,
+        op6_url_filters,
+        op7_ngram_jaccard_join,
+        op8_exact_dedup,
+        op9_sentencepiece,
+        op10_sharding,
+    )
 }
 
 ORACLES: dict[str, str] = {
