@@ -12,6 +12,7 @@ from ticklattice.llm.decontamination import contamination
 from ticklattice.llm.exact_dedup import exact_duplicates
 from ticklattice.llm.html_extract import extract
 from ticklattice.llm.jaccard_join import similar_documents
+from ticklattice.llm.language_model import score_texts
 from ticklattice.llm.license_scan import known_digests, license_scan
 from ticklattice.llm.piece_codec import encode, model_bytes
 from ticklattice.llm.sharding import shards
@@ -36,6 +37,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), modulus=10)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return severity(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination,
+        op2_lm_scoring,
         op3_toxicity,
         op4_html_extraction,
         op5_license_scans,
