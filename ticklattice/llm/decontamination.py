@@ -19,6 +19,10 @@ from ticklattice.llm.common import WORD_PATTERN, ascii_lower, let, small_side
 from ticklattice.session import stored
 
 
+#: Words before capitals are made small, for counting them.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD_PATTERN), F.lit(0))
 
@@ -111,7 +115,8 @@ def contamination(
     """
     items = stored(benchmark_windows(benchmark, span), "windows")
     texts = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    counts = docs.select(F.col(id_col).alias("doc_id"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
+    n_words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(ANY_CASE))
+    counts = docs.select(F.col(id_col).alias("doc_id"), n_words.cast("long").alias("n_words"))
     got = hits(texts, items.select("window", "width").distinct(), span=span, k=k)
     if got is None:
         none = F.array().cast("array<string>")
