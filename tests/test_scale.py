@@ -15,6 +15,8 @@ from ticklattice.operators import transforms as tf
 from ticklattice.plans.views import WINDOW_MS, book_messages, trades
 from ticklattice.plans.windows_catalog import trade_frames
 from ticklattice.sources import window_store as ws
+from ticklattice.streaming import processors as ps
+from ticklattice.streaming import runner
 
 SF = "/root/testdata/sf0.001"
 
@@ -98,7 +100,7 @@ def brute_force_book(messages):
     return out
 
 
-@pytest.mark.parametrize("args", [{}, {"group_messages": 1}, {"group_messages": 1, "chunk_messages": 7}, {"group_messages": 40}])
+@pytest.mark.parametrize("args", [{}, {"epochs": 1}, {"slice_ids": 10**12, "epochs": 7}, {"slice_ids": 10**15}])
 def test_book_against_brute_force(spark, args):
     messages = book_messages(spark, SF)
     got = {(r["platform"], r["symbol"], r["id"]): (r["bb"], r["ba"], r["tot_b"], r["tot_a"]) for r in ob.book_ticks(messages, **args).collect()}
@@ -113,6 +115,93 @@ def test_book_against_brute_force(spark, args):
     assert n == len(got)
 
 
+HOUR = 3_600_000
+NUM = "decimal(38,18)"
+MESSAGES = f"platform string, symbol string, id long, type string, time_ms long, bids array<struct<price:{NUM},qty:{NUM}>>, asks array<struct<price:{NUM},qty:{NUM}>>"
+
+
+def quotes(spark, items):
+    """(id, type, time, bids, asks) as messages of one key."""
+    level = lambda levels: [(Decimal(p), Decimal(q)) for p, q in levels]
+    return spark.createDataFrame([("x", "s", i, kind, t, level(b), level(a)) for i, kind, t, b, a in items], MESSAGES)
+
+
+@pytest.mark.parametrize("slice_ids", [1, 2, 65_536])
+def test_messages_are_taken_by_id_across_an_edge_of_an_hour(spark, slice_ids):
+    items = [(1, "snapshot", HOUR + 20, [(5, 1)], [(6, 1)]), (2, "update", HOUR - 5, [(5, 2)], []), (3, "update", HOUR + 50, [], [(6, 3)])]
+    for epochs in (1, 64):
+        ticks = ob.book_ticks(quotes(spark, items), slice_ids=slice_ids, epochs=epochs)
+        assert [r["id"] for r in ticks.orderBy("id").collect()] == [1, 2, 3]
+    row = ob.order_windows(ticks, 2 * HOUR, slice_ids=slice_ids).first()
+    assert (row["n_updates"], row["sw"]) == (3, HOUR + 20 + 1 + 55)
+
+
+@pytest.mark.parametrize("slice_ids", [1, 2, 3, 65_536])
+def test_a_step_back_in_time_weighs_one(spark, slice_ids):
+    items = [(n, "update" if n else "snapshot", t, [(5, n + 1)], [(6, 1)]) for n, t in enumerate((1000, 3000, 2000, 5000))]
+    assert ob.order_windows(ob.book_ticks(quotes(spark, items)), 6400, slice_ids=slice_ids).first()["sw"] == 1000 + 2000 + 1 + 3000
+
+
+def plain_windows(messages, size):
+    """Windows by the rules, one message after the other: (window end, weight, updates, last time, closing mid)."""
+    book, depth, seen, last, out = ({}, {}), [0, 0], None, None, {}
+    for _, kind, t, *sides in messages:
+        window = t // size
+        if seen is None and kind != "snapshot" or seen is not None and window < seen:
+            continue
+        if window != seen:
+            last = window * size
+        seen = window
+        for n, levels in enumerate(sides):
+            if kind == "snapshot":
+                book[n].clear()
+            for p, q in levels:
+                book[n].pop(p, None)
+                if q:
+                    book[n][p] = q
+            if kind == "snapshot":
+                depth[n] = len(book[n])
+            elif depth[n]:
+                for p in sorted(book[n], reverse=n == 0)[depth[n]:]:
+                    del book[n][p]
+        weight, count, _, _ = out.get(window, (0, 0, None, None))
+        mid = (max(book[0]) + min(book[1])) / 2 if all(book) and max(book[0]) <= min(book[1]) else None
+        out[window] = (weight + max(1, t - last), count + 1, t, mid)
+        last = t
+    return {(w + 1) * size: v for w, v in out.items()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_windows_with_times_that_go_back_and_forth(spark, seed):
+    rng, t, items, size = random.Random(seed), 10 * HOUR, [], 60_000
+    for i in range(400):
+        t += rng.choice((1, 500, 3000, -700, -4000, 20_000, -15_000))
+        levels = lambda base: [(base + rng.randrange(8), rng.randrange(4)) for _ in range(rng.randrange(4))]
+        items.append((3 * i, "snapshot" if rng.random() < 0.05 else "update", t, levels(100), levels(107)))
+    for n, (i, kind, at, b, a) in enumerate(items):  # a price comes once in a message
+        items[n] = (i, kind, at, list(dict(b).items()), list(dict(a).items()))
+    want = plain_windows(items, size)
+    messages = quotes(spark, items)
+    for slice_ids, epochs in ((1, 1), (50, 3), (65_536, 64)):
+        ticks = ob.book_ticks(ob.drop_late(messages, size, slice_ids=slice_ids), slice_ids=slice_ids, epochs=epochs)
+        got = {r["window_end_ms"]: (r["sw"], r["n_updates"], r["t_last"], r["close_mid"]) for r in ob.order_windows(ticks, size, slice_ids=slice_ids).collect()}
+        assert {k: (v[0], v[1]) for k, v in got.items()} == {k: (v[0], v[1]) for k, v in want.items()}
+        assert {k: v[2:] for k, v in got.items()} == {k: v[2:] for k, v in want.items()}
+    halves = [messages.where("id < 600"), messages.where("id >= 600")]
+    streamed = runner.run_in_parts(halves, lambda s: ps.book_tick_stream(s, window_ms=size), "ticks")
+    assert same(streamed, ob.book_ticks(ob.drop_late(messages, size)).select(streamed.columns))
+
+
+def test_a_fold_does_not_depend_on_its_batches(spark):
+    messages = book_messages(spark, SF)
+    whole = ob.book_ticks(messages, slice_ids=10**12).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(whole) == sorted(ob.book_ticks(messages, slice_ids=10**12).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_sequence_chunks_agree(spark):
     rng, last, data = random.Random(5), 0, []
     for i in range(400):
@@ -128,7 +217,7 @@ def test_sequence_chunks_agree(spark):
     whole = rc.merge_snapshots_updates(df, ["symbol"])
     assert whole.count() > 50
     for chunk in (9, 60):
-        assert same(whole, rc.merge_snapshots_updates(df, ["symbol"], chunk_messages=chunk))
+        assert same(whole, rc.merge_snapshots_updates(df, ["symbol"], slice_width=chunk, stretches=chunk // 9))
 
 
 # --- plans ------------------------------------------------------------------------------------------------------------

@@ -74,9 +74,9 @@ EXPECTED_BOOK = {
 }
 
 
-@pytest.mark.parametrize("slice_ms", [1, 1500, 10_000])
-def test_order_window(spark, slice_ms):
-    row = ob.order_windows(ob.book_ticks(book(spark)), 10_000, slice_ticks_ms=slice_ms).first().asDict()
+@pytest.mark.parametrize("slice_ids", [1, 2, 65_536])
+def test_order_window(spark, slice_ids):
+    row = ob.order_windows(ob.book_ticks(book(spark)), 10_000, slice_ids=slice_ids).first().asDict()
     for name, value in EXPECTED_BOOK.items():
         assert row[name] == pytest.approx(value, abs=1e-6), name
 
@@ -135,7 +135,7 @@ SEQUENCE = [("update", P + 697, P + 738), ("update", P + 739, P + 797), ("update
 def test_snapshots_and_updates_as_one_sequence(spark, chunk):
     data = [("s", i, *m) for i, m in enumerate(SEQUENCE)]
     df = spark.createDataFrame(data, "symbol string, arrival long, kind string, first_id long, last_id long")
-    out = rc.merge_snapshots_updates(df, KEYS, chunk_messages=chunk)
+    out = rc.merge_snapshots_updates(df, KEYS, slice_width=chunk, stretches=chunk)
     got = sorted((r["emitted_at"], r["last_id"] - P) for r in out.collect())
     assert got == [(3, 879), (3, 930), (4, 958), (5, 1090), (7, 1098), (8, 1102)]
 

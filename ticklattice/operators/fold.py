@@ -1,92 +1,48 @@
-"""Sequential folds over each key's ordered messages, cut into chunks that run in parallel.
+"""Sequential folds over ordered messages.
 
-Some operators depend on the order of every message of a key (a depth-limited book, a sequence check). A key's messages
-are numbered and cut into chunks of equal size, each chunk is folded by one task, and only the state at a chunk's end
-travels to the next chunk. A chunk whose final state does not depend on what came before (it holds a full snapshot, for
-instance) is settled in the first pass, so its successor can start at once; the rest is settled chunk number by chunk
-number, each message being read once more. Memory per task is bounded by the chunk, whatever a key's share of the data.
+Some operators depend on the order of every message (a depth-limited book, a sequence check). Messages are cut into groups
+that need nothing from each other, such as runs of epochs that begin with a full snapshot. Spark deals the groups out and
+sorts each task's rows; the fold then goes over them a batch at a time with the state in memory, so a task holds one batch
+and one state, however long a group is.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from ticklattice.functions.scale import SLICE, dense_index
-from ticklattice.session import scratch_path
-
-CHUNK_MESSAGES = 65_536
-
-# fold(state or None, messages in order) -> (output rows, state after, does the state hold whatever came before)
-Fold = Callable[[dict | None, pa.Table], tuple[pa.Table, dict, bool]]
-
-
-def chunked_fold(
-    messages: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold, out_schema: StructType | str,
-    *, slice_col: str = SLICE, chunk_messages: int = CHUNK_MESSAGES,
-) -> DataFrame:
-    """Fold each key's messages in ``order`` and return the rows the fold puts out.
-
-    ``messages`` carries ``slice_col``, a column monotone in ``order``, for the numbering (see ``functions.scale``).
-    """
-    keys = list(keys)
-    spark = messages.sparkSession
-    group = [*keys, "_chunk"]
-    order_by = [(c, "ascending") for c in order]
-
-    def ordered(table: pa.Table) -> pa.Table:
-        return table.sort_by(order_by)
-
-    longest = messages.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if longest <= chunk_messages:
-        return messages.groupBy(*keys).applyInArrow(lambda t: fold(None, ordered(t))[0], out_schema)
-
-    path = scratch_path(spark, "fold")
-    numbered = dense_index(messages, keys, order, slice_col=slice_col)
-    numbered.withColumn("_chunk", F.floor(F.col("_idx") / chunk_messages).cast("long")).drop("_idx").write.partitionBy(
-        "_chunk").parquet(f"{path}/messages")
-    chunks = spark.read.parquet(f"{path}/messages").withColumn("_chunk", F.col("_chunk").cast("long"))
-
-    key_fields = StructType([messages.schema[k] for k in keys])
-    state_schema = StructType.fromJson(key_fields.jsonValue()).add("_chunk", "long").add("_state", "string").add("_settled", "boolean")
-
-    def carried(table: pa.Table) -> dict | None:
-        return json.loads(table.column("_state")[0].as_py()) if table.num_rows else None
-
-    def state_row(table: pa.Table, state: dict | None, first_pass: bool) -> pa.Table:
-        _, after, settled = fold(state, ordered(table))
-        number = table.column("_chunk")[0].as_py()
-        row = {k: table.column(k).slice(0, 1).combine_chunks() for k in keys}
-        row["_chunk"] = pa.array([number], pa.int64())
-        row["_state"] = pa.array([json.dumps(after)], pa.string())
-        row["_settled"] = pa.array([settled or not first_pass or number == 0], pa.bool_())
-        return pa.table(row)
-
-    first = chunks.groupBy(*group).applyInArrow(lambda t: state_row(t, None, True), state_schema)
-    first.write.parquet(f"{path}/first")
-    first = spark.read.schema(state_schema).parquet(f"{path}/first")
-    first.where("_settled").write.partitionBy("_chunk").parquet(f"{path}/states")
-
-    def states_at(number: int) -> DataFrame:
-        read = spark.read.schema(state_schema).parquet(f"{path}/states")
-        return read.where(F.col("_chunk") == number)
-
-    # One number per chunk position, not per key: the list is as long as the longest key has chunks.
-    open_numbers = [r[0] for r in first.where("NOT _settled").select("_chunk").distinct().orderBy("_chunk").toLocalIterator()]
-    for number in open_numbers:
-        waiting = first.where((F.col("_chunk") == number) & ~F.col("_settled")).select(*group)
-        rows = chunks.where(F.col("_chunk") == number).join(waiting, group, "left_semi")
-        before = states_at(number - 1).withColumn("_chunk", F.lit(number).cast("long")).join(waiting, group, "left_semi")
-        settled = rows.groupBy(*group).cogroup(before.groupBy(*group)).applyInArrow(
-            lambda t, s: state_row(t, carried(s), False), state_schema)
-        settled.write.mode("append").partitionBy("_chunk").parquet(f"{path}/states")
-
-    before = spark.read.schema(state_schema).parquet(f"{path}/states").withColumn("_chunk", F.col("_chunk") + 1)
-    before = before.join(first.select(*group), group, "left_semi")
-    return chunks.groupBy(*group).cogroup(before.groupBy(*group)).applyInArrow(
-        lambda t, s: fold(carried(s), ordered(t))[0], out_schema)
+# fold(state or None, messages in order) -> (output rows, state after)
+Fold = Callable[[dict | None, pa.Table], tuple[pa.Table, dict]]
+
+
+def ordered_fold(messages: DataFrame, group: Sequence[str], order: Sequence[str], fold: Fold, out_schema: str) -> DataFrame:
+    """Fold each group's messages in ``order``, starting without a state, and return the rows the fold puts out."""
+    group = list(group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, now = None, None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for start, end in _stretches(table, group):
+                part = table.slice(start, end - start)
+                key = tuple(part.column(k)[0].as_py() for k in group)
+                if key != now:
+                    state, now = None, key
+                out, state = fold(state, part)
+                yield from out.to_batches()
+
+    rows = messages.repartition(*group).sortWithinPartitions(*group, *order)
+    return rows.mapInArrow(run, out_schema)
+
+
+def _stretches(table: pa.Table, group: Sequence[str]) -> Iterator[tuple[int, int]]:
+    """From and to of the rows of each group in a sorted table."""
+    new = np.zeros(table.num_rows, bool)
+    for k in group:
+        codes = table.column(k).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    edges = [0, *np.flatnonzero(new).tolist(), table.num_rows]
+    yield from zip(edges[:-1], edges[1:]) if table.num_rows else ()

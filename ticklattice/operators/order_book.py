@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ticklattice.functions.scale import lag_one, running
-from ticklattice.operators.fold import CHUNK_MESSAGES, chunked_fold
+from ticklattice.operators.fold import ordered_fold
 from ticklattice.operators.trade_windows import window_start
 
 KEYS = ["platform", "symbol", "window_size_ms"]
@@ -23,8 +23,8 @@ TICK_SCHEMA = (
     "platform string, symbol string, id long, time_ms long, bb double, ba double, bq0 double, aq0 double, "
     "tot_b double, tot_a double, notional_b double, notional_a double, depth_b int, depth_a int"
 )
-NUMBERING_MS = 3_600_000  # slice of the message clock used to number messages
-GROUP_MESSAGES = 8_192
+SLICE_IDS = 65_536  # width in ids of the slices a key is cut into; messages are in order of id, whatever their times
+EPOCHS = 64  # epochs folded by one group
 
 ORDER_FEATURES = [
     "sw", "sw_mid", "sw_micro", "spread_min", "spread_max", "sw_spread", "n_w", "mean_mid", "M2_mid",
@@ -80,10 +80,13 @@ class Ladder:
 
 
 class BookFold:
-    """The fold for ``chunked_fold``: applies messages in order and puts out one tick per message with a book."""
+    """The fold for ``ordered_fold``: applies messages in order and puts out one tick per message with a book.
 
-    def __init__(self, limit_depth: bool = True):
-        self.limit_depth = limit_depth
+    With ``window_ms`` a message whose window is older than that of an earlier message with a book is ignored.
+    """
+
+    def __init__(self, limit_depth: bool = True, window_ms: int | None = None):
+        self.limit_depth, self.window_ms = limit_depth, window_ms
 
     def __call__(self, state: dict | None, table: pa.Table):
         saved = [(state or {}).get(k) or [] for k in ("bids", "asks")]
@@ -95,14 +98,20 @@ class BookFold:
             levels = zip(codes[2 + k], [Decimal(q) for _, q in saved[k]], strict=True)
             depth = state["depths"][k] if state else 0
             books.append((Ladder(k == 0, prices, levels, depth), flat[k][0], codes[k], flat[k][2]))
-        live, settled = bool(state and state["live"]), False
+        live, seen = bool(state and state["live"]), state["seen"] if state else None
         ticks: list[tuple] = []
+        times = table.column("time_ms").to_pylist() if self.window_ms else None
         for i, kind in enumerate(table.column("type").to_pylist()):
+            if times and (live or kind == "snapshot"):
+                window = times[i] // self.window_ms
+                if seen is not None and window < seen:
+                    continue
+                seen = window
             if kind == "snapshot":
                 for side, at, price, size in books:
                     side.load(list(zip(price[at[i]:at[i + 1]], size[at[i]:at[i + 1]], strict=True)))
                     side.depth = len(side.ladder) if self.limit_depth else 0
-                live = settled = True
+                live = True
             elif live:
                 for side, at, price, size in books:
                     for j in range(at[i], at[i + 1]):
@@ -111,8 +120,8 @@ class BookFold:
             if live:
                 ticks.append((i, *books[0][0].top(), *books[1][0].top()))
         bids, asks = books[0][0], books[1][0]
-        after = {"bids": bids.save(), "asks": asks.save(), "depths": [bids.depth, asks.depth], "live": live}
-        return _tick_table(table, ticks), after, settled
+        after = {"bids": bids.save(), "asks": asks.save(), "depths": [bids.depth, asks.depth], "live": live, "seen": seen}
+        return _tick_table(table, ticks), after
 
 
 def _flat(column) -> tuple[list[int], pa.Array, list[Decimal]]:
@@ -154,44 +163,38 @@ def decimal_levels(c: Column) -> Column:
     return F.transform(c, lambda x: F.struct(exact(x["price"]).alias("price"), exact(x["qty"]).alias("qty")))
 
 
-def snapshot_epochs(messages: DataFrame) -> DataFrame:
-    """Number the stretches between snapshots: ``epoch`` is 0 before a key's first snapshot."""
-    sliced = messages.withColumn("_slice", F.floor(F.col("time_ms") / NUMBERING_MS))
+def _sliced(messages: DataFrame, slice_ids: int) -> DataFrame:
+    return messages.withColumn("_slice", F.floor(F.col("id") / slice_ids))
+
+
+def snapshot_epochs(messages: DataFrame, *, slice_ids: int = SLICE_IDS) -> DataFrame:
+    """Number the stretches between snapshots in order of id: ``epoch`` is 0 before a key's first snapshot."""
     is_snap = F.when(F.col("type") == "snapshot", 1).otherwise(0).cast("long")
-    return running(sliced, BOOK_KEYS, ["id"], {"epoch": ("sum", is_snap)}).drop("_slice")
+    return running(_sliced(messages, slice_ids), BOOK_KEYS, ["id"], {"epoch": ("sum", is_snap)}).drop("_slice")
 
 
-def drop_late(messages: DataFrame, window_ms: int) -> DataFrame:
+def drop_late(messages: DataFrame, window_ms: int, *, slice_ids: int = SLICE_IDS) -> DataFrame:
     """Leave out messages whose window is older than that of an earlier message with a book."""
     first = messages.where(F.col("type") == "snapshot").groupBy(*BOOK_KEYS).agg(F.min("id").alias("_from"))
     live = messages.join(first, BOOK_KEYS).where(F.col("id") >= F.col("_from")).drop("_from")
-    win = window_start("time_ms", window_ms)
-    sliced = live.withColumn("_win", win).withColumn("_slice", F.floor(F.col("id") / 65_536))
-    seen = running(sliced, BOOK_KEYS, ["id"], {"_seen": ("max", F.col("_win"))}, exclusive=True)
+    windows = _sliced(live.withColumn("_win", window_start("time_ms", window_ms)), slice_ids)
+    seen = running(windows, BOOK_KEYS, ["id"], {"_seen": ("max", F.col("_win"))}, exclusive=True)
     return seen.where(F.col("_seen").isNull() | (F.col("_win") >= F.col("_seen"))).select(*messages.columns)
 
 
-def book_ticks(messages: DataFrame, *, limit_depth: bool = True, group_messages: int = GROUP_MESSAGES,
-               chunk_messages: int = CHUNK_MESSAGES) -> DataFrame:
-    """The book after each message: best prices and sizes, totals, notional and number of levels per side.
+def book_ticks(messages: DataFrame, *, limit_depth: bool = True, slice_ids: int = SLICE_IDS, epochs: int = EPOCHS) -> DataFrame:
+    """The book after each message in order of id: best prices and sizes, totals, notional and number of levels per side.
 
     A snapshot replaces the book, an update sets levels (size 0 removes one), then each side is cut to the number of
     levels its snapshot had, worst prices first. Updates before the first snapshot are skipped. ``messages`` has
-    ``platform, symbol, id, type, time_ms`` and decimal ``bids`` and ``asks``, with times that do not fall as ids rise.
+    ``platform, symbol, id, type, time_ms`` and decimal ``bids`` and ``asks``; times may go back and forth.
 
-    As a snapshot starts the book anew, runs of whole epochs with at most ``group_messages`` messages are folded
-    independently. If some epoch is longer than that, keys are cut into chunks that hand on their state instead.
+    As a snapshot starts the book anew, runs of ``epochs`` epochs are folded on their own. The ids of a slice, ``slice_ids`` wide,
+    are numbered by one task. Neither changes the result.
     """
-    rows = messages.select(*BOOK_KEYS, "id", "time_ms", "type", "bids", "asks").withColumn(
-        "_slice", F.floor(F.col("time_ms") / NUMBERING_MS))
-    marks = snapshot_epochs(messages.select(*BOOK_KEYS, "id", "time_ms", "type")).where("epoch > 0")
-    longest = marks.groupBy(*BOOK_KEYS, "epoch").count().agg(F.max("count")).first()[0] or 0
-    fold = BookFold(limit_depth)
-    if longest > group_messages:
-        return chunked_fold(rows, BOOK_KEYS, ["id"], fold, TICK_SCHEMA, chunk_messages=chunk_messages)
-    epochs = max(1, group_messages // max(longest, 1))
-    grouped = snapshot_epochs(rows.drop("_slice")).where("epoch > 0").withColumn("_group", F.floor(F.col("epoch") / epochs))
-    return grouped.groupBy(*BOOK_KEYS, "_group").applyInArrow(lambda t: fold(None, t.sort_by("id"))[0], TICK_SCHEMA)
+    rows = messages.select(*BOOK_KEYS, "id", "time_ms", "type", "bids", "asks")
+    grouped = snapshot_epochs(rows, slice_ids=slice_ids).where("epoch > 0").withColumn("_group", F.floor(F.col("epoch") / epochs))
+    return ordered_fold(grouped.drop("epoch"), [*BOOK_KEYS, "_group"], ["id"], BookFold(limit_depth), TICK_SCHEMA)
 
 
 def with_prices(ticks: DataFrame) -> DataFrame:
@@ -205,18 +208,17 @@ def with_prices(ticks: DataFrame) -> DataFrame:
     })
 
 
-def order_windows(ticks: DataFrame, size_ms: int, *, close: str = "inside", slice_ticks_ms: int | None = None) -> DataFrame:
+def order_windows(ticks: DataFrame, size_ms: int, *, close: str = "inside", slice_ids: int = SLICE_IDS) -> DataFrame:
     """One row per key and window with its order-book features.
 
     Each tick weighs the time since the previous tick of its window (since the window's start for the first), at least
     1. ``close='inside'`` takes the closing best prices from the last tick of the window, ``'next'`` from the first
     tick after it.
 
-    A window is summed in two steps: per time slice (64 per window unless given), leaving out each slice's first tick,
-    whose weight and changes need the slice before; then over the slices, where those first ticks are added. The ticks
-    are read once and a busy window is shared by many tasks.
+    Ticks are in order of id, whatever their times. A window is summed in two steps: per slice of ids, leaving out each
+    slice's first tick, whose weight and changes need the slice before; then over the slices, where those first ticks are
+    added. The ticks are read once and a busy window is shared by many tasks.
     """
-    cut = slice_ticks_ms or max(1, size_ms // 64)
     group = [*KEYS, "window_start_ms"]
     both = (F.col("tot_b") != 0) & (F.col("tot_a") != 0)
     weighed = {  # what each weighted sum adds per unit of weight; null adds nothing
@@ -236,7 +238,7 @@ def order_windows(ticks: DataFrame, size_ms: int, *, close: str = "inside", slic
 
     in_slice = W.partitionBy(*group, "_slice").orderBy("id")
     rows = with_prices(ticks).withColumn("window_size_ms", F.lit(size_ms).cast("long")).withColumn(
-        "window_start_ms", window_start("time_ms", size_ms)).withColumn("_slice", F.floor(F.col("time_ms") / cut))
+        "window_start_ms", window_start("time_ms", size_ms)).withColumn("_slice", F.floor(F.col("id") / slice_ids))
     # Mids are centred on one mid of their slice before squaring, so the variance does not cancel.
     rows = rows.select(
         "*", *[x.alias(f"x_{n}") for n, x in weighed.items()], F.min("mid").over(W.partitionBy(*group, "_slice")).alias("ref"),
@@ -272,7 +274,7 @@ def order_windows(ticks: DataFrame, size_ms: int, *, close: str = "inside", slic
         F.coalesce(F.min("spread_min"), F.lit(float("inf"))).alias("spread_min"),
         F.coalesce(F.max("spread_max"), F.lit(float("-inf"))).alias("spread_max"),
         *[F.sum(n).alias(n) for n in changes],
-        F.min_by("since", "_slice").alias("t_first"), F.max("tail.time_ms").alias("t_last"),
+        F.min_by("since", "_slice").alias("t_first"), F.max_by("tail.time_ms", "_slice").alias("t_last"),
         F.max_by("tail", "_slice").alias("last"), F.min_by("head", "_slice").alias("first"),
     )
     if close == "next":

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticklattice.functions.scale import lag_one, running
-from ticklattice.operators.fold import CHUNK_MESSAGES, chunked_fold
+from ticklattice.operators.fold import ordered_fold
 
 ID_SLICE = 65_536
 
@@ -80,12 +80,10 @@ class SequenceFold:
     def __call__(self, state: dict | None, table: pa.Table):
         last = state["last"] if state else self.resume_at
         held: list[list] = state["held"] if state else []  # [first_id, -last_id, arrival], in that order
-        unseen, settled, out = state is None, False, []
-        cols = [table.column(c).to_pylist() for c in ("arrival", "kind", "first_id", "last_id", "highest_before")]
-        for arrival, kind, lo, hi, highest in zip(*cols, strict=True):
+        out = []
+        cols = [table.column(c).to_pylist() for c in ("arrival", "kind", "first_id", "last_id")]
+        for arrival, kind, lo, hi in zip(*cols, strict=True):
             if kind == "snapshot":
-                if unseen and (highest is None or hi > highest):
-                    settled = True  # ahead of everything that came before, so nothing earlier can matter
                 if hi <= last:
                     continue
             elif last == -1 or lo > last + 1:
@@ -95,38 +93,41 @@ class SequenceFold:
                 continue
             last = hi
             out.append((arrival, kind, lo, hi, arrival))
-            moved = bool(held)
-            while moved:
-                moved, rest = False, []
-                for h in held:
-                    if h[0] > last + 1:
-                        rest.append(h)
-                    elif -h[1] >= last:
-                        last, moved = -h[1], True
-                        out.append((h[2], "update", h[0], last, arrival))
-                held = rest
+            passed = 0
+            while passed < len(held) and held[passed][0] <= last + 1:  # those beyond a hole stay where they are
+                first, back, came = held[passed]
+                passed += 1
+                if -back >= last:
+                    last = -back
+                    out.append((came, "update", first, last, arrival))
+            del held[:passed]
         names = ("arrival", "kind", "first_id", "last_id", "emitted_at")
         types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
         values = list(zip(*out, strict=True)) if out else [()] * len(names)
         rows = {k: pa.array([table.column(k)[0].as_py()] * len(out), table.schema.field(k).type) for k in self.keys}
         rows.update({n: pa.array(v, t) for n, v, t in zip(names, values, types, strict=True)})
-        return pa.table(rows), {"last": last, "held": held}, settled
+        return pa.table(rows), {"last": last, "held": held}
 
 
 def merge_snapshots_updates(
-    messages: DataFrame, keys: Sequence[str], *, resume_at: int = -1, chunk_messages: int = CHUNK_MESSAGES, slice_width: int = ID_SLICE
+    messages: DataFrame, keys: Sequence[str], *, resume_at: int = -1, slice_width: int = ID_SLICE, stretches: int = 64
 ) -> DataFrame:
     """The gap-free sequence of snapshots and updates, by order of arrival.
 
     ``messages`` has ``arrival`` (unique per key), ``kind`` (``snapshot`` or ``update``), ``first_id`` and ``last_id``
     (equal for a snapshot). ``emitted_at`` names the arrival that released a row. Rows not in the result were dropped
     or are still held.
+
+    A snapshot ahead of all that came before sets the sequence whatever happened, so a key is cut there and runs of
+    ``stretches`` such stretches are folded on their own. A task holds the updates its stretch waits with.
     """
     sliced = messages.withColumn("_slice", F.floor(F.col("arrival") / slice_width))
-    ranked = running(sliced, keys, ["arrival"], {"highest_before": ("max", F.col("last_id"))}, exclusive=True)
+    ranked = running(sliced, keys, ["arrival"], {"_highest": ("max", F.col("last_id"))}, exclusive=True)
+    ahead = (F.col("kind") == "snapshot") & (F.col("last_id") > F.greatest(F.coalesce("_highest", F.lit(resume_at)), F.lit(resume_at)))
+    counted = running(ranked.withColumn("_cut", ahead.cast("long")), keys, ["arrival"], {"_stretch": ("sum", F.col("_cut"))})
+    rows = counted.select(*keys, F.floor(F.col("_stretch") / stretches).alias("_group"), "arrival", "kind", "first_id", "last_id")
     key_types = ", ".join(f"{k} {messages.schema[k].dataType.simpleString()}" for k in keys)
-    rows = ranked.select(*keys, "_slice", "arrival", "kind", "first_id", "last_id", "highest_before")
-    return chunked_fold(rows, keys, ["arrival"], SequenceFold(keys, resume_at), f"{key_types}, {SEQUENCE_SCHEMA_FIELDS}", chunk_messages=chunk_messages)
+    return ordered_fold(rows, [*keys, "_group"], ["arrival"], SequenceFold(keys, resume_at), f"{key_types}, {SEQUENCE_SCHEMA_FIELDS}")
 
 
 def sequence_breaks(updates: DataFrame, keys: Sequence[str], slice_col: Column | None = None) -> DataFrame:

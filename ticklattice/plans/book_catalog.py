@@ -9,7 +9,7 @@ from ticklattice.operators import features as ft
 from ticklattice.operators import order_book as ob
 from ticklattice.operators import trade_windows as tw
 from ticklattice.plans.registry import add, query
-from ticklattice.plans.views import BOOKS, TRADES, WINDOW_MS, book_messages, cte
+from ticklattice.plans.views import BOOK_SLICE, BOOKS, TRADES, WINDOW_MS, book_messages, cte
 from ticklattice.plans.windows_catalog import KEYS, TRADE_WINDOWS, K, r, rs, trade_gold
 
 B = "platform, symbol"
@@ -44,6 +44,15 @@ ticks AS MATERIALIZED (
          len(bids) AS depth_b, len(asks) AS depth_a
   FROM book_fold)"""
 
+# Messages of a window older than one already seen with a book never touch it.
+LIVE = f"""
+started AS (SELECT {B}, min(id) FILTER (type = 'snapshot') AS from_id FROM books GROUP BY ALL),
+seen AS (SELECT b.*, time_ms // {WINDOW_MS} AS win, max(time_ms // {WINDOW_MS}) OVER (
+           PARTITION BY b.platform, b.symbol ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen_win
+         FROM books b JOIN started s ON s.platform = b.platform AND s.symbol = b.symbol AND b.id >= s.from_id),
+live AS (SELECT * EXCLUDE (win, seen_win) FROM seen WHERE seen_win IS NULL OR win >= seen_win)"""
+LIVE_TICKS = TICKS.replace("FROM books)", "FROM live)")
+
 WEIGHED = f"""
 priced AS (
   SELECT *, CASE WHEN ba >= bb THEN (ba + bb) * 0.5 END AS mid, CASE WHEN ba >= bb THEN ba - bb END AS spread,
@@ -66,7 +75,7 @@ order_windows AS (
          sum(w * bq0) AS sw_bid_best_sz, sum(w * aq0) AS sw_ask_best_sz, count(*) AS n_updates,
          count(*) FILTER (mid > prev_mid) AS n_mid_up, count(*) FILTER (mid < prev_mid) AS n_mid_down,
          count(*) FILTER (spread > prev_spread) AS n_spread_widen, count(*) FILTER (spread < prev_spread) AS n_spread_tighten,
-         min(since) AS t_first, max(time_ms) AS t_last,
+         min(since) AS t_first, arg_max(time_ms, id) AS t_last,
          arg_max_null(mid, id) AS close_mid, arg_max_null(spread, id) AS close_spread,
          arg_max_null(bb, id) AS close_bb, arg_max_null(ba, id) AS close_ba,
          arg_max(bq0, id) AS close_bq0, arg_max(aq0, id) AS close_aq0,
@@ -75,18 +84,24 @@ order_windows AS (
   FROM weighed LEFT JOIN means USING (platform, symbol, ws) GROUP BY {B}, ws)"""
 
 BOOK_CTE = (BOOKS, TICKS)
-ORDER_CTE = (BOOKS, TICKS, WEIGHED)
+ORDER_CTE = (BOOKS, LIVE, LIVE_TICKS, WEIGHED)
 WHOLE = {"n_updates", "n_mid_up", "n_mid_down", "n_spread_widen", "n_spread_tighten", "t_first", "t_last"}
 DIGITS = {"sw_mid": 2, "sw_micro": 2, "sw_spread": 2, "sw_bid": 2, "sw_ask": 2, "sw_imb": 3, "M2_mid": 1,
           "sw_bid_best_sz": 2, "sw_ask_best_sz": 2}
 
 
 def ticks(spark: SparkSession, sf: str) -> DataFrame:
-    return ob.book_ticks(book_messages(spark, sf))
+    return ob.book_ticks(book_messages(spark, sf), slice_ids=BOOK_SLICE)
+
+
+def window_ticks(spark: SparkSession, sf: str) -> DataFrame:
+    """Ticks for windows: late messages are left out before they reach the book."""
+    messages = ob.drop_late(book_messages(spark, sf), WINDOW_MS, slice_ids=BOOK_SLICE)
+    return ob.book_ticks(messages, slice_ids=BOOK_SLICE)
 
 
 def order_gold(spark: SparkSession, sf: str) -> DataFrame:
-    return ob.order_windows(ticks(spark, sf), WINDOW_MS)
+    return ob.order_windows(window_ticks(spark, sf), WINDOW_MS, slice_ids=BOOK_SLICE)
 
 
 def _out(f: str):
@@ -125,14 +140,14 @@ FROM (SELECT * FROM epochs WHERE epoch > 0) m LEFT JOIN lives l
   ON l.platform = m.platform AND l.symbol = m.symbol AND l.epoch = m.epoch AND l.id <= m.id AND m.id < l.until AND l.qty <> 0
 GROUP BY 1, 2, 3""".replace("\n, epochs", ", epochs", 1))
 def _state_unlimited(spark, sf):
-    out = ob.book_ticks(book_messages(spark, sf), limit_depth=False)
+    out = ob.book_ticks(book_messages(spark, sf), limit_depth=False, slice_ids=BOOK_SLICE)
     return out.select("platform", "symbol", "id", "bb", "ba", "tot_b", "tot_a")
 
 
 @query("snapshot_epoch", cte(BOOKS) + f"""
 SELECT {B}, id, CAST(sum(CASE WHEN type = 'snapshot' THEN 1 ELSE 0 END) OVER (PARTITION BY {B} ORDER BY id) AS BIGINT) AS epoch FROM books""")
 def _epoch(spark, sf):
-    return ob.snapshot_epochs(book_messages(spark, sf)).select("platform", "symbol", "id", "epoch")
+    return ob.snapshot_epochs(book_messages(spark, sf), slice_ids=BOOK_SLICE).select("platform", "symbol", "id", "epoch")
 
 
 @query("side_totals", cte(*BOOK_CTE) + f"""
@@ -164,8 +179,8 @@ def _levels(spark, sf):
 def _prev_tick(spark, sf):
     from ticklattice.functions.scale import lag_one
 
-    t = ob.with_prices(ticks(spark, sf)).withColumn("ws", tw.window_start("time_ms", WINDOW_MS))
-    t = t.withColumn("_slice", F.floor(F.col("time_ms") / (WINDOW_MS // 64)))
+    t = ob.with_prices(window_ticks(spark, sf)).withColumn("ws", tw.window_start("time_ms", WINDOW_MS))
+    t = t.withColumn("_slice", F.floor(F.col("id") / BOOK_SLICE))
     t = lag_one(t, ["platform", "symbol", "ws"], ["id"], {"prev_t": "time_ms", "prev_mid": "mid", "prev_spread": "spread"})
     return t.select("platform", "symbol", "id", "prev_mid", "prev_spread", F.coalesce("prev_t", "ws").alias("prev_t"))
 

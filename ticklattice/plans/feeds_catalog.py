@@ -12,7 +12,7 @@ from ticklattice.operators import reconcile as rc
 from ticklattice.operators import symbols as sy
 from ticklattice.operators import trade_windows as tw
 from ticklattice.plans.registry import query
-from ticklattice.plans.views import BOOKS, TRADES, WINDOW_MS, book_messages, cte, millis, platform_of, symbol_of, table, trades
+from ticklattice.plans.views import BOOK_SLICE, BOOKS, TRADES, WINDOW_MS, book_messages, cte, millis, platform_of, symbol_of, table, trades
 from ticklattice.plans.windows_catalog import TRADE_WINDOWS, K, r, rs, trade_gold
 from ticklattice.session import scratch_path
 from ticklattice.sources import raw_log as lg
@@ -573,7 +573,7 @@ def sequence(spark: SparkSession, sf: str, lost: bool = True) -> DataFrame:
     o = table(spark, sf, "orders").select(F.col("o_orderkey"), "o_orderpriority")
     m = book_messages(spark, sf).withColumn("o_orderkey", F.col("id") % 1_000_000_000_000).join(o, "o_orderkey")
     n = F.when(F.col("type") == "snapshot", 0).otherwise(F.greatest(F.size("bids") + F.size("asks"), F.lit(1))).cast("long")
-    m = m.withColumn("n", n).withColumn("_slice", F.floor(F.col("time_ms") / 3_600_000))
+    m = m.withColumn("n", n).withColumn("_slice", F.floor(F.col("id") / BOOK_SLICE))
     m = running(m, S, ["id"], {"last_id": ("sum", F.col("n"))})
     m = m.select(*S, F.col("id").alias("arrival"), F.col("type").alias("kind"), "time_ms", "o_orderpriority",
                  F.when(F.col("type") == "snapshot", F.col("last_id")).otherwise(F.col("last_id") - F.col("n") + 1).alias("first_id"), "last_id")
@@ -605,7 +605,7 @@ merged AS (SELECT platform, symbol, arrival, CASE WHEN c = 'S' THEN 'snapshot' E
 
 @query("merge_snapshot_diff", cte(BOOKS, SEQUENCE, MERGED) + "SELECT * FROM merged")
 def _j4(spark, sf):
-    return rc.merge_snapshots_updates(sequence(spark, sf), S, slice_width=10**12)
+    return rc.merge_snapshots_updates(sequence(spark, sf), S, slice_width=BOOK_SLICE)
 
 
 @query("ws_sequence_break", cte(BOOKS, SEQUENCE) + """
@@ -613,7 +613,7 @@ SELECT platform, symbol, arrival, first_id, prev_last_id FROM (
   SELECT *, lag(last_id) OVER (PARTITION BY platform, symbol ORDER BY arrival) AS prev_last_id FROM sequence WHERE c = 'U') WHERE first_id <> prev_last_id + 1""")
 def _st6(spark, sf):
     updates = sequence(spark, sf).where("kind = 'update'")
-    return rc.sequence_breaks(updates, S, F.floor(F.col("time_ms") / 3_600_000)).select(*S, "arrival", "first_id", "prev_last_id")
+    return rc.sequence_breaks(updates, S, F.floor(F.col("arrival") / BOOK_SLICE)).select(*S, "arrival", "first_id", "prev_last_id")
 
 
 @query("resume_point", cte(BOOKS, SEQUENCE) + """

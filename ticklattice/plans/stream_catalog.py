@@ -11,7 +11,7 @@ from ticklattice.operators import trade_windows as tw
 from ticklattice.plans.book_catalog import GOLD_CTE, ORDER_CTE, TICKS, _out, _out_sql, gold
 from ticklattice.plans.feeds_catalog import FEEDS, LOG, MERGED, SEQUENCE, _feeds, log, sequence
 from ticklattice.plans.registry import ORACLES, query
-from ticklattice.plans.views import BOOKS, T0_MS, TRADES, WINDOW_MS, book_messages, cte, trades
+from ticklattice.plans.views import BOOK_SLICE, BOOKS, T0_MS, TRADES, WINDOW_MS, book_messages, cte, trades
 from ticklattice.plans.windows_catalog import KEYS, TRADE_WINDOWS, WHOLE, K, r, rs
 from ticklattice.session import scratch_path
 from ticklattice.streaming import processors as ps
@@ -21,8 +21,11 @@ S = ["platform", "symbol"]
 CUT = T0_MS + 15 * 86_400_000  # the middle of the month: what lies before it arrives first
 
 
-def halves(df: DataFrame, time: str = "time_ms") -> list[DataFrame]:
-    return [df.where(F.col(time) < CUT), df.where(F.col(time) >= CUT)]
+CUT_ID = 1212 * BOOK_SLICE  # book messages arrive by id
+
+
+def halves(df: DataFrame, by: str = "time_ms", cut: int = CUT) -> list[DataFrame]:
+    return [df.where(F.col(by) < cut), df.where(F.col(by) >= cut)]
 
 
 # Every window but each key's last two, which are still open.
@@ -65,11 +68,12 @@ def _st4(spark, sf):
 
 @query("book_sequence_state", cte(BOOKS, SEQUENCE, MERGED) + "SELECT * FROM merged")
 def _st5(spark, sf):
-    return runner.run_in_parts(halves(sequence(spark, sf)), ps.sequence_stream, "sequence")
+    return runner.run_in_parts(halves(sequence(spark, sf), "arrival", CUT_ID), ps.sequence_stream, "sequence")
 
 
-def _streamed_ticks(spark: SparkSession, sf: str) -> DataFrame:
-    return runner.run_in_parts(halves(book_messages(spark, sf)), ps.book_tick_stream, "ticks")
+def _streamed_ticks(spark: SparkSession, sf: str, window_ms: int | None = None) -> DataFrame:
+    parts = halves(book_messages(spark, sf), "id", CUT_ID)
+    return runner.run_in_parts(parts, lambda s: ps.book_tick_stream(s, window_ms=window_ms), "ticks")
 
 
 @query("order_book_state_stream", cte(BOOKS, TICKS) + "SELECT platform, symbol, id, time_ms, bb, ba, bq0, aq0, tot_b, tot_a FROM ticks")
@@ -79,7 +83,7 @@ def _st3(spark, sf):
 
 @query("order_window", cte(*ORDER_CTE) + f"SELECT {K}, {', '.join(_out_sql(f) for f in ('sw_mid', 'n_updates', 'close_mid', 'M2_mid'))} FROM order_windows")
 def _st7(spark, sf):
-    out = ob.order_windows(_streamed_ticks(spark, sf), WINDOW_MS)
+    out = ob.order_windows(_streamed_ticks(spark, sf, WINDOW_MS), WINDOW_MS, slice_ids=BOOK_SLICE)
     return out.select(*KEYS, *[_out(f) for f in ("sw_mid", "n_updates", "close_mid", "M2_mid")])
 
 

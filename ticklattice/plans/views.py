@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WINDOW_MS = 7_200_000
 T0_MS = 1_704_067_200_000  # 2024-01-01T00:00:00Z
 DAY_STEP_MS = 1_070_000  # one order date on the squeezed clock
+BOOK_SLICE = 10**12  # message ids of one order date
+RECEIPT_MS = 2_400_000  # snapshots are stamped on receipt, up to so much later than the updates around them
 LEVELS = "array<struct<price:decimal(38,18),qty:decimal(38,18)>>"
 
 
@@ -94,7 +96,8 @@ def book_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
             symbol_of(F.col("o_custkey")).alias("symbol"),
             (day * 1_000_000_000_000 + F.col("o_orderkey")).alias("id"),
             F.when(F.col("o_orderkey") % 64 == 0, "snapshot").otherwise("update").alias("type"),
-            (T0_MS + day * DAY_STEP_MS + F.least(F.col("o_orderkey"), F.lit(DAY_STEP_MS - 1))).alias("time_ms"),
+            (T0_MS + day * DAY_STEP_MS + F.least(F.col("o_orderkey"), F.lit(DAY_STEP_MS - 1))
+             + F.when(F.col("o_orderkey") % 64 == 0, F.col("o_orderkey") * 7919 % RECEIPT_MS).otherwise(0)).alias("time_ms"),
             F.coalesce("bids", F.array().cast(LEVELS)).alias("bids"),
             F.coalesce("asks", F.array().cast(LEVELS)).alias("asks"),
         )
@@ -114,7 +117,7 @@ books AS (
          date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) * 1000000000000 + o_orderkey AS id,
          CASE WHEN o_orderkey % 64 = 0 THEN 'snapshot' ELSE 'update' END AS type,
          {T0_MS} + date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) * {DAY_STEP_MS}
-           + least(o_orderkey, {DAY_STEP_MS - 1}) AS time_ms,
+           + least(o_orderkey, {DAY_STEP_MS - 1}) + CASE WHEN o_orderkey % 64 = 0 THEN o_orderkey * 7919 % {RECEIPT_MS} ELSE 0 END AS time_ms,
          coalesce(l.bids, []) AS bids, coalesce(l.asks, []) AS asks
   FROM orders LEFT JOIN (
     SELECT o_orderkey,

@@ -72,7 +72,7 @@ class FoldProcessor(_WithState):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = self.rows_in_order(rows)
         table = pa.table({c: pa.array(_plain(pdf[c]), t) for c, t in self.types.items()})
-        out, state, _ = self.fold(self.load(), table)
+        out, state = self.fold(self.load(), table)
         self.save(state)
         if out.num_rows:
             yield out.to_pandas()
@@ -249,17 +249,16 @@ def merge_trades_stream(feeds: DataFrame) -> DataFrame:
 def sequence_stream(messages: DataFrame) -> DataFrame:
     """The gap-free sequence of snapshots and updates on a stream, see ``reconcile.SequenceFold``."""
     s, i = pa.string(), pa.int64()
-    types = {"platform": s, "symbol": s, "arrival": i, "kind": s, "first_id": i, "last_id": i, "highest_before": i}
-    rows = messages.withColumn("highest_before", F.lit(None).cast("long"))
-    return _fold_stream(rows, BOOK_KEYS, SequenceFold(BOOK_KEYS), ["arrival"], types, f"platform string, symbol string, {SEQUENCE_SCHEMA_FIELDS}")
+    types = {"platform": s, "symbol": s, "arrival": i, "kind": s, "first_id": i, "last_id": i}
+    return _fold_stream(messages, BOOK_KEYS, SequenceFold(BOOK_KEYS), ["arrival"], types, f"platform string, symbol string, {SEQUENCE_SCHEMA_FIELDS}")
 
 
-def book_tick_stream(messages: DataFrame, *, limit_depth: bool = True) -> DataFrame:
-    """The book after each message on a stream, see ``order_book.BookFold``."""
+def book_tick_stream(messages: DataFrame, *, limit_depth: bool = True, window_ms: int | None = None) -> DataFrame:
+    """The book after each message on a stream; late messages are ignored with ``window_ms``, see ``order_book.BookFold``."""
     s, i = pa.string(), pa.int64()
     levels = pa.list_(pa.struct([("price", pa.decimal128(38, 18)), ("qty", pa.decimal128(38, 18))]))
     types = {"platform": s, "symbol": s, "id": i, "time_ms": i, "type": s, "bids": levels, "asks": levels}
-    return _fold_stream(messages, BOOK_KEYS, BookFold(limit_depth), ["id"], types, TICK_SCHEMA)
+    return _fold_stream(messages, BOOK_KEYS, BookFold(limit_depth, window_ms), ["id"], types, TICK_SCHEMA)
 
 
 # --- pairing and resuming --------------------------------------------------------------------------------------------
