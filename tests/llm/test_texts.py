@@ -105,9 +105,12 @@ def test_language_model_probabilities_add_up(spark, make_docs):
     cells = (corpus.cell_tokens + 0.1 * corpus.cell_words + 0.1) / (corpus.cell_tokens + 0.1 * (corpus.cell_words + 1))
     assert np.allclose(cells, 1)
     history, weights = lm.train(blocks, corpus)
-    rows = np.array([[0, 5, 9, 77, 3, 8]], np.int32)
-    by_class = np.exp(lm._log_softmax(weights.classes, rows))[0]
-    total = sum(p * np.exp(lm._log_softmax(weights.members, lm.Weights.member_rows(rows, np.array([k]))))[0].sum() for k, p in enumerate(by_class))
+    buckets = [np.array([n]) for n in (5, 9, 77, 3)]
+    total = sum(
+        np.exp(lm._log_p(weights.classes, buckets, np.array([k]), True) + lm._log_p(weights.members, lm.member_buckets(buckets, np.array([k])), np.array([j]), False))[0]
+        for k in range(lm.CLASSES)
+        for j in range(lm.MEMBERS)
+    )
     assert abs(total - 1) < 1e-4
 
 

@@ -1,7 +1,7 @@
 """Scores of texts by a hashed maximum-entropy model with a class-factored softmax.
 
 Every word belongs to a cell (k, j): a class k and a member j of it. The most frequent words have cells of their own; all
-others share the remaining ones by a hash of their ending. A text's probability is the product over its tokens of
+others share the remaining ones by how they end and begin. A text's probability is the product over its tokens of
 
     P(class | history) * P(member | class, history) * P(word | cell)
 
@@ -9,7 +9,7 @@ The first two are softmaxes over sums of weight rows picked by hashed features o
 word before that (skips), and the cells of the three tokens before. The third is the word's smoothed share of its cell, with
 one place for unseen words in each cell, so the probabilities of all words and unseen places add up to one.
 
-Texts are cut into words once, into blocks of a few hundred texts, in which words are numbers; only a block's distinct
+Texts are cut into words once, into blocks of some thousand texts, in which words are numbers; only a block's distinct
 words are shuffled, to count the corpus and to bring the counts back. Weights start from counted features, as each
 feature alone would have them, and are then improved by distributed gradient rounds: each task goes over its blocks of
 training texts in small steps, and the new weights are the tasks' mean.
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticklattice.llm.common import chunks, mixed
+from ticklattice.llm.common import WordCutter, chunks, mixed, text_bytes
 from ticklattice.session import stored
 
 CLASSES, MEMBERS = 32, 16
@@ -36,18 +36,22 @@ CELLS = CLASSES * MEMBERS
 #: The first cells hold one frequent word each.
 HEAD = CELLS // 2
 BUCKETS = 1 << 13
-END_HASH = xxhash.xxh3_64_intdigest(b"\n")  # the end of a text; no word is a line feed
-BLOCK_BYTES = 2_000_000
+END_HASH = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # the end of a text; no word is a line feed
+BLOCK_BYTES = 32_000_000
+PART_TOKENS = 32_000
+_PUNCTUATION = np.isin(np.arange(256), list(b".,;:!?\"')&%$#*-"))
 
 
-def _tail_cell(word: bytes) -> int:
-    """A shared cell by the last two characters and, inside its class, the first three bytes."""
-    ending = zlib.crc32(word.decode("utf-8", "replace").rstrip(".,;:!?\"')&%$#*-")[-2:].encode())
-    return HEAD + (ending % (CLASSES - HEAD // MEMBERS)) * MEMBERS + zlib.crc32(word[:3]) % MEMBERS
-
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def _tail_cells(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A shared cell for each word: the class by its last two bytes without punctuation, the member by its first two."""
+    ends = ends.copy()
+    for _ in range(3):
+        ends -= (ends - 1 > starts) & _PUNCTUATION[buf[ends - 1]]
+    one = ends - starts < 2
+    last = buf[ends - 1].astype(np.uint64) * np.uint64(256) + np.where(one, 0, buf[ends - 2])
+    first = buf[starts].astype(np.uint64) * np.uint64(256) + np.where(one, 0, buf[starts + 1])
+    classes = np.uint64(CLASSES - HEAD // MEMBERS)
+    return (HEAD + (mixed(last, 51) % classes).astype(np.int64) * MEMBERS + (mixed(first, 52) % np.uint64(MEMBERS)).astype(np.int64)).astype(np.int16)
 
 
 def _list(values: list[np.ndarray], kind) -> pa.Array:
@@ -55,40 +59,45 @@ def _list(values: list[np.ndarray], kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.empty(0), kind))
 
 
-def _block(ids: list, texts: list[bytes], modulus: int) -> pa.RecordBatch:
-    words: dict[bytes, int] = {}
-    place, sizes, tokens = words.setdefault, [], []
-    for t in texts:
-        own = [place(w, len(words)) for w in t.lower().split()]
-        own.append(place(b"\n", len(words)))
-        sizes.append(len(own))
-        tokens.extend(own)
+def _block(ids: list, texts: list[bytes], modulus: int, cutter: WordCutter) -> pa.RecordBatch:
+    hashes, cells, sizes = [], [], []
+    for some in chunks(texts, 2_000_000):
+        buf, starts, ends, h, n = cutter.places(some)
+        after = np.cumsum(n)  # where each text's end goes
+        hashes.append(np.insert(h, after, END_HASH))
+        cells.append(np.insert(_tail_cells(buf, starts, ends), after, CELLS - 1))
+        sizes.append(n + 1)
+    sizes = np.concatenate(sizes)
+    hashes, at, tok = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    often = np.argsort(-np.bincount(tok), kind="stable")  # small numbers for frequent words, which pack better
+    rank = np.empty(len(often), np.int32)
+    rank[often] = np.arange(len(often), dtype=np.int32)
+    tok, hashes, cells = rank[tok], hashes[often], np.concatenate(cells)[at[often]]
     held = np.array([zlib.crc32(str(i).encode()) % modulus == 0 if i is not None else False for i in ids])
-    tok, each = np.array(tokens, np.int32), np.repeat(held, sizes)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    cells = np.fromiter((CELLS - 1 if w == b"\n" else _tail_cell(w) for w in words), np.int16, len(words))
-    counts = np.bincount(tok[~each], minlength=len(words)).astype(np.int64)
+    counts = np.bincount(tok[~np.repeat(held, sizes)], minlength=len(hashes)).astype(np.int64)
+    packed = pa.compress(np.ascontiguousarray(tok.view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
     name = int.from_bytes(xxhash.xxh3_64_digest(repr(ids[:50]).encode() + str(len(tok)).encode() + hashes.tobytes()), "little", signed=True)
     one = lambda v, kind: _list([v], kind)
     return pa.RecordBatch.from_arrays(
         [
             pa.array([name], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, pa.int64())), one(held, pa.bool_()),
-            one(np.array(sizes, np.int32), pa.int32()), one(tok, pa.int32()), one(hashes.view(np.int64), pa.int64()), one(cells, pa.int16()), one(counts, pa.int64()),
+            one(np.array(sizes, np.int32), pa.int32()), pa.array([packed], pa.binary()), one(hashes.view(np.int64), pa.int64()), one(cells, pa.int16()), one(counts, pa.int64()),
         ],
         ["block", "doc_ids", "held", "sizes", "tokens", "words", "cells", "counts"],
     )
 
 
-_BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, tokens array<int>, words array<long>, cells array<short>, counts array<long>"
+_BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, tokens binary, words array<long>, cells array<short>, counts array<long>"
 
 
 def blocks_of(docs: DataFrame, modulus: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = WordCutter()
         for batch in batches:
             ids, start = batch.column(0).to_pylist(), 0
-            texts = [b"" if t is None else t for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            texts = text_bytes(batch.column(1))
             for some in chunks(texts, BLOCK_BYTES):
-                yield _block(ids[start : start + len(some)], some, modulus)
+                yield _block(ids[start : start + len(some)], some, modulus, cutter)
                 start += len(some)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, _BLOCKS)
@@ -108,8 +117,6 @@ class Corpus:
 class History:
     """Feature rows of every token of a block."""
 
-    KINDS = 6
-
     def __init__(self, corpus: Corpus):
         order = np.argsort(corpus.head)
         self.head, self.cell = corpus.head[order], order.astype(np.int16)
@@ -121,62 +128,90 @@ class History:
         at = np.minimum(np.searchsorted(self.head, words), len(self.head) - 1)
         return np.where(self.head[at] == words, self.cell[at], tail)
 
-    def rows(self, words: np.ndarray, cells: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """``(tokens, KINDS)`` buckets; before a text's first token stand tokens that no text has."""
-        start = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        place = np.arange(len(words)) - start
+    def buckets(self, words: np.ndarray, cells: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """The bucket of each feature but the bias; before a text's first token stand tokens that no text has."""
+        place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
         def before(v: np.ndarray, k: int) -> np.ndarray:
             out = np.zeros(len(v), np.uint64)
-            out[k:] = v[:-k].astype(np.uint64) + np.uint64(1) if k < len(v) else 0
+            if k < len(v):
+                out[k:] = v[:-k].astype(np.uint64) + np.uint64(1)
             out[place < k] = 0
             return out
 
-        w1, w2 = before(words, 1), before(words, 2)
         c1, c2, c3 = (before(cells, k) for k in (1, 2, 3))
         m = np.uint64(1 << 10)
-        keys = [mixed(w1, 21), mixed(w2, 22), mixed(c1 * m + c2, 23), mixed(c2 * m + c3, 24), mixed(c1 * m + c3, 25)]
-        out = np.zeros((len(words), self.KINDS), np.int32)  # the first is the bias, bucket 0
-        for i, k in enumerate(keys):
-            out[:, i + 1] = 1 + (k % np.uint64(BUCKETS - 1)).astype(np.int32)
-        return out
+        keys = [mixed(before(words, 1), 21), mixed(before(words, 2), 22), mixed(c1 * m + c2, 23), mixed(c2 * m + c3, 24)]
+        return [(k % np.uint64(BUCKETS - 1)).astype(np.intp) + 1 for k in keys]
 
 
 @dataclass
 class Weights:
+    """Bucket 0 of ``classes`` is the bias; ``members`` are picked by class, and by class with a feature."""
+
     classes: np.ndarray  # BUCKETS x CLASSES
-    members: np.ndarray  # BUCKETS x MEMBERS, picked by feature and class
+    members: np.ndarray  # BUCKETS x MEMBERS
+
+
+#: The features that tell the members of a class apart: the word before and the two cells before.
+INNER = (0, 2)
+
+
+def member_buckets(buckets: list[np.ndarray], k: np.ndarray) -> list[np.ndarray]:
+    own = [(((buckets[i] * CLASSES + k) * 2654435761 & 0xFFFFFFFF) >> 9) % (BUCKETS - CLASSES) + CLASSES for i in INNER]
+    return [k.astype(np.intp), *own]
 
-    @staticmethod
-    def member_rows(rows: np.ndarray, k: np.ndarray) -> np.ndarray:
-        return ((rows.astype(np.uint32) * np.uint32(2654435761) + k.astype(np.uint32)[:, None] * np.uint32(40503) * np.uint32(65537)) >> np.uint32(7)).astype(np.int64) % BUCKETS
 
+_scratch: dict[tuple[int, int], np.ndarray] = {}
 
-def _log_softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    x = table[rows[:, 0]]
-    for i in range(1, rows.shape[1]):
-        x += table[rows[:, i]]
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
 
+def _room(n: int, width: int, slot: int) -> np.ndarray:
+    """Memory used again and again, as fresh pages would cost more than the sums."""
+    held = _scratch.get((width, slot))
+    if held is None or len(held) < n:
+        held = _scratch[width, slot] = np.empty((max(n, 2 * PART_TOKENS), width), np.float32)
+    return held[:n]
 
-def _bucket_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of the value rows of equal buckets: (buckets, sums)."""
-    order = np.argsort(rows, kind="stable")
-    sorted_rows = rows[order]
-    starts = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-    return sorted_rows[starts], np.add.reduceat(values[order], starts, axis=0)
 
+def _log_softmax(table: np.ndarray, buckets: list[np.ndarray], bias: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of weight rows by token and outcome, and the log of the sum of their exponentials by token.
 
-def _step(table: np.ndarray, rows: np.ndarray, target: np.ndarray, rate: float) -> None:
-    """One gradient step for ``P(target | rows)``, each bucket's by the mean over its tokens, damped for rare ones."""
-    p = np.exp(_log_softmax(table, rows))
-    p *= -1
+    Weights are logs of shares and bounded steps from there, far from what would overflow. The first array is scratch.
+    """
+    n, width = len(buckets[0]), table.shape[1]
+    x, more = _room(n, width, 0), _room(n, width, 1)
+    np.take(table, buckets[0], axis=0, mode="clip", out=x)
+    for b in buckets[1:]:
+        np.take(table, b, axis=0, mode="clip", out=more)
+        np.add(x, more, out=x)
+    if bias:
+        np.add(x, table[0], out=x)
+    np.clip(x, -60, 60, out=x)
+    np.exp(x, out=more)
+    return x, np.log(more @ np.ones(width, np.float32))
+
+
+def _log_p(table: np.ndarray, buckets: list[np.ndarray], target: np.ndarray, bias: bool) -> np.ndarray:
+    x, total = _log_softmax(table, buckets, bias)
+    return x[np.arange(len(target)), target].astype(np.float64) - total
+
+
+def _step(table: np.ndarray, buckets: list[np.ndarray], target: np.ndarray, rate: float, bias: bool) -> None:
+    """One gradient step for ``P(target | buckets)``, each bucket's by the mean over its tokens, damped for rare ones."""
+    x, total = _log_softmax(table, buckets, bias)
+    width = table.shape[1]
+    p = np.subtract(total[:, None], x, out=x)
+    np.exp(np.negative(p, out=p), out=p)
+    np.negative(p, out=p)
     p[np.arange(len(target)), target] += 1
-    for i in range(rows.shape[1]):
-        buckets, sums = _bucket_sums(rows[:, i], np.column_stack([p, np.ones(len(p), np.float32)]))
-        table[buckets] += rate * sums[:, :-1] / (sums[:, -1:] + 20)
+    if bias:
+        table[0] += rate * p.mean(axis=0)
+    flat, columns = p.ravel().astype(np.float64), np.arange(width)
+    for b in buckets:
+        share = rate / (np.bincount(b, minlength=len(table)) + 20)
+        sums = np.bincount((b[:, None] * width + columns).ravel(), weights=flat, minlength=table.size).reshape(table.shape)
+        sums *= share[:, None]
+        table += sums
 
 
 class _Reader:
@@ -187,16 +222,26 @@ class _Reader:
             a = batch.column(name)
             return a.values.slice(a.offsets[r].as_py(), a.offsets[r + 1].as_py() - a.offsets[r].as_py()).to_numpy(zero_copy_only=False)
 
-        self.ids, self.held, self.sizes, self.tokens = values("doc_ids"), values("held"), values("sizes"), values("tokens")
+        self.ids, self.held, self.sizes = values("doc_ids"), values("held"), values("sizes")
+        n = int(self.sizes.sum())
+        planes = pa.decompress(batch.column("tokens")[r].as_py(), decompressed_size=4 * n, codec="zstd", asbytes=True)
+        self.tokens = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view(np.int32)[:, 0]
         self.words, self.tail = values("words").view(np.uint64), values("cells")
         self.counts = values("corpus_counts") if "corpus_counts" in batch.schema.names else None
 
-    def prepared(self, history: History, training_only: bool):
+    def parts(self, history: History, training_only: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """Some texts at a time: their tokens, sizes, cells and buckets."""
         sizes, tokens = self.sizes, self.tokens
         if training_only:
             tokens, sizes = tokens[np.repeat(~self.held, sizes)], sizes[~self.held]
-        cells = history.cells(self.words, self.tail)[tokens].astype(np.int32)
-        return cells, history.rows(self.words[tokens], cells, sizes) if len(tokens) else np.zeros((0, History.KINDS), np.int32)
+        ends, every = np.cumsum(sizes), history.cells(self.words, self.tail)
+        first = start = 0
+        while first < len(sizes):
+            last = max(first + 1, int(np.searchsorted(ends, start + PART_TOKENS, side="right")))
+            tok, own = tokens[start : ends[last - 1]], sizes[first:last]
+            cells = every[tok].astype(np.int32)
+            yield tok, own, cells, history.buckets(self.words[tok], cells, own)
+            first, start = last, int(ends[last - 1])
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -244,47 +289,50 @@ def _counted(history: History):
     def run(readers):
         by_class, by_member = np.zeros(BUCKETS * CLASSES), np.zeros(BUCKETS * MEMBERS)
         for r in readers:
-            cells, rows = r.prepared(history, True)
-            k, j = cells // MEMBERS, cells % MEMBERS
-            inner = Weights.member_rows(rows, k)
-            for i in range(History.KINDS):
-                by_class += np.bincount(rows[:, i].astype(np.int64) * CLASSES + k, minlength=BUCKETS * CLASSES)
-                by_member += np.bincount(inner[:, i] * MEMBERS + j, minlength=BUCKETS * MEMBERS)
+            for _, _, cells, buckets in r.parts(history, True):
+                k, j = cells // MEMBERS, cells % MEMBERS
+                by_class[:CLASSES] += np.bincount(k, minlength=CLASSES)
+                for b in buckets:
+                    by_class += np.bincount(b * CLASSES + k, minlength=BUCKETS * CLASSES)
+                for b in member_buckets(buckets, k):
+                    by_member += np.bincount(b * MEMBERS + j, minlength=BUCKETS * MEMBERS)
         return by_class.astype(np.float32), by_member.astype(np.float32)
 
     return run
 
 
 def _start(sums: list[np.ndarray]) -> Weights:
-    """Log ratios to the bias, each feature with a share, as features of one history say much the same."""
-    tables = []
-    for flat, width in zip(sums, (CLASSES, MEMBERS)):
-        counts = flat.reshape(BUCKETS, width).astype(np.float64)
-        total = (counts.sum(axis=0) + 1) / (counts.sum() + width)
+    """Log shares for the bias and for each class; for a feature, log ratios to them, each feature with a part of its own."""
+    by_class, by_member = sums[0].reshape(BUCKETS, CLASSES).astype(np.float64), sums[1].reshape(BUCKETS, MEMBERS).astype(np.float64)
+
+    def ratios(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
         shares = (counts + 20 * total) / (counts.sum(axis=1, keepdims=True) + 20)
-        table = np.log(shares / total) / 2.5
-        tables.append(table.astype(np.float32))
-    bias = sums[0].reshape(BUCKETS, CLASSES)[0].astype(np.float64)
-    tables[0][0] = np.log((bias + 1) / (bias.sum() + CLASSES))
-    return Weights(*tables)
+        return np.log(shares / total) / 2
+
+    usual = (by_class[0] + 1) / (by_class[0].sum() + CLASSES)
+    classes = ratios(by_class, usual)
+    classes[0] = np.log(usual)
+    own = (by_member[:CLASSES] + 1) / (by_member[:CLASSES].sum(axis=1, keepdims=True) + MEMBERS)
+    inner = by_member[CLASSES:].sum(axis=0) + 1
+    members = ratios(by_member, inner / inner.sum())
+    members[:CLASSES] = np.log(own)
+    return Weights(classes.astype(np.float32), members.astype(np.float32))
 
 
-def _improved(history: History, w: Weights, rate: float, step_tokens: int = 200_000):
+def _improved(history: History, w: Weights, rate: float):
     def run(readers):
         classes, members, seen = w.classes.copy(), w.members.copy(), False
         for r in readers:
-            cells, rows = r.prepared(history, True)
-            seen |= len(cells) > 0
-            for a in range(0, len(cells), step_tokens):
-                k, j, part = cells[a : a + step_tokens] // MEMBERS, cells[a : a + step_tokens] % MEMBERS, rows[a : a + step_tokens]
-                _step(classes, part, k, rate)
-                _step(members, Weights.member_rows(part, k), j, rate)
+            for _, _, cells, buckets in r.parts(history, True):
+                k, j, seen = cells // MEMBERS, cells % MEMBERS, True
+                _step(classes, buckets, k, rate, True)
+                _step(members, member_buckets(buckets, k), j, rate, False)
         return (classes - w.classes, members - w.members, np.ones(1)) if seen else None
 
     return run
 
 
-def train(blocks: DataFrame, corpus: Corpus, *, rounds: int = 1, rate: float = 0.5) -> tuple[History, Weights]:
+def train(blocks: DataFrame, corpus: Corpus, *, rounds: int = 1, rate: float = 0.3) -> tuple[History, Weights]:
     """Weights from the blocks' training texts, all of them in every round."""
     history = History(corpus)
     sums = _per_task(blocks, _counted(history))
@@ -302,33 +350,24 @@ def _scored(corpus: Corpus, history: History, w: Weights):
         for batch in batches:
             for r in range(batch.num_rows):
                 b = _Reader(batch, r)
-                cells, rows = b.prepared(history, False)
-                counts = b.counts[b.tokens].astype(np.float64)
-                base = np.log10((counts + 0.1) / (corpus.n + 0.1 * (corpus.v + 1)))
-                k, j = cells // MEMBERS, cells % MEMBERS
-                log_p = _at(w.classes, rows, k) + _at(w.members, Weights.member_rows(rows, k), j)
-                in_cell = np.log10((counts + 0.1) / (corpus.cell_tokens[cells] + 0.1 * (corpus.cell_words[cells] + 1)))
-                score = log_p / np.log(10) + in_cell
-                starts = np.cumsum(b.sizes) - b.sizes
+                sums = []
+                for tok, sizes, cells, buckets in b.parts(history, False):
+                    counts = b.counts[tok].astype(np.float64)
+                    k = cells // MEMBERS
+                    log_p = _log_p(w.classes, buckets, k, True) + _log_p(w.members, member_buckets(buckets, k), cells % MEMBERS, False)
+                    in_cell = np.log10((counts + 0.1) / (corpus.cell_tokens + 0.1 * (corpus.cell_words + 1))[cells])
+                    base = np.log10((counts + 0.1) / (corpus.n + 0.1 * (corpus.v + 1)))
+                    starts = np.cumsum(sizes) - sizes
+                    sums.append([np.add.reduceat(x, starts) for x in ((counts > 0).astype(np.int64), base, log_p / np.log(10) + in_cell)])
+                known, base, score = (np.concatenate(x) for x in zip(*sums))
+                columns = [pa.array(b.ids, pa.int64(), from_pandas=True), pa.array(b.held.astype(bool)), pa.array(b.sizes.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(b.ids, pa.int64(), from_pandas=True), pa.array(b.held.astype(bool)), pa.array(b.sizes.astype(np.int64)),
-                        pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(score, starts)),
-                    ],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-                )
+                    [*columns, pa.array(known), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+                )
 
     return run
 
 
-def _at(table: np.ndarray, rows: np.ndarray, target: np.ndarray, part: int = 100_000) -> np.ndarray:
-    out = np.empty(len(rows))
-    for a in range(0, len(rows), part):
-        x = _log_softmax(table, rows[a : a + part])
-        out[a : a + part] = x[np.arange(len(x)), target[a : a + part]]
-    return out
-
-
 def corpus_of(blocks: DataFrame) -> tuple[Corpus, DataFrame]:
     """Training counts of all words ``(word, cell, c)``, and what of them is bounded."""
     each = blocks.select(F.explode(F.arrays_zip("words", "cells", "counts")).alias("e")).where("e.counts > 0")
