@@ -60,7 +60,7 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_CHUNK_BYTES = 4_000_000
+_CHUNK_BYTES = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 _LETTERS = mixed(np.arange(1, 257, dtype=np.uint64), 5)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -84,6 +84,10 @@ class WordCutter:
 
     def cut(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The hashes of all words, and how many each text has."""
+        return self.places(texts)[3:]
+
+    def places(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all texts, where each word starts and ends in them, its hash, and how many each text has."""
         buf = np.frombuffer(b" ".join(texts).lower() + b" ", np.uint8)
         if len(self.up) <= len(buf):
             self.up, self.down = _powers(_BASE, len(buf) + 1), _powers(pow(_BASE, -1, 1 << 64), len(buf) + 1)
@@ -93,10 +97,10 @@ class WordCutter:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[buf] * self.up[: len(buf)], dtype=np.uint64)])
         hashes = mixed((total[ends] - total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64), 7)
         edges = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        return hashes, np.diff(np.searchsorted(starts, edges))
+        return buf, starts, ends, hashes, np.diff(np.searchsorted(starts, edges))
 
 
-def chunks(texts: list[bytes], size: int = _CHUNK_BYTES) -> Iterator[list[bytes]]:
+def chunks(texts: list, size: int = _CHUNK_BYTES) -> Iterator[list[bytes]]:
     """The texts in turn, in lists of about ``size`` bytes; a longer text comes alone."""
     held, n = [], 0
     for t in texts:
