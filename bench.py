@@ -25,6 +25,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session("bench", cores=cpus, shuffle_partitions=int(cpus))
     spark.sparkContext.setLogLevel("ERROR")
+    QUERIES[HEADLINE[0]](spark, sf_dir).write.format("noop").mode("overwrite").save()  # the first run pays for the start
     times = {}
     for name in HEADLINE:
         runs = []

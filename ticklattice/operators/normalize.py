@@ -118,14 +118,6 @@ def kraken_books(log: DataFrame) -> DataFrame:
     )
 
 
-def binance_book_ticker(log: DataFrame) -> DataFrame:
-    """Book ticker responses, which are one object or an array of them."""
-    body = F.get_json_object("payload", "$.response")
-    many = F.from_json(body, f"ARRAY<STRUCT<{', '.join(f'{x.split()[0]}: STRING' for x in sc.BINANCE_BOOK_TICKER.split(', '))}>>")
-    one = F.array(F.from_json(body, sc.BINANCE_BOOK_TICKER))
-    return log.select("id", F.explode(F.when(F.ltrim(body).startswith("["), many).otherwise(one)).alias("t")).select("id", "t.*")
-
-
 # --- routing and validation -----------------------------------------------------------------------------------------
 
 def stream_type(payload: Column, exchange: str) -> Column:

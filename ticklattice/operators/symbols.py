@@ -1,7 +1,7 @@
 """Exchange tickers to ``base_quote`` symbols and back, by joins with the exchanges' own tables.
 
 The dimension tables are joined without a hint: Spark broadcasts them while they are below its size threshold and
-shuffles otherwise. Rows that match nothing get a null symbol; ``split_unmatched`` separates them.
+shuffles otherwise. Rows that match nothing get a null symbol.
 """
 
 from __future__ import annotations
@@ -90,8 +90,3 @@ def to_kraken(df: DataFrame, symbol: str, asset_pairs: DataFrame, assets: DataFr
         F.when(F.col("_alt").isNotNull(), F.concat_ws("/", common_code(F.col("_b")), common_code(F.col("_q")))).alias("ws_symbol"),
         F.col("_alt").alias("altname"),
     )
-
-
-def split_unmatched(df: DataFrame, column: str = "symbol") -> tuple[DataFrame, DataFrame]:
-    """Rows with a symbol, and the quarantine of rows without."""
-    return df.where(F.col(column).isNotNull()), df.where(F.col(column).isNull())

@@ -13,7 +13,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ticklattice.functions.scale import running, with_halo
-from ticklattice.session import stored
 
 KEYS = ["platform", "symbol", "window_size_ms"]
 FIBO_LAGS = (2, 3, 5, 8, 13)  # fixed values
@@ -66,7 +65,6 @@ def zscore(split: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS)
     the ``n_train`` rows that end with it. A deviation of 0 counts as 1.
     """
     keys, columns = list(keys), list(columns)
-    split = stored(split, "split")
     rest = [c for c in split.columns if c not in columns]
     n, is_test, row = F.col("n_train"), F.col("is_test"), F.col("row")
     nth = list(enumerate(columns))

@@ -10,7 +10,7 @@ from ticklattice.operators import order_book as ob
 from ticklattice.operators import trade_windows as tw
 from ticklattice.plans.registry import add, query
 from ticklattice.plans.views import BOOK_SLICE, BOOKS, TRADES, WINDOW_MS, book_messages, cte
-from ticklattice.plans.windows_catalog import KEYS, TRADE_WINDOWS, K, r, rs, trade_gold
+from ticklattice.plans.windows_catalog import KEYS, SHIFTS, TRADE_WINDOWS, K, _k, r, rs, shifted_sql, trade_gold
 
 B = "platform, symbol"
 
@@ -200,12 +200,50 @@ def _pair(spark, sf):
                                   r(F.col("order_features.close_mid")).alias("close_mid"))
 
 
+@query("pair_by_kind", cte(TRADES, TRADE_WINDOWS, *ORDER_CTE) + f"""
+SELECT {K}, t.trade_count, o.n_updates FROM trade_windows t FULL OUTER JOIN order_windows o USING (platform, symbol, window_size_ms, window_end_ms)""")
+def _pair_by_kind(spark, sf):
+    """The same from one table that holds the windows of both kinds."""
+    t = tw.as_struct(trade_gold(spark, sf), tw.TRADE_FEATURES, "trade_features").withColumn("kind", F.lit("trade"))
+    o = tw.as_struct(order_gold(spark, sf), ob.ORDER_FEATURES, "order_features").withColumn("kind", F.lit("order"))
+    return ft.pair_by_kind(t.unionByName(o, allowMissingColumns=True)).select(*KEYS, "trade_features.trade_count", "order_features.n_updates")
+
+
 GOLD = f"""
 gold AS (SELECT {K}, t.* EXCLUDE ({K}), o.* EXCLUDE ({K})
          FROM trade_windows t FULL OUTER JOIN order_windows o USING (platform, symbol, window_size_ms, window_end_ms))"""
 GOLD_CTE = (TRADES, TRADE_WINDOWS, *ORDER_CTE, GOLD)
 
 
+# One field of each side at all offsets of the labelled frames.
+@query("k_offset_join", cte(*GOLD_CTE, "shifted AS (" + shifted_sql(["close", "close_mid"], SHIFTS, "gold") + ")") + f"SELECT {K}, " + ", ".join(
+    f"close_{_k(k)}, {rs(f'close_mid_{_k(k)}')} AS close_mid_{_k(k)}" for k in SHIFTS) + " FROM shifted")
+def _k_offset(spark, sf):
+    out = ft.k_offsets(gold(spark, sf), prev_n=12, from_next_n=3, to_next_n=7)
+    return out.select(*KEYS, *[F.col(f"`{k}_trade_features`")["close"].alias(f"close_{_k(k)}") for k in SHIFTS],
+                      *[r(F.col(f"`{k}_order_features`")["close_mid"]).alias(f"close_mid_{_k(k)}") for k in SHIFTS])
+
+
+# The whole design table: every field of both sides at the twelve windows before and the row's own.
+BACK = range(-12, 1)
+FLAT = [("t", list(ft.TRADE_FIELDS)), ("o", list(ft.ORDER_FIELDS))]
+
+
+def _flat_sql(side: str, f: str, k: int) -> str:
+    value = f"CAST({f}_{_k(k)} AS DOUBLE)"
+    return rs(f"coalesce(CASE WHEN isfinite({value}) THEN {value} END, 0)", DIGITS.get(f, 6) if side == "o" else 6)
+
+
+@query("flatten_features", cte(*GOLD_CTE, "shifted AS (" + shifted_sql([f for _, fs in FLAT for f in fs], list(BACK), "gold") + ")") +
+       f"SELECT {K}, " + ", ".join(f'{_flat_sql(side, f, k)} AS "{k}_{side}_{f}"' for side, fs in FLAT for k in BACK for f in fs) + " FROM shifted")
+def _flatten(spark, sf):
+    wide = ft.k_offsets(gold(spark, sf), prev_n=12, from_next_n=0, to_next_n=0)
+    flat = ft.flatten_features(wide, BACK, keep=KEYS)
+    groups = ft.feature_groups(flat.columns, BACK)  # fails if a column of a group is missing
+    digits = {c: DIGITS.get(g[2:], 6) if g.startswith("o_") else 6 for g, cols in groups.items() for c in cols}
+    return flat.select(*KEYS, *[r(F.col(f"`{c}`"), digits[c]).alias(c) for c in flat.columns if c not in KEYS])
+
+
 @query("mergeable_accumulator", cte(*ORDER_CTE) + f"""
 SELECT {B}, {rs('sum(sw)')} AS sw, {rs('sum(sw_mid) / sum(n_w)')} AS mean_mid, min(spread_min) AS spread_min,
        max(spread_max) AS spread_max, CAST(sum(n_updates) AS BIGINT) AS n_updates, CAST(sum(n_mid_up) AS BIGINT) AS n_mid_up

@@ -248,9 +248,9 @@ def _p1(spark, sf):
 
 
 def _batched(spark, sf, item, name):
-    """Trades gathered into one message per symbol and quarter of an hour, in trade order."""
+    """Trades gathered into messages of at most a thousand trades of a symbol, in trade order."""
     t = trades(spark, sf).withColumn("iso", F.date_format(F.timestamp_millis("time_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
-    return t.groupBy("symbol", F.floor(F.col("time_ms") / 900_000).alias("q")).agg(
+    return t.groupBy("symbol", F.floor(F.col("platform_trade_id") / 1000).alias("q")).agg(
         F.array_sort(F.collect_list(F.struct("platform_trade_id", item))).alias("items")).select(
         "symbol", "q", F.transform("items", lambda x: x[name]).alias("items"))
 
@@ -428,10 +428,20 @@ def _p14(spark, sf):
     return checked[0].unionByName(checked[1]).select("platform", "id", "error")
 
 
+@query("quarantine", cte(LOG) + """
+SELECT platform, id, 'unknown stream' AS error FROM log WHERE platform = 'binance' AND event_type = 'signup'
+UNION ALL SELECT platform, id, CASE WHEN event_type = 'signup' THEN 'not json' ELSE 'missing field' END FROM log
+WHERE platform = 'kraken' AND event_type IN ('signup', 'click')""")
+def _quarantine(spark, sf):
+    m = _mixed_messages(spark, sf)
+    bad = [nz.validate(m.where(F.col("platform") == e), e)[1] for e in ("binance", "kraken")]
+    return bad[0].unionByName(bad[1]).select("platform", "id", "error")
+
+
 @query("split_by_symbol", cte(TRADES) + """
-SELECT time_ms // 900000 AS id, symbol, string_agg(CAST(platform_trade_id AS VARCHAR), ',' ORDER BY platform_trade_id) AS trade_ids FROM trades GROUP BY 1, 2""")
+SELECT platform_trade_id // 1000 AS id, symbol, string_agg(CAST(platform_trade_id AS VARCHAR), ',' ORDER BY platform_trade_id) AS trade_ids FROM trades GROUP BY 1, 2""")
 def _p15(spark, sf):
-    m = trades(spark, sf).groupBy(F.floor(F.col("time_ms") / 900_000).alias("id")).agg(
+    m = trades(spark, sf).groupBy(F.floor(F.col("platform_trade_id") / 1000).alias("id")).agg(
         F.array_sort(F.collect_list(F.struct("platform_trade_id", "symbol"))).alias("data"))
     out = nz.split_by_symbol(m)
     return out.select("id", "symbol", F.array_join(F.transform("data", lambda x: x["platform_trade_id"].cast("string")), ",").alias("trade_ids"))
@@ -637,10 +647,10 @@ def _t2(spark, sf):
 
 
 @query("result_artifact_join", cte(LOG) + """
-SELECT platform, symbol, id FROM log WHERE event_type = 'view' AND user_id IN (SELECT DISTINCT user_id FROM log WHERE event_type = 'purchase')""")
+SELECT platform, symbol, id FROM log WHERE event_type <> 'purchase' AND user_id IN (SELECT DISTINCT user_id FROM log WHERE event_type = 'purchase')""")
 def _j10(spark, sf):
     from ticklattice.operators.predict import with_artifacts
 
     rows = log(spark, sf).select(*S, "id", F.col("user_id").alias("result_id"), "event_type")
     artifacts = rows.where("event_type = 'purchase'").select("result_id").distinct()
-    return with_artifacts(rows.where("event_type = 'view'"), artifacts).select(*S, "id")
+    return with_artifacts(rows.where("event_type <> 'purchase'"), artifacts).select(*S, "id")

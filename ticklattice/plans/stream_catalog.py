@@ -14,6 +14,7 @@ from ticklattice.plans.registry import ORACLES, query
 from ticklattice.plans.views import BOOK_SLICE, BOOKS, T0_MS, TRADES, WINDOW_MS, book_messages, cte, trades
 from ticklattice.plans.windows_catalog import KEYS, TRADE_WINDOWS, WHOLE, K, r, rs
 from ticklattice.session import scratch_path
+from ticklattice.sources import raw_log as raw
 from ticklattice.streaming import processors as ps
 from ticklattice.streaming import runner
 
@@ -116,6 +117,18 @@ def _st10(spark, sf):
     return spark.read.parquet(f"{root}/out").select(*S, "id")
 
 
+@query("log_append_stream", cte(LOG) + f"""
+SELECT platform, symbol, id AS event_id, row_number() OVER (PARTITION BY platform, symbol ORDER BY timestamp >= {CUT}, id) - 1 AS id FROM log""")
+def _s6(spark, sf):
+    """Two micro-batches get dense ids, the second going on from the last ids of the first."""
+    root = scratch_path(spark, "append")
+    write = raw.appender(f"{root}/out", S, ["event_id"], lambda: F.floor(F.col("event_id") / 65_536))
+    for part in halves(log(spark, sf).select(*S, F.col("id").alias("event_id"), "timestamp"), "timestamp"):
+        part.write.mode("append").parquet(f"{root}/in")
+        runner.each_batch(runner.read_files(spark, f"{root}/in", part.schema), write, f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(*S, "event_id", "id")
+
+
 @query("catch_up_then_live", cte(LOG) + "SELECT platform, symbol, id FROM log")
 def _st11(spark, sf):
     root = scratch_path(spark, "live")

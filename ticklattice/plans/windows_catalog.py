@@ -133,12 +133,6 @@ def shifted_sql(fields: list[str], shifts: list[int], source: str = "trade_windo
     return f"SELECT a.platform, a.symbol, a.window_size_ms, a.window_end_ms, {cols} FROM {source} a {joins}"
 
 
-@query("k_offset_join", cte(TRADES, TRADE_WINDOWS) + shifted_sql(["close"], SHIFTS))
-def _k_offset(spark, sf):
-    out = ft.k_offsets(trade_frames(spark, sf), prev_n=12, from_next_n=3, to_next_n=7)
-    return out.select(*KEYS, *[F.col(f"`{k}_trade_features`")["close"].alias(f"close_{_k(k)}") for k in SHIFTS])
-
-
 LABELLED = "shifted AS (" + shifted_sql(["close", "high", "low", "trade_count"], SHIFTS) + "), labelled AS (" + \
     f"SELECT {K}, " + ", ".join(
         f"coalesce({', '.join(f'{f}_p{k}' for k in (3, 4, 5))}) AS next_{f}, "
@@ -243,19 +237,6 @@ def _rule_expressions(spark, sf):
     return ft.add_targets(_labelled(spark, sf), {n: rules[n] for n in wanted}).select(*KEYS, *wanted)
 
 
-FLAT_FIELDS = list(ft.TRADE_FIELDS)
-
-
-@query("flatten_features", cte(TRADES, TRADE_WINDOWS, "shifted AS (" + shifted_sql(FLAT_FIELDS, [-12, -5, -1, 0]) + ")") +
-       f"SELECT {K}, " + ", ".join(
-           f'{rs(f"coalesce(CAST({f}_{_k(k)} AS DOUBLE), 0)")} AS "{k}_t_{f}"' for k in [-12, -5, -1, 0] for f in FLAT_FIELDS) +
-       " FROM shifted")
-def _flatten(spark, sf):
-    wide = ft.k_offsets(trade_frames(spark, sf), prev_n=12, from_next_n=0, to_next_n=0)
-    flat = ft.flatten_features(wide, [-12, -5, -1, 0], keep=KEYS, order_fields={})
-    return flat.select(*KEYS, *[r(F.col(f"`{c}`")).alias(c) for c in flat.columns if c not in KEYS])
-
-
 @query("span_and_keys", cte(TRADES, TRADE_WINDOWS) + """
 SELECT min(window_end_ms) AS window_start, max(window_end_ms) AS window_end, CAST(min(window_size_ms) AS VARCHAR) AS sizes,
        (SELECT string_agg(symbol, ',' ORDER BY symbol) FROM (SELECT DISTINCT symbol FROM trades)) AS symbols,

@@ -66,21 +66,23 @@ def assign_ids(arrivals: DataFrame, stored: DataFrame, keys: Sequence[str], orde
 
 
 def appender(path: str, keys: Sequence[str], order: Sequence[str], slice_col: Callable[[], Column]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that appends a micro-batch with dense ids.
+    """A ``foreachBatch`` function that appends a micro-batch with dense ids to the table at ``path``.
 
-    Rows are kept with the batch they came from, so a batch replayed after a failure replaces its own earlier rows.
+    Each batch writes the last id of every key beside the table (``path_last``), and the next one reads only that, not the
+    log. A batch replayed after a failure replaces its own rows and last ids.
     """
+    keys = list(keys)
 
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(path).where(F.col("batch_id") != batch_id)
-        except Exception as e:  # the table is not there before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            stored = batch.withColumn("id", F.lit(0).cast("long")).where(F.lit(False))
-        out = assign_ids(batch, stored, keys, order, slice_col())
-        out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if batch_id:
+            last = spark.read.parquet(f"{path}_last/batch_id={batch_id - 1}")
+        else:
+            last = batch.select(*keys, F.lit(0).cast("long").alias("id")).where(F.lit(False))
+        assign_ids(batch, last, keys, order, slice_col()).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        added = spark.read.parquet(f"{path}/batch_id={batch_id}").select(*keys, "id")
+        merged = last.unionByName(added).groupBy(*keys).agg(F.max("id").alias("id"))
+        merged.write.mode("overwrite").parquet(f"{path}_last/batch_id={batch_id}")
 
     return append
 
