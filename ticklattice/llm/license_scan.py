@@ -46,8 +46,10 @@ SPELLINGS = (
 )
 
 COPYRIGHT_LINE = r"^\s*(copyright\b|\(c\)\s|©|all rights reserved)"
+#: What parts words: white space and punctuation of ASCII, dashes and quotation marks beyond it.
+PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F‐-‟ ]+"
 #: Single words are looked at one by one only in texts that have one of the other spellings.
-_OTHERS = r"\b(" + "|".join(a for a, _ in SPELLINGS) + r")\b"
+OTHER_SPELLINGS = r"\b(" + "|".join(a for a, _ in SPELLINGS) + r")\b"
 
 
 def canonical_lines(text: Column) -> Column:
@@ -57,11 +59,11 @@ def canonical_lines(text: Column) -> Column:
 
 
 def canonical_words(line: Column) -> Column:
-    words = F.regexp_replace(line, r"[\x00-\x2F\x3A-\x60\x7B-\x7F‐-‟ ]+", " ")
+    words = F.regexp_replace(line, PUNCTUATION, " ")
     spelled = words
     for other, one in SPELLINGS:
         spelled = F.regexp_replace(spelled, rf"\b{other}\b", one)
-    return F.trim(F.when(words.rlike(_OTHERS), spelled).otherwise(words))
+    return F.trim(F.when(words.rlike(OTHER_SPELLINGS), spelled).otherwise(words))
 
 
 def whole(lines: Column) -> Column:

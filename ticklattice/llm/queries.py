@@ -13,7 +13,7 @@ from ticklattice.llm.exact_dedup import exact_duplicates
 from ticklattice.llm.html_extract import extract
 from ticklattice.llm.jaccard_join import similar_documents
 from ticklattice.llm.language_model import score_texts
-from ticklattice.llm.license_scan import known_digests, license_scan
+from ticklattice.llm.license_scan import COPYRIGHT_LINE, KNOWN, OTHER_SPELLINGS, PUNCTUATION, SPELLINGS, known_digests, license_scan
 from ticklattice.llm.piece_codec import encode, model_bytes
 from ticklattice.llm.sharding import shards
 from ticklattice.llm.toxicity import severity, train
@@ -51,7 +51,8 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents"), known_digests(spark))
+    found = license_scan(table(spark, sf_dir, "documents"), known_digests(spark))
+    return found.withColumn("line_licenses", F.array_join("line_licenses", ","))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +99,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    """The canonical lines of a text as a list."""
+    words = f"regexp_replace(x, {_quoted(PUNCTUATION)}, ' ', 'g')"
+    spelled = words
+    for other, one in SPELLINGS:
+        spelled = rf"regexp_replace({spelled}, '\b{other}\b', '{one}', 'g')"
+    kept = f"list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '\r\n|\n|\r'), lambda x: NOT regexp_matches(x, {_quoted(COPYRIGHT_LINE)}))"
+    return f"list_transform({kept}, lambda x: trim(CASE WHEN regexp_matches({words}, {_quoted(OTHER_SPELLINGS)}) THEN {spelled} ELSE {words} END))"
+
+
+_WHOLE_SQL = "array_to_string(list_filter(lines, lambda x: x <> ''), ' ')"
+_LICENSES_SQL = f"""
+    WITH known AS (SELECT min(license) AS license, {_WHOLE_SQL} AS form FROM (
+        SELECT license, {_canonical_sql('body')} AS lines FROM (VALUES {', '.join(f'({_quoted(i)}, {_quoted(t)})' for i, t in KNOWN)}) v(license, body)) GROUP BY form),
+    docs AS (SELECT doc_id, {_canonical_sql('text')} AS lines FROM documents),
+    found AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses, count(*) AS n_line_licenses
+              FROM (SELECT doc_id, unnest(lines) AS form FROM docs) JOIN known USING (form) GROUP BY doc_id)
+    SELECT doc_id, k.license AS text_license, coalesce(line_licenses, '') AS line_licenses, coalesce(n_line_licenses, 0) AS n_line_licenses,
+           sha256({_WHOLE_SQL}) AS text_digest
+    FROM docs LEFT JOIN known k ON k.form = {_WHOLE_SQL} LEFT JOIN found USING (doc_id)"""
+
 ORACLES: dict[str, str] = {
+    "op5_license_scans": _LICENSES_SQL,
     # Windows of items and of documents as strings; a word is hit when a window that begins at most nine before it occurs.
     "op1_decontamination": r"""
         WITH lowered AS (
