@@ -223,9 +223,15 @@ def _results_upsert(spark, sf):
     return res.upsert_results(stored, fresh).select("platform", "symbol", "target_name", "training_data_length", "training_data_std", "result_id")
 
 
-@query("directory_stats")
+@query("directory_stats", cte(LOG) + """
+SELECT 'log/platform=' || platform AS directory, CAST(sum(strlen(symbol || ' ' || id) + 1) AS BIGINT) AS bytes, true AS has_files FROM log GROUP BY platform""")
 def _stats(spark, sf):
-    return lg.directory_stats(spark, sf, ["l", "part", "or"])
+    """The log as text in a folder per platform: what each folder holds is the length of its lines."""
+    root = scratch_path(spark, "folders")
+    lines = log(spark, sf).select("platform", F.concat_ws(" ", "symbol", F.col("id").cast("string")).alias("line"))
+    lines.write.partitionBy("platform").text(f"{root}/log")
+    out = lg.directory_stats(spark, root, ["log/**"])
+    return out.where("size_bytes > 0").select("directory", F.col("size_bytes").alias("bytes"), (F.col("file_count") > 0).alias("has_files"))
 
 
 # --- normalisation ---------------------------------------------------------------------------------------------------
