@@ -86,7 +86,7 @@ class Pieces:
 class Encoder:
     """Encodes words, keeping the pieces of those seen and of pairs tried; both stores are emptied when full."""
 
-    LIMIT = 500_000
+    LIMIT = 300_000
 
     def __init__(self, pieces: Pieces):
         self.p, self.words, self.apart, self.alone = pieces, {}, {}, {}
