@@ -218,11 +218,14 @@ class _Reader:
     """The arrays of a block row."""
 
     def __init__(self, batch: pa.RecordBatch, r: int):
-        def values(name):
+        def part(name):
             a = batch.column(name)
-            return a.values.slice(a.offsets[r].as_py(), a.offsets[r + 1].as_py() - a.offsets[r].as_py()).to_numpy(zero_copy_only=False)
+            return a.values.slice(a.offsets[r].as_py(), a.offsets[r + 1].as_py() - a.offsets[r].as_py())
+
+        def values(name):
+            return part(name).to_numpy(zero_copy_only=False)
 
-        self.ids, self.held, self.sizes = values("doc_ids"), values("held"), values("sizes")
+        self.ids, self.held, self.sizes = part("doc_ids"), values("held"), values("sizes")
         n = int(self.sizes.sum())
         planes = pa.decompress(batch.column("tokens")[r].as_py(), decompressed_size=4 * n, codec="zstd", asbytes=True)
         self.tokens = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view(np.int32)[:, 0]
@@ -360,7 +363,7 @@ def _scored(corpus: Corpus, history: History, w: Weights):
                     starts = np.cumsum(sizes) - sizes
                     sums.append([np.add.reduceat(x, starts) for x in ((counts > 0).astype(np.int64), base, log_p / np.log(10) + in_cell)])
                 known, base, score = (np.concatenate(x) for x in zip(*sums))
-                columns = [pa.array(b.ids, pa.int64(), from_pandas=True), pa.array(b.held.astype(bool)), pa.array(b.sizes.astype(np.int64))]
+                columns = [b.ids, pa.array(b.held.astype(bool)), pa.array(b.sizes.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(
                     [*columns, pa.array(known), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
                 )
