@@ -12,7 +12,7 @@ from ticklattice.session import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words are runs of ASCII letters and digits and of anything beyond ASCII.
-WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD_PATTERN = r"[a-z\x{80}-\x{10FFFF}0-9]++"  # of small letters; letters first, as most characters are
 #: For byte strings: the same words after ``translate`` and ``split``; capitals become small, other ASCII a space.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)

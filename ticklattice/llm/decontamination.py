@@ -20,7 +20,7 @@ from ticklattice.session import stored
 
 
 #: Words before capitals are made small, for counting them.
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+ANY_CASE = r"[a-zA-Z\x{80}-\x{10FFFF}0-9]++"
 
 
 def words_of(text: Column) -> Column:
