@@ -114,6 +114,26 @@ def test_language_model_probabilities_add_up(spark, make_docs):
     assert abs(total - 1) < 1e-4
 
 
+def test_language_model_keeps_all_features_and_fine_cells():
+    from ticklattice.llm import language_model as lm
+    from ticklattice.llm.common import WordCutter
+
+    cells = lambda words: lm._tail_cells(*WordCutter().places([" ".join(words).encode()])[:3]).astype(int)
+    third = cells(f"ab{c}xyz" for c in "abcdefghijklmnop")  # the third byte tells members apart
+    assert len(set(third // lm.MEMBERS)) == 1 and len(set(third % lm.MEMBERS)) > 4
+    assert len(set(cells(f"x{c}é" for c in "àáâãäåæçèéêë") // lm.MEMBERS)) > 3  # two characters, not two bytes
+    assert len(set(cells(["word", "word.", 'word..."!)']))) == 1
+    history = lm.History(lm.Corpus(0, 0, np.array([], np.uint64), np.zeros(lm.CELLS), np.zeros(lm.CELLS)))
+    words, near, sizes = np.arange(8).astype(np.uint64), np.arange(8), np.array([8])
+    other = np.where(near == 5, 99, near)  # the cell two before the last token
+    one, two = history.buckets(words, near, sizes), history.buckets(words, other, sizes)
+    assert [x[7] == y[7] for x, y in zip(one, two)] == [True, True, False, False, True]
+    k = np.zeros(8, int)
+    for i in range(5):  # each feature has a say in the choice of the member
+        moved = [b + (n == i) for n, b in enumerate(one)]
+        assert any((x != y).any() for x, y in zip(lm.member_buckets(one, k), lm.member_buckets(moved, k)))
+
+
 def test_language_model_of_nothing(make_docs):
     assert score_texts(make_docs([])).count() == 0
 

@@ -43,13 +43,20 @@ _PUNCTUATION = np.isin(np.arange(256), list(b".,;:!?\"')&%$#*-"))
 
 
 def _tail_cells(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A shared cell for each word: the class by its last two bytes without punctuation, the member by its first two."""
-    ends = ends.copy()
-    for _ in range(3):
-        ends -= (ends - 1 > starts) & _PUNCTUATION[buf[ends - 1]]
-    one = ends - starts < 2
-    last = buf[ends - 1].astype(np.uint64) * np.uint64(256) + np.where(one, 0, buf[ends - 2])
-    first = buf[starts].astype(np.uint64) * np.uint64(256) + np.where(one, 0, buf[starts + 1])
+    """A shared cell for each word: the class by its last two characters without punctuation, the member by its first three bytes."""
+    first = np.zeros(len(starts), np.uint64)
+    for i in range(3):
+        first = (first << np.uint64(8)) | np.where(starts + i < ends, buf[np.minimum(starts + i, len(buf) - 1)], 0).astype(np.uint64)
+    left, at = ends.copy(), np.arange(len(ends))
+    while len(at := at[(left[at] > starts[at]) & _PUNCTUATION[buf[left[at] - 1]]]):
+        left[at] -= 1
+    last = np.zeros(len(starts), np.uint64)
+    for _ in range(2):
+        at = np.flatnonzero(left > starts)
+        while len(at):  # a character's bytes, from its last one back
+            left[at] -= 1
+            last[at] = (last[at] << np.uint64(8)) | buf[left[at]]
+            at = at[(left[at] > starts[at]) & (buf[left[at]] & 0xC0 == 0x80)]
     classes = np.uint64(CLASSES - HEAD // MEMBERS)
     return (HEAD + (mixed(last, 51) % classes).astype(np.int64) * MEMBERS + (mixed(first, 52) % np.uint64(MEMBERS)).astype(np.int64)).astype(np.int16)
 
@@ -141,24 +148,20 @@ class History:
 
         c1, c2, c3 = (before(cells, k) for k in (1, 2, 3))
         m = np.uint64(1 << 10)
-        keys = [mixed(before(words, 1), 21), mixed(before(words, 2), 22), mixed(c1 * m + c2, 23), mixed(c2 * m + c3, 24)]
+        keys = [mixed(before(words, 1), 21), mixed(before(words, 2), 22), mixed(c1 * m + c2, 23), mixed(c2 * m + c3, 24), mixed(c1 * m + c3, 25)]
         return [(k % np.uint64(BUCKETS - 1)).astype(np.intp) + 1 for k in keys]
 
 
 @dataclass
 class Weights:
-    """Bucket 0 of ``classes`` is the bias; ``members`` are picked by class, and by class with a feature."""
+    """Bucket 0 of ``classes`` is the bias; ``members`` are picked by class, and by class with each feature."""
 
     classes: np.ndarray  # BUCKETS x CLASSES
     members: np.ndarray  # BUCKETS x MEMBERS
 
 
-#: The features that tell the members of a class apart: the word before and the two cells before.
-INNER = (0, 2)
-
-
 def member_buckets(buckets: list[np.ndarray], k: np.ndarray) -> list[np.ndarray]:
-    own = [(((buckets[i] * CLASSES + k) * 2654435761 & 0xFFFFFFFF) >> 9) % (BUCKETS - CLASSES) + CLASSES for i in INNER]
+    own = [(((b * CLASSES + k) * 2654435761 & 0xFFFFFFFF) >> 9) % (BUCKETS - CLASSES) + CLASSES for b in buckets]
     return [k.astype(np.intp), *own]
 
 
@@ -310,7 +313,7 @@ def _start(sums: list[np.ndarray]) -> Weights:
 
     def ratios(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
         shares = (counts + 20 * total) / (counts.sum(axis=1, keepdims=True) + 20)
-        return np.log(shares / total) / 2
+        return np.log(shares / total) / 2.5
 
     usual = (by_class[0] + 1) / (by_class[0].sum() + CLASSES)
     classes = ratios(by_class, usual)
