@@ -234,6 +234,18 @@ def test_mined_rules_are_supported_confident_and_short(spark):
     assert usual == "allow" and rules == {(("host:bad", "path:x"), "block"): 1.0, (("host:ok",), "allow"): 1.0, (("path:y",), "allow"): 1.0}
 
 
+def test_support_is_a_number_of_urls_at_every_size(spark):
+    from pyspark.sql import functions as F
+
+    few = [("http://rare.com/p", "block")] * 12 + [("http://odd.com/p", "block")] * 4
+    for n in (200, 4000):  # 12 urls are 6 % or 0.3 % of them
+        rows = few + [(f"http://h{i % 10}.com/p", "block" if i % 4 == 0 else "allow") for i in range(n)]
+        sets = spark.createDataFrame(rows, "url string, verdict string").select(url_tokens(F.col("url")).alias("tokens"), "verdict")
+        found, usual = mine(sets)
+        blocked = {tuple(x.tokens) for x in found.where("verdict = 'block'").collect()}
+        assert usual == "allow" and ("host:rare",) in blocked and not any("host:odd" in x for x in blocked)
+
+
 # token ids
 
 

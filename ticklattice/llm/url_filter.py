@@ -1,10 +1,11 @@
 """URL filters: listed rules first, mined association rules for the rest.
 
 Urls become sets of tokens. Labelled urls are transactions of their tokens and their verdict; FP-growth finds the frequent
-token sets, and those that imply a verdict with enough support, confidence and lift are the rules. A rule is dropped when
+token sets, and those that imply a verdict with enough support and confidence, and surely more often than all labelled urls
+have it, are the rules. Support is a number of labelled urls, the same however many there are. A rule is dropped when
 a rule of fewer of its tokens is as confident. Rules are matched by an inverted index on the token of theirs that is
-rarest among labelled urls; the other tokens are then checked. The most confident fitting rule decides, else the
-commoner verdict of the labels.
+rarest among labelled urls; the other tokens are then checked. The fitting rule most confident against its verdict's share
+of all labelled urls decides, else the commoner verdict of the labels.
 """
 
 from __future__ import annotations
@@ -44,44 +45,48 @@ def url_tokens(url: Column) -> Column:
     return F.when(host != "", F.array_sort(F.array_distinct(F.concat(scheme, labels, folders, names, fragment)))).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, *, support: float = 0.01, confidence: float = 0.6, lift: float = 1.05) -> tuple[DataFrame, str]:
-    """Rules ``tokens, verdict, confidence, key`` from ``labelled(tokens, verdict)``, and the commoner verdict.
+def mine(labelled: DataFrame, *, support: int = 10, confidence: float = 0.6, lift: float = 1.05, z: float = 1.96) -> tuple[DataFrame, str]:
+    """Rules ``tokens, verdict, confidence, lift, key`` from ``labelled(tokens, verdict)``, and the commoner verdict.
 
-    Without labelled urls there are no rules and the verdict is ``allow``.
+    A rule's tokens and verdict come together in ``support`` labelled urls at least, and Wilson's lower bound of its
+    confidence (``z`` deviations) is above the verdict's share of all. Without labelled urls there are no rules and the
+    verdict is ``allow``.
     """
     counts = {r.verdict: r["count"] for r in labelled.groupBy("verdict").count().collect()}  # two verdicts
-    usual = max(sorted(counts), key=counts.get) if counts else "allow"
+    usual, n = max(sorted(counts), key=counts.get) if counts else "allow", max(sum(counts.values()), 1)
     rows = labelled.select(F.array_append("tokens", F.concat(F.lit(_VERDICT), F.col("verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows)
+    # half a row less, as the product with the count is rounded up; no set is in more than all rows
+    model = FPGrowth(itemsCol="items", minSupport=min((support - 0.5) / n, 1.0), minConfidence=confidence).fit(rows)
     found = model.associationRules.where(F.size("consequent") == 1).select(
-        "antecedent", F.col("consequent")[0].alias("then"), "confidence", "lift"
+        "antecedent", F.col("consequent")[0].alias("then"), "confidence", "lift", F.round(F.col("support") * n / F.col("confidence")).alias("m")
     )
-    found = found.where(F.col("then").startswith(_VERDICT) & (F.col("lift") >= lift))
+    p, m = F.col("confidence"), F.col("m")
+    sure = (p + z * z / (2 * m) - z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+    found = found.where(F.col("then").startswith(_VERDICT) & (F.col("lift") >= lift) & (sure > p / F.col("lift")) & (p * m > support - 0.5))
     found = found.where(~F.exists("antecedent", lambda x: x.startswith(_VERDICT))).select(
-        F.array_sort("antecedent").alias("tokens"), F.substring("then", len(_VERDICT) + 1, 100).alias("verdict"), "confidence"
+        F.array_sort("antecedent").alias("tokens"), F.substring("then", len(_VERDICT) + 1, 100).alias("verdict"), "confidence", "lift"
     )
-    found = stored(found, "rules")
-    # fewer tokens, as confident: found through the shared token
-    every = found.select("*", F.explode("tokens").alias("t"))
-    shorter = found.select(F.col("tokens").alias("few"), F.col("verdict").alias("v"), F.col("confidence").alias("c"), F.explode("tokens").alias("t"))
-    covered = every.join(shorter, "t").where(
-        (F.col("v") == F.col("verdict")) & (F.col("c") >= F.col("confidence")) & (F.size("few") < F.size("tokens")) & (F.size(F.array_except("few", "tokens")) == 0)
-    )
-    found = found.join(covered.select("tokens", "verdict").distinct(), ["tokens", "verdict"], "left_anti")
     often = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("t"), "freq")
-    keyed = found.withColumn("t", F.explode("tokens")).join(often, "t").groupBy("tokens", "verdict", "confidence").agg(
+    keyed = found.withColumn("t", F.explode("tokens")).join(often, "t").groupBy("tokens", "verdict", "confidence", "lift").agg(
         F.min_by("t", F.struct("freq", "t")).alias("key")
     )
-    return stored(keyed, "rules"), usual
+    keyed = stored(keyed, "rules")
+    # fewer tokens, as confident: found through the rarest of them
+    every = keyed.select("tokens", "verdict", "confidence", F.explode("tokens").alias("t"))
+    shorter = keyed.select(F.col("tokens").alias("few"), F.col("verdict").alias("v"), F.col("confidence").alias("c"), F.col("key").alias("t"))
+    covered = every.join(shorter, "t").where(
+        (F.col("v") == F.col("verdict")) & (F.col("c") >= F.col("confidence")) & (F.size("few") < F.size("tokens")) & (F.size(F.array_except("few", "tokens")) == 0)
+    )
+    return stored(keyed.join(covered.select("tokens", "verdict").distinct(), ["tokens", "verdict"], "left_anti"), "rules"), usual
 
 
 def judge(tokens: DataFrame, rules: DataFrame, usual: str) -> DataFrame:
     """``tokens, mined``: the verdict for each distinct token set."""
     sets = tokens.select("tokens").distinct()
-    index = small_side(rules.select(F.col("tokens").alias("need"), "verdict", "confidence", "key"))
+    index = small_side(rules.select(F.col("tokens").alias("need"), "verdict", "confidence", "lift", "key"))
     met = sets.select("tokens", F.explode("tokens").alias("key")).join(index, "key").where(F.size(F.array_except("need", "tokens")) == 0)
-    # of equally confident rules the longer, then the first by name
-    best = F.max_by("verdict", F.struct("confidence", F.size("need"), "verdict"))
+    # of rules as strong against their verdict's share the more confident, the longer, then by name
+    best = F.max_by("verdict", F.struct(F.round("lift", 9), "confidence", F.size("need"), "verdict"))
     return sets.join(met.groupBy("tokens").agg(best.alias("mined")), "tokens", "left").select("tokens", F.coalesce("mined", F.lit(usual)).alias("mined"))
 
 
