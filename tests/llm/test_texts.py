@@ -172,6 +172,18 @@ def test_a_page_that_marks_nothing():
     assert main_text(page, html_extract.train_tree()) == " ".join(["word"] * 50 + ["more"] * 60)
 
 
+def test_article_text_stays_under_names_that_only_hold_chrome_words():
+    tree, text = train_tree(), " ".join(f"word{i}" for i in range(40))
+    shown = lambda page: main_text(page, tree)
+    for a in ('style="overflow:hidden"', 'class="post overflow-hidden"', 'data-t="hidden gems"', "class=has-sidebar", 'class="no-sidebar wide"', "id='with-comments'",
+              "class=content-sidebar-wrap", 'data-id="menu"', "hidden=false", 'title="class=ad"'):
+        assert shown(f"<div {a}><article><p>{text}</p></article></div>") == shown(f"<div {a}><p>{text}</p></div>") == text, a
+    for raw in ('<svg class="i"/>', "<svg/>", '<svg data-a="x>y" />', "<title-bar>", "<object-list>", "<select-all></select-all>", "<svg><path d=z /><text>no</text></svg>"):
+        assert shown(f"{raw}<p>{text}</p>") == text, raw
+    for a in ("hidden", 'hidden=""', "HIDDEN class=x", 'style="Display : none"', 'aria-hidden="true"', "class=sidebar", 'class="x site-footer"', "id=cookie-notice", "role=navigation"):
+        assert shown(f"<p>{text}</p><div {a}><p>{text} gone</p></div>") == text, a
+
+
 # licences
 
 

@@ -33,12 +33,16 @@ CHROME_WORDS = frozenset(
     "footer header menu nav navbar navigation newsletter notice pagination pager popup promo promoted related replies reply respond search "
     "share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets contentinfo complementary".split()
 )
+#: Words that may stand beside those in a name that still marks a part of the page, as in ``site-footer``.
+PLACE_WORDS = frozenset("area bar block bottom box button buttons global item left link links list main page primary right secondary section site slot top".split())
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(RAW_TAGS) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<svg(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*?/>|<(" + "|".join(RAW_TAGS) + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
-_MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: A quick look for what ``_is_chrome`` reads.
+_MARKS = re.compile(r"\b(?:class|id|role|hidden|style)\b", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[^a-z]+")
 
 FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "chrome", "article")
@@ -135,12 +139,23 @@ class Blocks:
 def _is_chrome(name: str, attributes: str, in_article: bool) -> bool:
     if name in CHROME_TAGS and not (name == "header" and in_article):
         return True
-    if not attributes:
+    if not _MARKS.search(attributes):
         return False
-    marks = (p for m in _MARKS.finditer(attributes) for p in _PARTS.split((m[1] or m[2] or m[3] or "").lower()))
-    if name not in ARTICLE_TAGS and name not in ("html", "body") and any(p in CHROME_WORDS for p in marks):
-        return True
-    return bool(_HIDDEN.search(attributes))
+    named = name not in ARTICLE_TAGS and name not in ("html", "body")
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key in ("class", "id", "role"):
+            if named and any(_names_chrome(x) for x in value.split()):
+                return True
+        elif key == "hidden" and value != "false" or key == "aria-hidden" and value == "true" or key == "style" and _NOT_SHOWN.search(value):
+            return True
+    return False
+
+
+def _names_chrome(name: str) -> bool:
+    """Whether a whole class or id says so: ``sidebar`` and ``site-footer`` do, ``has-sidebar`` and ``content-sidebar-wrap`` do not."""
+    parts = [p for p in _PARTS.split(name) if p]
+    return any(p in CHROME_WORDS for p in parts) and all(p in CHROME_WORDS or p in PLACE_WORDS for p in parts)
 
 
 def blocks_of(page: str) -> Blocks:
@@ -184,7 +199,7 @@ def blocks_of(page: str) -> Blocks:
                     chrome, article = chrome - c, article - a
                     if opened == name:
                         break
-        elif name in BLOCK_TAGS or _MARKS.search(m[4]) or _HIDDEN.search(m[4]):
+        elif name in BLOCK_TAGS or _MARKS.search(m[4]):
             if m[4].endswith("/"):
                 continue
             if name in ("p", "li") and stack and stack[-1][0] == name:  # their end may be left out
