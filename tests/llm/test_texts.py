@@ -1,6 +1,7 @@
 """Scoring, extraction, licences, urls and token ids: brute force, round trips and held-out accuracy."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -202,6 +203,18 @@ def test_license_scan(spark, make_docs, odd_rows):
     assert license_scan(make_docs([]), known_digests(spark)).count() == 0
 
 
+def test_common_licences_are_known(spark, make_docs):
+    want = ["Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "MPL-2.0"]
+    folder = os.path.join(os.path.dirname(html_extract.__file__), "licenses")
+    whole = {n: open(f"{folder}/{n}.txt").read() for n in want}
+    rows = [(i, t) for i, t in enumerate(whole.values())]
+    rows += [(10 + i, "\n".join(" ".join(p.split()) for p in t.split("\n\n"))) for i, t in enumerate(whole.values())]
+    rows += [(20, "x\nSPDX-License-Identifier: AGPL-3.0-only\ny"), (21, whole["GPL-3.0-only"] + " more"), (22, "Licensed under the BSD 3-clause licence")]
+    got = {r.doc_id: r for r in license_scan(make_docs(rows), known_digests(spark)).collect()}
+    assert [got[i].text_license for i in range(5)] == [got[10 + i].text_license for i in range(5)] == want
+    assert got[20].line_licenses == ["AGPL-3.0-only"] and got[21].text_license is None and got[22].text_license == "BSD-3-Clause"
+
+
 # urls
 
 
