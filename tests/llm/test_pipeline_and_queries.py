@@ -20,9 +20,10 @@ def test_rows_equal_sql(spark, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_every_query_gives_a_row_per_input_row(spark, name):
+def test_every_query_gives_rows(spark, name):
     table = "pages" if re.match("op[46]_", name) else "documents"
-    assert QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
+    rows = QUERIES[name](spark, SF)
+    assert rows.select(rows.columns[0]).distinct().count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
 
 
 def test_pipeline_against_brute_force(spark):

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklattice.llm.common import table
+from ticklattice.llm.common import LOWER, UPPER, table
 from ticklattice.llm.decontamination import contamination
 from ticklattice.llm.exact_dedup import exact_duplicates
+from ticklattice.llm.filter_audit import filter_interactions
 from ticklattice.llm.html_extract import extract
 from ticklattice.llm.jaccard_join import similar_documents
 from ticklattice.llm.language_model import score_texts
 from ticklattice.llm.license_scan import COPYRIGHT_LINE, KNOWN, OTHER_SPELLINGS, PUNCTUATION, SPELLINGS, known_digests, license_scan
+from ticklattice.llm.merkle import fold, leaf_digest, manifest, proof_digest
+from ticklattice.llm.packing import ChunkEncoder, pack
 from ticklattice.llm.piece_codec import encode, model_bytes
 from ticklattice.llm.sharding import shards
 from ticklattice.llm.toxicity import severity, train
@@ -29,6 +32,9 @@ URL_RULES = (
     ("block", "org", "/es/"),
 )
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: What a document's leaf in the manifest is made of.
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +89,39 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"), N_SHARDS)
 
 
+def corpus_filters(text: Column) -> dict[str, Column]:
+    """Conditions of failure: short, repetitive, loud, or with signs of code and markup."""
+    text = F.coalesce(text, F.lit(""))
+    words = F.array_remove(F.split(text, r"[ \x09-\x0D]+"), "")
+    return {
+        "A": F.size(words) < 200,
+        "B": 100 * F.size(F.array_distinct(words)) < 50 * F.size(words),
+        "C": 100 * F.regexp_count(text, F.lit("[A-Z]")) > 2 * F.char_length(text),
+        "D": text.rlike("[#$%&*|]"),
+    }
+
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = filter_interactions(docs, table(spark, sf_dir, "labels"), corpus_filters(F.col("text")), copies="E")
+    return found.drop("filter")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), lambda: ChunkEncoder(BYTE_TOKENIZER), end_id=1, window=2048)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 3 divides an identifier's CRC-32 the text was tampered with: its capitals are small."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    text = F.when(tampered, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    rows = manifest(docs, fields=LEAF, claimed=leaf_digest([*map(F.col, LEAF[:-1]), text]))
+    rows = rows.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), fold(F.col("claimed"), F.col("proof")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,6 +135,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_dedup,
         op9_sentencepiece,
         op10_sharding,
+        op11_filter_audit,
+        op12_packing,
+        op13_merkle_manifest,
     )
 }
 
@@ -126,7 +168,83 @@ _LICENSES_SQL = f"""
            sha256({_WHOLE_SQL}) AS text_digest
     FROM docs LEFT JOIN known k ON k.form = {_WHOLE_SQL} LEFT JOIN found USING (doc_id)"""
 
+_FRAMED = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END" for c in LEAF)
+_TAMPERED = _FRAMED.replace("text::VARCHAR", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """Nodes of the trees over ``leaves(key, pos, n, h)`` with what stands before and after each in its run of eight."""
+    return f"""
+    {name}_nodes AS (
+        SELECT key, 0 AS level, pos, n, h FROM {leaves}
+        UNION ALL
+        SELECT key, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM {name}_nodes WHERE n > 1 GROUP BY key, level, n, pos // 8),
+    {name}_runs AS (
+        SELECT key, level, pos, n, h,
+               coalesce(string_agg(h, '') OVER (PARTITION BY key, level, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+               coalesce(string_agg(h, '') OVER (PARTITION BY key, level, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+        FROM {name}_nodes)"""
+
+
+# CRC-32 of a decimal number bit by bit; trees level by level; each leaf's way up its group's tree and then the tree of the groups.
+_MANIFEST_SQL = f"""
+    WITH RECURSIVE crcs(doc_id, s, place, c) AS (
+        SELECT DISTINCT doc_id, doc_id::VARCHAR, 0, 4294967295::BIGINT FROM documents
+        UNION ALL
+        SELECT doc_id, s, place + 1, CASE WHEN place % 9 = 0 THEN xor(c, ascii(s[place // 9 + 1])::BIGINT) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END
+        FROM crcs WHERE place < 9 * length(s)),
+    marks AS (SELECT doc_id, xor(c, 4294967295::BIGINT) % 3 = 0 AS tampered FROM crcs WHERE place = 9 * length(s)),
+    digests AS (
+        SELECT d.doc_id, coalesce('=' || lang, '') AS key, sha256({_FRAMED.replace('doc_id', 'd.doc_id')}) AS h,
+               CASE WHEN tampered THEN sha256({_TAMPERED.replace('doc_id', 'd.doc_id')}) ELSE sha256({_FRAMED.replace('doc_id', 'd.doc_id')}) END AS claimed
+        FROM documents d LEFT JOIN marks ON marks.doc_id = d.doc_id),
+    leaves AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY key) AS n FROM digests),
+    {_tree_sql('low', 'leaves')},
+    subroots AS (SELECT '' AS key, key AS lang, h, row_number() OVER (ORDER BY key) - 1 AS pos, count(*) OVER () AS n FROM low_nodes WHERE n = 1),
+    {_tree_sql('top', 'subroots')},
+    ways(doc_id, key, level, pos, claimed, siblings, high) AS (
+        SELECT doc_id, key, 0, pos, claimed, '', false FROM leaves
+        UNION ALL
+        SELECT w.doc_id, CASE WHEN r.n > 1 OR w.high THEN w.key ELSE '' END, CASE WHEN r.n > 1 THEN w.level + 1 ELSE 0 END, CASE WHEN r.n > 1 THEN w.pos // 8 ELSE s.pos END,
+               CASE WHEN r.n > 1 THEN sha256(r.before || w.claimed || r.after) ELSE w.claimed END, CASE WHEN r.n > 1 THEN w.siblings || r.before || r.after ELSE w.siblings END, w.high OR r.n = 1
+        FROM ways w JOIN (SELECT false AS high, * FROM low_runs UNION ALL SELECT true, * FROM top_runs) r ON r.high = w.high AND r.key = w.key AND r.level = w.level AND r.pos = w.pos
+        LEFT JOIN subroots s ON s.lang = w.key AND NOT w.high
+        WHERE r.n > 1 OR NOT w.high),
+    ends AS (
+        SELECT w.doc_id, w.claimed, w.siblings FROM ways w JOIN top_nodes t ON t.key = w.key AND t.level = w.level AND t.pos = w.pos WHERE w.high AND t.n = 1)
+    SELECT l.doc_id, l.h AS leaf, s.h AS subroot, t.h AS root, sha256(e.siblings) AS proof_sha256, e.claimed AS folded_root, e.claimed = t.h AS verified
+    FROM leaves l JOIN ends e USING (doc_id) JOIN subroots s ON s.lang = l.key JOIN top_nodes t ON t.n = 1"""
+
+_AUDIT_SQL = r"""
+    WITH RECURSIVE texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+    split AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, doc_id > min(doc_id) OVER (PARTITION BY t) AS copy FROM texts),
+    masks AS (
+        SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+               + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(copy, false)::INT AS mask
+        FROM split),
+    marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+    cells AS (
+        SELECT part, mask, count(*) AS docs, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM masks LEFT JOIN marks USING (doc_id) GROUP BY part, mask),
+    letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+    prefixes(prefix, letter, bit, before, step) AS (
+        SELECT '', '', 0, 0, 0
+        UNION ALL
+        SELECT p.prefix || l.letter, l.letter, l.bit, p.before + p.bit, p.step + 1 FROM prefixes p JOIN letters l ON NOT contains(p.prefix, l.letter)),
+    orders AS (SELECT o.prefix AS filter_order, p.* FROM prefixes o JOIN prefixes p ON o.step = 5 AND p.step > 0 AND starts_with(o.prefix, p.prefix)),
+    sums AS (
+        SELECT part, filter_order, step, letter,
+               sum(CASE WHEN mask & (before + bit) = 0 THEN docs ELSE 0 END)::BIGINT AS kept,
+               sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN docs ELSE 0 END)::BIGINT AS removed,
+               sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN docs ELSE 0 END)::BIGINT AS redundant,
+               sum(CASE WHEN mask = bit THEN docs ELSE 0 END)::BIGINT AS unique_fails,
+               sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+               sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+        FROM cells, orders GROUP BY part, filter_order, step, letter)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley FROM sums"""
+
 ORACLES: dict[str, str] = {
+    "op11_filter_audit": _AUDIT_SQL,
+    "op13_merkle_manifest": _MANIFEST_SQL,
     "op5_license_scans": _LICENSES_SQL,
     # Windows of items and of documents as strings; a word is hit when a window that begins at most nine before it occurs.
     "op1_decontamination": r"""
