@@ -41,6 +41,19 @@ def test_exact_duplicates(make_docs, odd_rows, keep):
     assert bag(exact_duplicates(make_docs(odd_rows), keep=keep, nodes=27, fan_in=5)) == want
 
 
+def test_rows_go_by_identifier_and_text_whatever_columns_are_called(spark, make_docs):
+    clash = ("_id", "_digest", "_sha", "c", "n", "gone_id", "GONE_ID_", "kept_id", "kept_digest", "i", "toxic", "class_id")
+    rows = [(1, "x"), (2, "x"), (3, "y"), (3, "x"), (3, "y"), (4, "z"), (None, "z"), (5, None), (6, ""), (None, "w")]
+    docs = make_docs(rows, extra=clash)
+    left = drop_exact_duplicates(docs, keep="largest")
+    assert left.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter([(3, "x"), (3, "y"), (4, "z"), (6, ""), (None, "w")])
+    items = spark.createDataFrame([(1, "z")], "item_id long, text string")
+    for out in (drop_contaminated(docs, items), drop_near_duplicates(docs)):
+        assert out.columns == docs.columns
+    assert drop_contaminated(docs, items).count() == 7  # both identifiers with z, the null one with all its rows
+
+
 def test_dropping_exact_duplicates_keeps_columns(make_docs, odd_rows):
     docs = make_docs(odd_rows)
     left = drop_exact_duplicates(docs, keep="largest")
@@ -185,6 +198,26 @@ def test_large_group_of_near_copies_in_several_blocks(make_docs, monkeypatch):
     assert got == brute_components(rows, 3, 90)
 
 
+def test_texts_of_one_identifier_are_linked(make_docs, monkeypatch):
+    from ticklattice.llm import jaccard_join
+
+    r = random.Random(9)
+    a, b, c = (" ".join(f"{k}{r.randrange(9000)}" for _ in range(200)) for k in "abc")
+    rows = [(3, a), (5, a), (5, b), (7, b + " one"), (10, c), (11, b + " two"), (20, a + " x"), (20, c), (21, a + " x"), (30, "s t u"), (31, "v w x"), (32, "s t u"), (32, "v w x"), (None, a)]
+    got = {(x.doc_id, x.component_id) for x in similar_documents(make_docs(rows)).collect()}
+    assert got == {(i, 3) for i in (3, 5, 7, 10, 11, 20, 21, None)} - {(None, 3)} | {(None, 3)} | {(i, 30) for i in (30, 31, 32)}
+
+
+def test_tokens_in_a_third_of_all_texts_are_spread_and_linked(make_docs, monkeypatch):
+    from ticklattice.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "SALTS", 3)
+    r, line = random.Random(6), [f"l{i}" for i in range(14)]
+    rows = [(i, " ".join(([f"u{i}"] if i % 3 else line + [f"x{i // 60}"]) + [f"v{r.randrange(50)}" for _ in range(i % 2)])) for i in range(300)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in similar_documents(make_docs(rows), percent=80).collect()}
+    assert got == brute_components(rows, 3, 80)
+
+
 def test_near_duplicates_leave_one_of_each_group(make_docs, odd_rows):
     docs = make_docs(odd_rows)
     left = drop_near_duplicates(docs)

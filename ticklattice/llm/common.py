@@ -45,6 +45,23 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if fits(df, limit) else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose identifier is not in the one column of ``gone``, whatever their columns are called.
+
+    ``gone`` should be a stored table: it is counted before it is joined.
+    """
+    name = fresh(docs, "gone_id")
+    return docs.join(small_side(gone.toDF(name)), F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
+
+
 def text_bytes(column) -> list[bytes]:
     """The byte strings of an Arrow text column; null is empty."""
     import pyarrow as pa

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ticklattice.llm.common import WORD_PATTERN, ascii_lower, let, small_side
+from ticklattice.llm.common import WORD_PATTERN, ascii_lower, let, small_side, without
 from ticklattice.session import stored
 
 
@@ -141,5 +141,4 @@ def contamination(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, span: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents in which no benchmark window occurs, with all their columns."""
     found = contamination(docs, benchmark, span=span, id_col=id_col, text_col=text_col).where("contaminated")
-    gone = found.select(F.col("doc_id").alias("_id"))
-    return docs.join(small_side(gone), docs[id_col].eqNullSafe(F.col("_id")), "left_anti")
+    return without(docs, stored(found.select("doc_id").distinct(), "contaminated"), id_col)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ticklattice.llm.common import fits, fresh, small_side, without
 from ticklattice.session import stored
 
 #: A text's key: its digest, and its length and a second hash by which equal digests are verified.
@@ -69,9 +70,20 @@ def exact_duplicates(
 
 
 def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they were."""
-    stays = exact_duplicates(docs, id_col=id_col, text_col=text_col, keep=keep).where("kept")
-    stays = stays.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    tagged = docs.withColumn("_digest", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    met = tagged.join(stays, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_semi")
-    return met.dropDuplicates([id_col, "_digest"]).drop("_digest")
+    """The rows of ``docs`` that stay, all columns as they were.
+
+    Rows go by their identifier. Only identifiers of which some rows stay and some go are looked at once more, text by text.
+    """
+    found = stored(exact_duplicates(docs, id_col=id_col, text_col=text_col, keep=keep).select("doc_id", "kept", "text_sha256"), "kept")
+    by_id = found.groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("all"))
+    changed = stored(by_id.where(~F.col("all")), "changed")
+    left = without(docs, changed.select("doc_id"), id_col)
+    partly = changed.where("some").select("doc_id")
+    if fits(partly, 0):
+        return left
+    ident, digest, sha = (fresh(docs, c) for c in ("kept_id", "kept_digest", "kept_sha"))
+    again = docs.join(small_side(partly.toDF(ident)), F.col(id_col).eqNullSafe(F.col(ident)), "left_semi")
+    again = again.withColumn(digest, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    stays = found.where("kept").join(small_side(partly.toDF("i")), F.col("doc_id").eqNullSafe(F.col("i")), "left_semi").select(F.col("doc_id").alias(ident), F.col("text_sha256").alias(sha))
+    again = again.join(small_side(stays), F.col(id_col).eqNullSafe(F.col(ident)) & (F.col(digest) == F.col(sha)), "left_semi")
+    return left.union(again.dropDuplicates([id_col, digest]).drop(digest))

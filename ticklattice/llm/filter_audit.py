@@ -28,9 +28,7 @@ def _cells(
 ) -> DataFrame:
     """``part, mask, docs, good, toxic``: documents by part and by the bits of the filters they fail."""
     fails = [F.when(F.coalesce(cond, F.lit(False)), F.lit(bits[name])).otherwise(F.lit(0)) for name, cond in filters.items()]
-    mask = fails[0]
-    for f in fails[1:]:
-        mask = mask + f
+    mask = sum(fails, F.lit(0))
     has_id = F.col(id_col).isNotNull()
     facts = docs.select(
         F.col(id_col).alias("id"),
