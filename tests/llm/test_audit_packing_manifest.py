@@ -208,6 +208,7 @@ def test_chunks_have_the_ids_of_whole_texts(spark):
     whole.encode_special_tokens = True
     texts = ["", " ", "  ", "a  b", " a ", "\n\t\r x \n\n y", "it's 'S  's", "é  x y　 z", "\x1c\x1d a\x1fb", "x<|endoftext|>y  <|endoftext|> ", "你好  🙂🙂", "\x85\x0b\x0c.", "a" * 3000, "!?  ...\n"]
     r = random.Random(7)
+    assert len({encode.common(t) is None for t in texts}) == 2
     texts += ["".join(r.choices("ab1'sé.\n\t   🙂\x1c", k=40)) for _ in range(500)]
     texts += [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     for t, raw in zip(texts, encode(texts)):

@@ -12,6 +12,7 @@ Sources whose share of a window is below a grain of tokens stand in one common q
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
@@ -40,42 +41,77 @@ Encode = Callable[[list[str]], list[bytes]]
 
 
 class ChunkEncoder:
-    """Ids of a byte-level BPE tokenizer by chunks of at most one blank and a run of other characters, as unsigned 16-bit numbers.
+    """Ids of a byte-level BPE tokenizer by chunks of a text, as unsigned 16-bit numbers.
 
-    The tokenizer itself never joins characters over the edge of such a chunk, so the ids of the chunks put together are those of
-    the text. Chunks already met are kept, a bounded number of them. The strings of special tokens count as ordinary text.
+    The tokenizer never joins characters over the edge of a chunk, so the ids of the chunks put together are those of the text. Chunks already
+    met are kept, a bounded number of them. Texts of common letters are cut as the tokenizer cuts them, and new chunks are merged
+    by the ranks of the same vocabulary, many at a time; all others are cut at white space alone and the tokenizer itself, whose classes of
+    characters count, is asked for each chunk. The strings of special tokens are ordinary text.
     """
 
-    LIMIT = 300_000
-    #: White space as the tokenizer's own pattern has it, for a class of characters.
+    LIMIT = 500_000
+    #: White space as the tokenizer's own pattern has it, for a class of characters, and the letters of texts cut here.
     SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+    #: The tokenizer's own pattern, as its vocabulary needs it.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str):
-        import re
-
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("ids of more than 16 bits")
-        s = self.SPACES
-        self.chunks = re.compile(f" ?[^{s}]+|[{s}]+(?![^{s}])|[{s}]+").findall
+        byte_of = {c: b for b, c in enumerate(_byte_letters())}
+        special = set(self.tokenizer.get_added_tokens_decoder())
+        ranks = {bytes(byte_of[c] for c in piece): i for piece, i in vocabulary.items() if i not in special}
+        self.merge, self.feed = tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, ranks[b"\n"]
+        s, a = self.SPACES, self.LETTERS
+        blanks = f"[{s}]+(?![^{s}])|[{s}]+"
+        self.coarse = re.compile(f" ?[^{s}]+|{blanks}").findall
+        self.fine = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{a}]+| ?[0-9]+| ?[^{s}{a}0-9]+|{blanks}").findall
+        self.common = re.compile("[\t-\r -~\u00c0-\u00ff]*").fullmatch
         self.known: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            chunks = self.chunks(text)
-            new = list({c for c in chunks if c not in self.known})
-            if new:
-                if len(self.known) + len(new) > self.LIMIT:
-                    self.known.clear()
-                    new = list(set(chunks))
-                for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                    self.known[c] = np.array(e.ids, "<u2").tobytes()
-            out.append(b"".join(map(self.known.__getitem__, chunks)))
-        return out
+        cut = [(bool(self.common(t)), t) for t in texts]
+        chunks = [self.fine(t) if c else self.coarse(t) for c, t in cut]
+        if len(self.known) > self.LIMIT:
+            self.known.clear()
+        common = list(set().union(*(x for x, (c, _) in zip(chunks, cut) if c)) - self.known.keys())
+        words = [x for x in common if not x.isspace()]
+        if words:  # told apart by line feeds, which are chunks of their own there
+            ids = np.array(self.merge("\n".join(words)), "<u2")
+            raw, ends = ids.tobytes(), [*(2 * np.flatnonzero(ids == self.feed)).tolist(), 2 * len(ids)]
+            self.known.update(zip(words, (raw[a:b] for a, b in zip([0, *(e + 2 for e in ends)], ends))))
+        rest = list(set().union(*chunks) - self.known.keys())
+        for x, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
+            self.known[x] = np.array(e.ids, "<u2").tobytes()
+        get = self.known.__getitem__
+        return [b"".join(map(get, x)) for x in chunks]
+
+
+def _byte_letters() -> str:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it shows, else the next beyond 255."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    letters, beyond = [], 256
+    for b in range(256):
+        letters.append(chr(b if b in shown else beyond))
+        beyond += b not in shown
+    return "".join(letters)
+
+
+_encoders: dict[str, ChunkEncoder] = {}
+
+
+def chunk_encoder(path: str) -> ChunkEncoder:
+    """One encoder for all tasks of a worker."""
+    if path not in _encoders:
+        _encoders[path] = ChunkEncoder(path)
+    return _encoders[path]
 
 
 def tokens_of(docs: DataFrame, encoder: Callable[[], Encode], end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -250,7 +286,7 @@ def _queues(tokens: DataFrame, shares: Mapping[str, float] | None, window: int)
     others = totals.where(~F.col("key").isin(list(goals)))
     unnamed, open_share = others.agg(F.sum("n")).first()[0] or 0, 1 - sum(goals.values())
     if unnamed and open_share * window >= GRAIN:  # such sources share by their tokens what is left; window / GRAIN of them at most are a grain
-        goals |= {r.key: open_share * r.n / unnamed for r in others.where(F.col("n") * (open_share * window) >= F.lit(unnamed) * GRAIN).collect()}
+        goals |= {r.key: open_share * r.n / unnamed for r in others.where(F.col("n") * (open_share * window) >= F.lit(float(unnamed * GRAIN))).collect()}
     own = {k: x for k, x in goals.items() if x * window >= GRAIN}
     keys = sorted(own)
     found = {r.key: r.n for r in totals.where(F.col("key").isin(keys)).collect()}
