@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ticklattice.llm import merkle, packing
 from ticklattice.llm.filter_audit import filter_interactions, filter_steps
 from ticklattice.llm.merkle import fold, leaf_digest, manifest, proof_digest
-from ticklattice.llm.packing import ChunkEncoder, Stretch, apportioned, pack, plan, sequences
+from ticklattice.llm.packing import ByteEncoder, Stretch, apportioned, pack, plan, sequences
 from ticklattice.llm.queries import BYTE_TOKENIZER, LEAF, corpus_filters
 
 CLASH = ("part", "mask", "id", "n", "good", "key", "leaf", "pos", "block", "root", "queue", "start", "ids", "claimed")
@@ -161,7 +161,7 @@ def test_packing(make_docs, odd_rows, shares):
     rows = odd_rows + [(100 + i, " ".join(f"w{r.randrange(500)}" for _ in range(r.choice((1, 30, 200))))) for i in range(150)]
     source = lambda i: None if i is None else "abbbbc"[i % 6]
     docs = make_docs(rows, extra=CLASH).withColumn("source", F.element_at(F.array(*[F.lit(c) for c in "abbbbc"]), (F.col("doc_id") % 6 + 1).cast("int")))
-    encoder = lambda: ChunkEncoder(BYTE_TOKENIZER)
+    encoder = lambda: ByteEncoder(BYTE_TOKENIZER)
     pieces = pack(docs, encoder, end_id=1, window=256, shares=shares).collect()
     by_sequence = unpacked(pieces, encoder(), rows, 256)
     totals = Counter()
@@ -185,28 +185,28 @@ def test_packing(make_docs, odd_rows, shares):
 def test_many_small_sources_share_a_queue(make_docs):
     rows = [(i, f"text {i}") for i in range(600)]
     docs = make_docs(rows).withColumn("source", (F.col("doc_id") % 300).cast("string"))
-    encoder = lambda: ChunkEncoder(BYTE_TOKENIZER)
+    encoder = lambda: ByteEncoder(BYTE_TOKENIZER)
     unpacked(pack(docs, encoder, end_id=1, window=64).collect(), encoder(), rows, 64)
 
 
 def test_sequences_are_padded_but_for_powers_of_two(make_docs):
     docs = make_docs([(i, "one two three " * 9) for i in range(7)])
-    pieces = pack(docs, lambda: ChunkEncoder(BYTE_TOKENIZER), end_id=1, window=64)
+    pieces = pack(docs, lambda: ByteEncoder(BYTE_TOKENIZER), end_id=1, window=64)
     out = sorted((x.sequence_id, x.n_tokens, len(x.token_ids)) for x in sequences(pieces, window=64, pad_id=9).collect())
     assert sum(n for _, n, _ in out) == pieces.agg(F.sum("length")).first()[0] and all(size in (n, 64) and (size == n) == (n & (n - 1) == 0) for _, n, size in out)
 
 
 def test_packing_nothing(make_docs):
-    assert pack(make_docs([]), lambda: ChunkEncoder(BYTE_TOKENIZER), end_id=1).count() == 0
-    assert [x.length for x in pack(make_docs([(1, None)]), lambda: ChunkEncoder(BYTE_TOKENIZER), end_id=1).collect()] == [1]
+    assert pack(make_docs([]), lambda: ByteEncoder(BYTE_TOKENIZER), end_id=1).count() == 0
+    assert [x.length for x in pack(make_docs([(1, None)]), lambda: ByteEncoder(BYTE_TOKENIZER), end_id=1).collect()] == [1]
 
 
-def test_chunks_have_the_ids_of_whole_texts(spark):
+def test_ids_are_those_of_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
-    whole, encode = Tokenizer.from_file(BYTE_TOKENIZER), ChunkEncoder(BYTE_TOKENIZER)
+    whole, encode = Tokenizer.from_file(BYTE_TOKENIZER), ByteEncoder(BYTE_TOKENIZER)
     whole.encode_special_tokens = True
-    texts = ["", " ", "  ", "a  b", " a ", "\n\t\r x \n\n y", "it's 'S  's", "é  x y　 z", "\x1c\x1d a\x1fb", "x<|endoftext|>y  <|endoftext|> ", "你好  🙂🙂", "\x85\x0b\x0c.", "a" * 3000, "!?  ...\n"]
+    texts = ["", " ", "  ", "a  b", " a ", "\n\t\r x \n\n y", "it's 'S  's", "é  x y　 z", "\x1c\x1d a\x1fb", "x<|endoftext|>y  <|endoftext|> ", "你好  🙂🙂", "\x85\x0b\x0c.", "a" * 3000, "!?  ...\n", "a b\nc d\n", "x\ny ", " z\t"]
     r = random.Random(7)
     assert len({encode.common(t) is None for t in texts}) == 2
     texts += ["".join(r.choices("ab1'sé.\n\t   🙂\x1c", k=40)) for _ in range(500)]

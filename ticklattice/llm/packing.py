@@ -40,21 +40,16 @@ Encode = Callable[[list[str]], list[bytes]]
 # token ids
 
 
-class ChunkEncoder:
-    """Ids of a byte-level BPE tokenizer by chunks of a text, as unsigned 16-bit numbers.
+class ByteEncoder:
+    """Ids of a byte-level BPE tokenizer as unsigned 16-bit numbers; the strings of special tokens are ordinary text.
 
-    The tokenizer never joins characters over the edge of a chunk, so the ids of the chunks put together are those of the text. Chunks already
-    met are kept, a bounded number of them. Texts of common letters are cut as the tokenizer cuts them, and new chunks are merged
-    by the ranks of the same vocabulary, many at a time; all others are cut at white space alone and the tokenizer itself, whose classes of
-    characters count, is asked for each chunk. The strings of special tokens are ordinary text.
+    Texts of common letters are merged by the ranks of the same vocabulary, which is quicker and gives the same ids; without white space in a
+    row they need no looking ahead when they are cut. For all others the tokenizer itself, whose classes of characters count, is asked.
     """
 
-    LIMIT = 500_000
-    #: White space as the tokenizer's own pattern has it, for a class of characters, and the letters of texts cut here.
-    SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-    LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-    #: The tokenizer's own pattern, as its vocabulary needs it.
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    #: The tokenizer's own pattern, as its vocabulary needs it, in two parts: the second is for white space in a row.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
+    AHEAD, BLANKS = r"|\s+(?!\S)", r"|\s+"
 
     def __init__(self, path: str):
         import tiktoken
@@ -68,30 +63,20 @@ class ChunkEncoder:
         byte_of = {c: b for b, c in enumerate(_byte_letters())}
         special = set(self.tokenizer.get_added_tokens_decoder())
         ranks = {bytes(byte_of[c] for c in piece): i for piece, i in vocabulary.items() if i not in special}
-        self.merge, self.feed = tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, ranks[b"\n"]
-        s, a = self.SPACES, self.LETTERS
-        blanks = f"[{s}]+(?![^{s}])|[{s}]+"
-        self.coarse = re.compile(f" ?[^{s}]+|{blanks}").findall
-        self.fine = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{a}]+| ?[0-9]+| ?[^{s}{a}0-9]+|{blanks}").findall
+        whole, simple = (tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (self.PATTERN + self.AHEAD + self.BLANKS, self.PATTERN + self.BLANKS))
+        self.whole, self.simple = whole.encode_ordinary, simple.encode_ordinary
         self.common = re.compile("[\t-\r -~\u00c0-\u00ff]*").fullmatch
-        self.known: dict[str, bytes] = {}
+        self.in_a_row = re.compile("[\t-\r ][\t-\r ]").search
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [(bool(self.common(t)), t) for t in texts]
-        chunks = [self.fine(t) if c else self.coarse(t) for c, t in cut]
-        if len(self.known) > self.LIMIT:
-            self.known.clear()
-        common = list(set().union(*(x for x, (c, _) in zip(chunks, cut) if c)) - self.known.keys())
-        words = [x for x in common if not x.isspace()]
-        if words:  # told apart by line feeds, which are chunks of their own there
-            ids = np.array(self.merge("\n".join(words)), "<u2")
-            raw, ends = ids.tobytes(), [*(2 * np.flatnonzero(ids == self.feed)).tolist(), 2 * len(ids)]
-            self.known.update(zip(words, (raw[a:b] for a, b in zip([0, *(e + 2 for e in ends)], ends))))
-        rest = list(set().union(*chunks) - self.known.keys())
-        for x, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
-            self.known[x] = np.array(e.ids, "<u2").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in chunks]
+        out = []
+        for t in texts:
+            if not self.common(t):
+                ids = self.tokenizer.encode(t, add_special_tokens=False).ids
+            else:
+                ids = self.whole(t) if self.in_a_row(t) else self.simple(t)
+            out.append(np.array(ids, "<u2").tobytes())
+        return out
 
 
 def _byte_letters() -> str:
@@ -104,13 +89,13 @@ def _byte_letters() -> str:
     return "".join(letters)
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[str, ByteEncoder] = {}
 
 
-def chunk_encoder(path: str) -> ChunkEncoder:
+def byte_encoder(path: str) -> ByteEncoder:
     """One encoder for all tasks of a worker."""
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = ByteEncoder(path)
     return _encoders[path]
 
 

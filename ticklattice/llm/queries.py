@@ -16,7 +16,7 @@ from ticklattice.llm.jaccard_join import similar_documents
 from ticklattice.llm.language_model import score_texts
 from ticklattice.llm.license_scan import COPYRIGHT_LINE, KNOWN, OTHER_SPELLINGS, PUNCTUATION, SPELLINGS, known_digests, license_scan
 from ticklattice.llm.merkle import fold, leaf_digest, manifest, proof_digest
-from ticklattice.llm.packing import chunk_encoder, pack
+from ticklattice.llm.packing import byte_encoder, pack
 from ticklattice.llm.piece_codec import encode, model_bytes
 from ticklattice.llm.sharding import shards
 from ticklattice.llm.toxicity import severity, train
@@ -108,7 +108,7 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(table(spark, sf_dir, "documents"), lambda: chunk_encoder(BYTE_TOKENIZER), end_id=1, window=2048)
+    pieces = pack(table(spark, sf_dir, "documents"), lambda: byte_encoder(BYTE_TOKENIZER), end_id=1, window=2048)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
