@@ -15,7 +15,8 @@ from ticklattice.operators import transforms as tf
 from ticklattice.plans.views import WINDOW_MS, book_messages, trades
 from ticklattice.plans.windows_catalog import trade_frames
 from ticklattice.sources import window_store as ws
-from ticklattice.streaming import processors as ps
+from ticklattice.streaming import book_windows as bw
+from ticklattice.streaming.processors import two_window_stream
 from ticklattice.streaming import runner
 
 SF = "/root/testdata/sf0.001"
@@ -188,8 +189,96 @@ def test_windows_with_times_that_go_back_and_forth(spark, seed):
         assert {k: (v[0], v[1]) for k, v in got.items()} == {k: (v[0], v[1]) for k, v in want.items()}
         assert {k: v[2:] for k, v in got.items()} == {k: v[2:] for k, v in want.items()}
     halves = [messages.where("id < 600"), messages.where("id >= 600")]
-    streamed = runner.run_in_parts(halves, lambda s: ps.book_tick_stream(s, window_ms=size), "ticks")
+    streamed = runner.run_in_parts(halves, lambda s: bw.book_tick_stream(s, window_ms=size), "ticks")
     assert same(streamed, ob.book_ticks(ob.drop_late(messages, size)).select(streamed.columns))
+    thirds = [messages.where(f"id >= {a} and id < {b}") for a, b in ((0, 300), (300, 301), (301, 10_000))]
+    windows = runner.run_in_parts(thirds, lambda s: bw.order_window_stream(s, size), "windows")
+    batch = {r["window_end_ms"]: r for r in ob.order_windows(ob.book_ticks(ob.drop_late(messages, size)), size).collect()}
+    got = {r["window_end_ms"]: r for r in windows.collect()}
+    assert set(got) == set(batch) - {max(batch)}  # the last window is still open
+    for end, r in got.items():
+        for f in ob.ORDER_FEATURES:
+            a, b = r[f], batch[end][f]
+            assert a == b or a == pytest.approx(b, rel=1e-9, abs=1e-6), (end, f)
+
+
+class MapOfOne:
+    """A map state of one key that counts what is written."""
+
+    def __init__(self):
+        self.held, self.writes = {}, 0
+
+    def iterator(self):
+        return iter([((k,), (v,)) for k, v in self.held.items()])
+
+    def updateValue(self, key, value):
+        self.held[key[0]], self.writes = value[0], self.writes + 1
+
+    def removeKey(self, key):
+        del self.held[key[0]]
+        self.writes += 1
+
+
+class ValueOfOne:
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+class HandleOfOne:
+    def getMapState(self, *_):
+        return MapOfOne()
+
+    def getValueState(self, *_):
+        return ValueOfOne()
+
+
+def test_a_micro_batch_writes_only_the_levels_it_changed():
+    book = bw.BookState(HandleOfOne())
+    assert book.load() is None
+    wide = {"bids": [[str(p), "1"] for p in range(500)], "asks": [], "depths": [500, 0], "live": True, "seen": 7}
+    assert book.save(wide) == 500
+    back = book.load()
+    assert back == wide
+    back["bids"] = [x for x in back["bids"] if x[0] != "3"]
+    back["bids"][0] = ["0", "2"]
+    back["asks"] = [["900", "5"]]
+    assert book.save(back) == 3 and book.load() == back
+    assert book.save(back) == 0
+
+
+def test_sums_of_a_window_do_not_depend_on_how_its_ticks_are_cut():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    t = np.cumsum(rng.integers(-2, 9, 200)) + 1000
+    quotes = {"bb": np.where(rng.random(200) < 0.1, np.nan, 1e6 + rng.integers(0, 9, 200)), "ba": np.where(rng.random(200) < 0.1, np.nan, 1e6 + rng.integers(7, 15, 200))}
+    quotes |= {c: rng.integers(0, 4, 200).astype(float) for c in ("bq0", "aq0", "tot_b", "tot_a")}
+    whole = bw.WindowSums(0)
+    whole.add(t, quotes)
+    for cuts in ([1], [50, 51, 120], list(range(1, 200))):
+        parts = bw.WindowSums(0)
+        for a, b in zip([0, *cuts], [*cuts, 200]):
+            parts = bw.WindowSums.of(parts.state())  # as it comes back from the store
+            parts.add(t[a:b], {c: x[a:b] for c, x in quotes.items()})
+        assert parts.row(("p", "s"), 10)[:4] == whole.row(("p", "s"), 10)[:4]
+        assert parts.state() == pytest.approx(whole.state(), nan_ok=True, rel=1e-9, abs=1e-6)
+
+
+def test_open_windows_come_out_once_a_key_is_idle(spark):
+    """Two open trade windows of one key; a second key whose only window is open; each once."""
+    rows = [("p", "a", i, 1000 * i, "1.5", "2", 0) for i in range(25)] + [("p", "b", 1, 5, "1", "1", 1)]
+    trades = spark.createDataFrame(rows, "platform string, symbol string, platform_trade_id long, time_ms long, price string, quantity string, side int")
+    out = runner.run_until_idle([trades.where("time_ms < 12000"), trades.where("time_ms >= 12000")], lambda s: two_window_stream(s, 10_000, idle_ms=3000), "idle", 3000)
+    got = sorted((r.symbol, r.window_end_ms, r.trade_count) for r in out.collect())
+    assert got == [("a", 10_000, 10), ("a", 20_000, 10), ("a", 30_000, 5), ("b", 10_000, 1)]
 
 
 def test_a_fold_does_not_depend_on_its_batches(spark):

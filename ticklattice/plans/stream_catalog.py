@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticklattice.operators import order_book as ob
@@ -15,6 +15,7 @@ from ticklattice.plans.views import BOOK_SLICE, BOOKS, T0_MS, TRADES, WINDOW_MS,
 from ticklattice.plans.windows_catalog import KEYS, TRADE_WINDOWS, WHOLE, K, r, rs
 from ticklattice.session import scratch_path
 from ticklattice.sources import raw_log as raw
+from ticklattice.streaming import book_windows as bw
 from ticklattice.streaming import processors as ps
 from ticklattice.streaming import runner
 
@@ -72,28 +73,28 @@ def _st5(spark, sf):
     return runner.run_in_parts(halves(sequence(spark, sf), "arrival", CUT_ID), ps.sequence_stream, "sequence")
 
 
-def _streamed_ticks(spark: SparkSession, sf: str, window_ms: int | None = None) -> DataFrame:
-    parts = halves(book_messages(spark, sf), "id", CUT_ID)
-    return runner.run_in_parts(parts, lambda s: ps.book_tick_stream(s, window_ms=window_ms), "ticks")
-
-
 @query("order_book_state_stream", cte(BOOKS, TICKS) + "SELECT platform, symbol, id, time_ms, bb, ba, bq0, aq0, tot_b, tot_a FROM ticks")
 def _st3(spark, sf):
-    return _streamed_ticks(spark, sf).select(*S, "id", "time_ms", "bb", "ba", "bq0", "aq0", "tot_b", "tot_a")
+    out = runner.run_in_parts(halves(book_messages(spark, sf), "id", CUT_ID), bw.book_tick_stream, "ticks")
+    return out.select(*S, "id", "time_ms", "bb", "ba", "bq0", "aq0", "tot_b", "tot_a")
+
 
+IDLE_MS = 5_000  # a key without messages for so long puts out what it holds open
 
-@query("order_window", cte(*ORDER_CTE) + f"SELECT {K}, {', '.join(_out_sql(f) for f in ('sw_mid', 'n_updates', 'close_mid', 'M2_mid'))} FROM order_windows")
+
+# All windows and features come out of the stream; each key's last one by its timer.
+@query("order_window", cte(*ORDER_CTE) + f"SELECT {K}, {', '.join(_out_sql(f) for f in ob.ORDER_FEATURES)} FROM order_windows")
 def _st7(spark, sf):
-    out = ob.order_windows(_streamed_ticks(spark, sf, WINDOW_MS), WINDOW_MS, slice_ids=BOOK_SLICE)
-    return out.select(*KEYS, *[_out(f) for f in ("sw_mid", "n_updates", "close_mid", "M2_mid")])
+    parts = halves(book_messages(spark, sf), "id", CUT_ID)
+    out = runner.run_until_idle(parts, lambda s: bw.order_window_stream(s, WINDOW_MS, idle_ms=IDLE_MS), "order-windows", IDLE_MS)
+    return out.select(*KEYS, *[_out(f) for f in ob.ORDER_FEATURES])
 
 
-@query("flush_open_window", cte(TRADES, TRADE_WINDOWS) + f"SELECT {K}, trade_count, close FROM trade_windows QUALIFY row_number() OVER (PARTITION BY platform, symbol ORDER BY window_end_ms DESC) <= 2")
+# Every window of a trade stream: those still open when the trades end come out by the timer.
+@query("flush_open_window", cte(TRADES, TRADE_WINDOWS) + f"SELECT {K}, " + ", ".join(f"{f if f in WHOLE else rs(f)} AS {f}" for f in tw.TRADE_FEATURES) + " FROM trade_windows")
 def _st8(spark, sf):
-    """The windows a stream still holds open at the end of the data: batch puts them out too."""
-    every = tw.trade_windows(trades(spark, sf), WINDOW_MS)
-    out = runner.run_in_parts(halves(trades(spark, sf)), lambda s: ps.two_window_stream(s, WINDOW_MS), "open")
-    return every.join(out.select(*KEYS), KEYS, "left_anti").select(*KEYS, "trade_count", "close")
+    out = runner.run_until_idle(halves(trades(spark, sf)), lambda s: ps.two_window_stream(s, WINDOW_MS, idle_ms=IDLE_MS), "open", IDLE_MS)
+    return out.select(*KEYS, *[(F.col(f) if f in WHOLE else r(F.col(f))).alias(f) for f in tw.TRADE_FEATURES])
 
 
 @query("checkpoint_resume", cte(TRADES, TRADE_WINDOWS) + f"SELECT {K}, trade_count, close FROM trade_windows")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ticklattice.operators.order_book import BOOK_KEYS, TICK_SCHEMA, BookFold
+from ticklattice.operators.order_book import BOOK_KEYS
 from ticklattice.operators.reconcile import SEQUENCE_SCHEMA_FIELDS, SequenceFold
 from ticklattice.operators.trade_windows import KEYS, TRADE_FEATURES
 from ticklattice.streaming.runner import use_rocksdb
@@ -26,6 +26,24 @@ from ticklattice.streaming.runner import use_rocksdb
 RowHandler = Callable[[dict | None, dict[str, Any]], tuple[dict, list[dict[str, Any]]]]
 
 
+def rows_in_order(rows: Iterator[pd.DataFrame], order: Sequence[str]) -> pd.DataFrame:
+    """A key's rows of one micro-batch; the trigger bounds them, see ``runner.read_files``."""
+    return pd.concat(list(rows), ignore_index=True).sort_values(list(order), kind="stable")
+
+
+class IdleTimer:
+    """A timer in processing time that runs out when a key has had no rows for ``idle_ms``; none without."""
+
+    def __init__(self, handle: StatefulProcessorHandle, idle_ms: int | None):
+        self.handle, self.idle_ms = handle, idle_ms
+
+    def restart(self, timer_values) -> None:
+        if self.idle_ms:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+
 class _WithState(StatefulProcessor):
     """Keeps one JSON text per key."""
 
@@ -40,28 +58,38 @@ class _WithState(StatefulProcessor):
     def save(self, state: dict) -> None:
         self.store.update((json.dumps(state),))
 
-    def rows_in_order(self, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        return pd.concat(list(rows), ignore_index=True).sort_values(list(self.order), kind="stable")
-
     def close(self) -> None:
         pass
 
 
 class HandlerProcessor(_WithState):
-    """Runs a row handler over each key's rows in order."""
+    """Runs a row handler over each key's rows in order. With ``idle_ms`` an idle key's state is closed by ``handler.flush(key, state)``."""
+
+    def __init__(self, handler: RowHandler, order: Sequence[str], columns: Sequence[str], idle_ms: int | None = None):
+        self.handler, self.order, self.columns, self.idle_ms = handler, list(order), list(columns), idle_ms
 
-    def __init__(self, handler: RowHandler, order: Sequence[str], columns: Sequence[str]):
-        self.handler, self.order, self.columns = handler, list(order), list(columns)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.timer = IdleTimer(handle, self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state, out = self.load(), []
-        for row in self.rows_in_order(rows).to_dict("records"):
+        for row in rows_in_order(rows, self.order).to_dict("records"):
             state, made = self.handler(state, row)
             out.extend(made)
         self.save(state)
+        self.timer.restart(timerValues)
         if out:
             yield pd.DataFrame(out, columns=self.columns)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self.load()
+        if state is not None:
+            self.store.clear()
+            out = self.handler.flush(key, state)
+            if out:
+                yield pd.DataFrame(out, columns=self.columns)
+
 
 class FoldProcessor(_WithState):
     """Runs a fold of the batch operators over each key's rows in order."""
@@ -70,15 +98,15 @@ class FoldProcessor(_WithState):
         self.fold, self.order, self.types = fold, list(order), arrow_types
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = self.rows_in_order(rows)
-        table = pa.table({c: pa.array(_plain(pdf[c]), t) for c, t in self.types.items()})
+        pdf = rows_in_order(rows, self.order)
+        table = pa.table({c: pa.array(plain_values(pdf[c]), t) for c, t in self.types.items()})
         out, state = self.fold(self.load(), table)
         self.save(state)
         if out.num_rows:
             yield out.to_pandas()
 
 
-def _plain(column: pd.Series) -> list:
+def plain_values(column: pd.Series) -> list:
     """A pandas column as plain values: nested rows as dicts, missing numbers as None."""
     values = []
     for v in column.tolist():
@@ -90,12 +118,16 @@ def _plain(column: pd.Series) -> list:
     return values
 
 
-def handle_rows(stream: DataFrame, keys: Sequence[str], handler: RowHandler, order: Sequence[str], schema: str) -> DataFrame:
-    """Apply a user's row handler with state per key; ``schema`` describes the rows it puts out."""
+def handle_rows(stream: DataFrame, keys: Sequence[str], handler: RowHandler, order: Sequence[str], schema: str, *, idle_ms: int | None = None) -> DataFrame:
+    """Apply a user's row handler with state per key; ``schema`` describes the rows it puts out.
+
+    With ``idle_ms`` the state of a key without rows for so long goes to ``handler.flush(key, state)``, whose rows are put out, and is forgotten;
+    such a query goes on running its timers and has to be stopped.
+    """
     use_rocksdb(stream.sparkSession)
     columns = [f.split()[0] for f in schema.split(", ")]
     return stream.groupBy(*keys).transformWithStateInPandas(
-        HandlerProcessor(handler, order, columns), outputStructType=schema, outputMode="Append", timeMode="None")
+        HandlerProcessor(handler, order, columns, idle_ms), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if idle_ms else "None")
 
 
 def _fold_stream(stream: DataFrame, keys: Sequence[str], fold, order: Sequence[str], types: dict, schema: str) -> DataFrame:
@@ -166,6 +198,11 @@ class TwoWindowHandler:
         _add(target, t, float(row["price"]), float(row["quantity"]), int(row["side"]))
         return state, out
 
+    def flush(self, key: tuple, state: dict) -> list[dict]:
+        """The windows that are still open, the older one first."""
+        named = dict(zip(("platform", "symbol"), key))
+        return [self.row(named, win) for win in sorted((w for w in (state["current"], state["next"]) if w), key=lambda w: w["start"])]
+
     def row(self, key: dict, win: dict) -> dict:
         made = {f: win[f] for f in TRADE_FEATURES if f != "sell_vol"}
         return {"platform": key["platform"], "symbol": key["symbol"], "window_size_ms": self.size_ms,
@@ -177,9 +214,9 @@ WINDOW_ROW_SCHEMA = "platform string, symbol string, window_size_ms long, window
     f"{f} {'long' if f in _WHOLE else 'double'}" for f in TRADE_FEATURES)
 
 
-def two_window_stream(trades: DataFrame, size_ms: int) -> DataFrame:
-    """Trade windows by arrival: see ``TwoWindowHandler``."""
-    return handle_rows(trades, ["platform", "symbol"], TwoWindowHandler(size_ms), ["platform_trade_id"], WINDOW_ROW_SCHEMA)
+def two_window_stream(trades: DataFrame, size_ms: int, *, idle_ms: int | None = None) -> DataFrame:
+    """Trade windows by arrival, see ``TwoWindowHandler``; with ``idle_ms`` an idle key's open windows come out as well, see ``handle_rows``."""
+    return handle_rows(trades, ["platform", "symbol"], TwoWindowHandler(size_ms), ["platform_trade_id"], WINDOW_ROW_SCHEMA, idle_ms=idle_ms)
 
 
 def watermark_windows(trades: DataFrame, size_ms: int, delay: str) -> DataFrame:
@@ -231,7 +268,7 @@ class TwoFeedProcessor(_WithState):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         handler, state = TwoFeedHandler(), self.load()
-        for row in self.rows_in_order(rows).to_dict("records"):
+        for row in rows_in_order(rows, self.order).to_dict("records"):
             state, _ = handler(state, row)
         out = handler.release(state)
         self.save(state)
@@ -253,14 +290,6 @@ def sequence_stream(messages: DataFrame) -> DataFrame:
     return _fold_stream(messages, BOOK_KEYS, SequenceFold(BOOK_KEYS), ["arrival"], types, f"platform string, symbol string, {SEQUENCE_SCHEMA_FIELDS}")
 
 
-def book_tick_stream(messages: DataFrame, *, limit_depth: bool = True, window_ms: int | None = None) -> DataFrame:
-    """The book after each message on a stream; late messages are ignored with ``window_ms``, see ``order_book.BookFold``."""
-    s, i = pa.string(), pa.int64()
-    levels = pa.list_(pa.struct([("price", pa.decimal128(38, 18)), ("qty", pa.decimal128(38, 18))]))
-    types = {"platform": s, "symbol": s, "id": i, "time_ms": i, "type": s, "bids": levels, "asks": levels}
-    return _fold_stream(messages, BOOK_KEYS, BookFold(limit_depth, window_ms), ["id"], types, TICK_SCHEMA)
-
-
 # --- pairing and resuming --------------------------------------------------------------------------------------------
 
 def pair_windows_stream(trade: DataFrame, order: DataFrame, size_ms: int, keep_windows: int = 10) -> DataFrame:

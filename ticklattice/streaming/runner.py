@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -70,3 +72,34 @@ def run_in_parts(parts: Sequence[DataFrame], build: Callable[[DataFrame], DataFr
             watch(query)
         schema = schema or build(read_files(spark, f"{root}/in", part.schema)).schema
     return spark.read.schema(schema).parquet(f"{root}/out")
+
+
+def run_until_idle(parts: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame], label: str, idle_ms: int, *,
+                   watch: Callable[[StreamingQuery], None] | None = None, limit_s: float = 900.0) -> DataFrame:
+    """A live query over the parts, a micro-batch each, that is stopped once the timers of all idle keys have run out.
+
+    Timers in processing time run out in micro-batches without rows, which a live query goes on making. The first of these that
+    begins ``idle_ms`` and a second after the last one with rows has run every timer. A part is one file, so the micro-batches of the parts come first.
+    """
+    spark = parts[0].sparkSession
+    root = scratch_path(spark, label)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = build(read_files(spark, f"{root}/in", parts[0].schema, max_files=1))
+    query = append_to(stream, f"{root}/out", f"{root}/checkpoint", interval="1 second")
+    end, begun = time.monotonic() + limit_s, {}
+    try:
+        while True:
+            begun.update({p["batchId"]: datetime.fromisoformat(p["timestamp"]).timestamp() for p in query.recentProgress})
+            if len(parts) - 1 in begun and max(begun.values()) >= begun[len(parts) - 1] + idle_ms / 1000 + 1:
+                break
+            if query.exception():
+                raise query.exception()
+            if time.monotonic() > end:
+                raise TimeoutError(f"timers of {label} have not run out in {limit_s} seconds")
+            time.sleep(0.2)
+        if watch:
+            watch(query)
+    finally:
+        query.stop()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
