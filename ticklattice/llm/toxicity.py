@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 class _Marked(dict):
     """Word to the places of its features in the model, kept for words seen; emptied when full."""
 
-    LIMIT = 200_000
+    LIMIT = 50_000
 
     def __init__(self, names: dict[bytes, int]):
         self.names = names
