@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ticklattice.llm.common import table
+from ticklattice.llm.common import small_batches, table
 from ticklattice.llm.decontamination import drop_contaminated
 from ticklattice.llm.exact_dedup import drop_exact_duplicates
 from ticklattice.llm.jaccard_join import drop_near_duplicates
@@ -60,6 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    with small_batches(spark):
+        for name, stage in STAGES[:-1]:
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
