@@ -61,15 +61,13 @@ def k_offsets(
     laid = with_halo(df.withColumn("_slot", slot), "_slot", block_windows, max(0, -min(shifts)), max(0, max(shifts)))
     by_slot = W.partitionBy(*KEYS, "_block").orderBy("_slot")
     cols = [c for c in df.columns if c not in structs]
-    shifted = laid.select(
-        *cols, "_home",
-        *[
-            (F.col(s) if k == 0 else F.first(s).over(by_slot.rangeBetween(k, k))).alias(f"{k}_{s}")
-            for k in shifts
-            for s in structs
-        ],
-    )
-    return shifted.where("_home").drop("_home")
+    # one frame gathers the neighbours, at most one per offset; each offset then picks its own
+    near = F.collect_list(F.struct("_slot", *structs)).over(by_slot.rangeBetween(min(shifts), max(shifts)))
+    gathered = laid.select(*cols, "_home", "_slot", near.alias("_near")).where("_home")
+    at = F.map_from_arrays(F.transform("_near", lambda x: x["_slot"]), F.sequence(F.lit(1), F.size("_near")))
+    gathered = gathered.withColumn("_at", at)
+    picked = {k: F.try_element_at("_near", F.try_element_at("_at", F.col("_slot") + k)) for k in shifts}
+    return gathered.select(*cols, *[picked[k][s].alias(f"{k}_{s}") for k in shifts for s in structs])
 
 
 def first_future(df: DataFrame, *, from_next_n: int, to_next_n: int, kind: str = "trade", out: str = "relaxed_target") -> DataFrame:
@@ -215,15 +213,15 @@ def flatten_features(df: DataFrame, shifts: Sequence[int], *, keep: Sequence[str
     """
     parts = [("trade_features", "t", TRADE_FIELDS if trade_fields is None else trade_fields),
              ("order_features", "o", ORDER_FIELDS if order_fields is None else order_fields)]
-    out = []
+    out = []  # as text: hundreds of columns are built faster so than one object at a time
     for struct, short, fields in parts:
         for k in shifts:
             for field, default in fields.items():
-                c = F.col(f"`{k}_{struct}`")[field].cast("double")
+                c = f"CAST(`{k}_{struct}`.`{field}` AS DOUBLE)"
                 if finite and field in ("spread_min", "spread_max"):
-                    c = F.when(F.abs(c) != F.lit(float("inf")), c)
-                out.append(F.coalesce(c, F.lit(float(default))).alias(f"{k}_{short}_{field}"))
-    return df.select(*[F.col(f"`{c}`") for c in keep], *out)
+                    c = f"CASE WHEN abs({c}) <> DOUBLE('Infinity') THEN {c} END"
+                out.append(f"coalesce({c}, {float(default)}D) AS `{k}_{short}_{field}`")
+    return df.selectExpr(*[f"`{c}`" for c in keep], *out)
 
 
 def feature_groups(columns: Sequence[str], shifts: Sequence[int], *, trade_fields: Sequence[str] = tuple(TRADE_FIELDS),

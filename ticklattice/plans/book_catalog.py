@@ -10,6 +10,7 @@ from ticklattice.operators import order_book as ob
 from ticklattice.operators import trade_windows as tw
 from ticklattice.plans.registry import add, query
 from ticklattice.plans.views import BOOK_SLICE, BOOKS, TRADES, WINDOW_MS, book_messages, cte
+from ticklattice.plans.windows_catalog import WHOLE as tw_WHOLE
 from ticklattice.plans.windows_catalog import KEYS, SHIFTS, TRADE_WINDOWS, K, _k, r, rs, shifted_sql, trade_gold
 
 B = "platform, symbol"
@@ -88,6 +89,7 @@ ORDER_CTE = (BOOKS, LIVE, LIVE_TICKS, WEIGHED)
 WHOLE = {"n_updates", "n_mid_up", "n_mid_down", "n_spread_widen", "n_spread_tighten", "t_first", "t_last"}
 DIGITS = {"sw_mid": 2, "sw_micro": 2, "sw_spread": 2, "sw_bid": 2, "sw_ask": 2, "sw_imb": 3, "M2_mid": 1,
           "sw_bid_best_sz": 2, "sw_ask_best_sz": 2}
+PLAIN = {"open", "high", "low", "close", "min_size", "max_size"}  # values as they came
 
 
 def ticks(spark: SparkSession, sf: str) -> DataFrame:
@@ -210,18 +212,30 @@ def _pair_by_kind(spark, sf):
 
 
 GOLD = f"""
-gold AS (SELECT {K}, t.* EXCLUDE ({K}), o.* EXCLUDE ({K})
+gold AS MATERIALIZED (SELECT {K}, t.* EXCLUDE ({K}), o.* EXCLUDE ({K})
          FROM trade_windows t FULL OUTER JOIN order_windows o USING (platform, symbol, window_size_ms, window_end_ms))"""
 GOLD_CTE = (TRADES, TRADE_WINDOWS, *ORDER_CTE, GOLD)
 
 
-# One field of each side at all offsets of the labelled frames.
-@query("k_offset_join", cte(*GOLD_CTE, "shifted AS (" + shifted_sql(["close", "close_mid"], SHIFTS, "gold") + ")") + f"SELECT {K}, " + ", ".join(
-    f"close_{_k(k)}, {rs(f'close_mid_{_k(k)}')} AS close_mid_{_k(k)}" for k in SHIFTS) + " FROM shifted")
+# Every field of both sides at all offsets of the labelled frames.
+FIELDS = [("trade", f) for f in ft.TRADE_FIELDS] + [("order", f) for f in ft.ORDER_FIELDS]
+
+
+def _shown_sql(f: str, k: int) -> str:
+    kept = f in tw_WHOLE or f in WHOLE or f in PLAIN
+    return f"{f}_{_k(k)}" if kept else f"{rs(f'{f}_{_k(k)}', DIGITS.get(f, 6))} AS {f}_{_k(k)}"
+
+
+@query("k_offset_join", cte(*GOLD_CTE, "shifted AS (" + shifted_sql([f for _, f in FIELDS], SHIFTS, "gold") + ")") +
+       f"SELECT {K}, " + ", ".join(_shown_sql(f, k) for k in SHIFTS for _, f in FIELDS) + " FROM shifted")
 def _k_offset(spark, sf):
     out = ft.k_offsets(gold(spark, sf), prev_n=12, from_next_n=3, to_next_n=7)
-    return out.select(*KEYS, *[F.col(f"`{k}_trade_features`")["close"].alias(f"close_{_k(k)}") for k in SHIFTS],
-                      *[r(F.col(f"`{k}_order_features`")["close_mid"]).alias(f"close_mid_{_k(k)}") for k in SHIFTS])
+
+    def shown(side: str, f: str, k: int) -> str:
+        c = f"`{k}_{side}_features`.`{f}`"
+        return f"{c if f in tw_WHOLE or f in WHOLE or f in PLAIN else rs(c, DIGITS.get(f, 6))} AS {f}_{_k(k)}"
+
+    return out.selectExpr(*KEYS, *[shown(side, f, k) for k in SHIFTS for side, f in FIELDS])
 
 
 # The whole design table: every field of both sides at the twelve windows before and the row's own.
@@ -241,7 +255,7 @@ def _flatten(spark, sf):
     flat = ft.flatten_features(wide, BACK, keep=KEYS)
     groups = ft.feature_groups(flat.columns, BACK)  # fails if a column of a group is missing
     digits = {c: DIGITS.get(g[2:], 6) if g.startswith("o_") else 6 for g, cols in groups.items() for c in cols}
-    return flat.select(*KEYS, *[r(F.col(f"`{c}`"), digits[c]).alias(c) for c in flat.columns if c not in KEYS])
+    return flat.selectExpr(*KEYS, *[f"{rs(f'`{c}`', digits[c])} AS `{c}`" for c in flat.columns if c not in KEYS])
 
 
 @query("mergeable_accumulator", cte(*ORDER_CTE) + f"""

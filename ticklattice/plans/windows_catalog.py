@@ -125,12 +125,16 @@ SHIFTS = [*range(-12, 1), *range(3, 8)]
 
 
 def shifted_sql(fields: list[str], shifts: list[int], source: str = "trade_windows") -> str:
-    """Every listed field at every offset, by one self join per offset."""
-    joins = "\n".join(
-        f"LEFT JOIN {source} w{_k(k)} ON w{_k(k)}.platform = a.platform AND w{_k(k)}.symbol = a.symbol AND "
-        f"w{_k(k)}.window_end_ms = a.window_end_ms + ({k}) * {WINDOW_MS}" for k in shifts)
-    cols = ", ".join(f"w{_k(k)}.{f} AS {f}_{_k(k)}" for k in shifts for f in fields)
-    return f"SELECT a.platform, a.symbol, a.window_size_ms, a.window_end_ms, {cols} FROM {source} a {joins}"
+    """Every listed field at every offset: a frame of one row per offset over one scan."""
+    packed = "{" + ", ".join(f"'{f}': {f}" for f in fields) + "}"
+
+    def frame(k: int) -> str:
+        at = "CURRENT ROW" if k == 0 else f"{abs(k) * WINDOW_MS} {'PRECEDING' if k < 0 else 'FOLLOWING'}"
+        return f"first_value(fields) OVER (PARTITION BY platform, symbol, window_size_ms ORDER BY window_end_ms RANGE BETWEEN {at} AND {at}) AS {_k(k)}"
+
+    frames = ", ".join(frame(k) for k in shifts)
+    cols = ", ".join(f"{_k(k)}.{f} AS {f}_{_k(k)}" for k in shifts for f in fields)
+    return f"SELECT {K}, {cols} FROM (SELECT {K}, {frames} FROM (SELECT {K}, {packed} AS fields FROM {source}))"
 
 
 LABELLED = "shifted AS (" + shifted_sql(["close", "high", "low", "trade_count"], SHIFTS) + "), labelled AS (" + \
