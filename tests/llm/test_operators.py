@@ -82,6 +82,26 @@ def test_shards(make_docs, odd_rows):
     assert all(grown[r.doc_id] == r.grown_shard for r in got)
 
 
+def test_shards_are_those_of_recomputed_draws(make_docs):
+    import math
+    import struct
+
+    import xxhash
+
+    weights = [1.0, 2.5, 0.5, 1.0]
+
+    def draw(key, shard, weight):
+        seed = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), seed=42)
+        u = ((xxhash.xxh64_intdigest(struct.pack("<i", shard), seed=seed) >> 11) + 0.5) * 2.0**-53
+        return weight / -math.log(u)
+
+    keys = [*range(-5, 400), 2**62, None]
+    got = {r.doc_id: (r.shard, r.grown_shard) for r in shards(make_docs([(k, "t") for k in keys]), weights=weights).collect()}
+    for k in keys:
+        draws = [draw(k, s, w) for s, w in enumerate([*weights, 1.0])]
+        assert got[k] == (max(range(4), key=lambda s: draws[s]), max(range(5), key=lambda s: draws[s])), k
+
+
 def test_shard_weights(make_docs):
     got = Counter(r.shard for r in shards(make_docs([(i, "") for i in range(4000)]), weights=[1, 2, 5]).collect())
     assert abs(got[0] - 500) < 100 and abs(got[1] - 1000) < 130 and abs(got[2] - 2500) < 160

@@ -185,9 +185,49 @@ def test_article_text_stays_under_names_that_only_hold_chrome_words():
         assert shown(f"<p>{text}</p><div {a}><p>{text} gone</p></div>") == text, a
 
 
+LONG = " ".join(f"word{i}" for i in range(60))
+
+
+def test_an_element_that_holds_the_page_is_no_part_of_it():
+    shown = lambda page: main_text(page, train_tree())
+    for page in ("<form id=aspnetForm><div><article>{}</article></div></form>", "<form class=f><p>{}</p></form>", "<aside><p>{}</p></aside><p>end</p>", "<div class=widget><p>{}</p></div>"):
+        assert shown(page.format(LONG)).startswith(LONG), page
+    assert shown(f"<p>{LONG}</p><form><p>Search our pages for {LONG[:80]}</p></form>") == LONG
+    assert shown(f"<p>{LONG}</p><div id=comments><p>{LONG} {LONG}</p></div>") == LONG  # long comments are comments
+    assert shown(f"<div hidden><p>{LONG}</p></div>") == ""
+
+
+def test_a_teaser_is_not_the_page():
+    got = main_text(f'<div><p>{LONG}</p></div><article class="card"><p>Teaser text here</p></article>', train_tree())
+    assert got.startswith(LONG)
+    assert main_text(f"<div><p>Some words before it.</p></div><article><p>{LONG}</p></article>", train_tree()) == LONG
+
+
+def test_short_sentences_stay():
+    page = f"<p>Notes on tea</p><p>Tea is hot.</p><p>Drink it slowly now.</p><p>{LONG}</p>"
+    assert main_text(page, train_tree()) == f"Notes on tea Tea is hot. Drink it slowly now. {LONG}"
+    assert main_text("<p>One short sentence.</p>", train_tree()) == "One short sentence."
+
+
+def test_adverts_and_comments_go_by_any_of_their_names():
+    tree, names = train_tree(), "ad-container advert-wrapper comment-body comment-content post-comments user-comments related-posts social-icons cookie-consent-wrapper newsletter-form gdpr"
+    for name in names.split():
+        for page in ("<article>{}</article>", "<div>{}</div>", "<main><div>{}</div></main>"):
+            inner = f'<p>{LONG}</p><div class="{name}"><p>Some words that are not the text of it at all, but quite a lot.</p></div>'
+            assert main_text(page.format(inner), tree) == LONG, (name, page)
+    for name in ("post-header", "entry-content", "article-body", "page-content", "main-content"):
+        assert main_text(f"<div class={name}><h1>Title of it</h1></div><p>{LONG}</p>", tree) == f"Title of it {LONG}", name
+
+
 # licences
 
 
+def test_british_and_american_spellings_match(spark, make_docs):
+    known = [("X", "Wilful acts of the licence holder are recognised")]
+    got = license_scan(make_docs([(1, "willful acts of the LICENSE holder are recognized."), (2, "wilfull acts")]), known_digests(spark, known))
+    assert {r.doc_id: r.text_license for r in got.collect()} == {1: "X", 2: None}
+
+
 def test_license_scan(spark, make_docs, odd_rows):
     mit = [t for i, t in __import__("ticklattice.llm.license_scan", fromlist=["KNOWN"]).KNOWN if i == "MIT"][-1]
     rows = odd_rows + [

@@ -1,8 +1,9 @@
 """Main text of web pages: flat text blocks, judged by a decision tree.
 
 A page becomes a flat list of text blocks, cut at block-level tags. Each block is described by its words and link density,
-by those of the blocks before and after it, and by what stands around it (parts of the page such as menus, or an
-article). A decision tree trained on a small labelled table says which blocks are main text.
+by those of the blocks before and after it, and by what stands around it: parts of the page such as menus, told by tags and names, or an
+article. What an element holds counts: a form or an aside around most of a page's words is no mere part of it, and an article is the
+page's only if it holds most of the words outside of such parts. A decision tree trained on a small labelled table says which blocks are main text.
 """
 
 from __future__ import annotations
@@ -27,19 +28,24 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 RAW_TAGS = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "select", "object")
 CHROME_TAGS = frozenset("nav header footer aside form menu button dialog fieldset head".split())
 ARTICLE_TAGS = frozenset({"article", "main"})
-#: Words in ``class``, ``id`` or ``role`` by which pages mark what is not their main text.
+#: Tags that may also be wrapped around a whole page.
+WRAPPING_TAGS = frozenset("form aside fieldset dialog button".split())
+#: Words in ``class``, ``id`` or ``role`` by which pages mark what is not their main text, wherever they stand in a name.
 CHROME_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disclaimer "
-    "footer header menu nav navbar navigation newsletter notice pagination pager popup promo promoted related replies reply respond search "
-    "share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets contentinfo complementary".split()
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist cookie cookies consent gdpr menu nav navbar navigation "
+    "newsletter pagination pager popup promo promoted related replies share sharing sidebar signup social sponsor sponsored subscribe contentinfo complementary".split()
 )
-#: Words that may stand beside those in a name that still marks a part of the page, as in ``site-footer``.
+#: Words that do so only beside others of these or those, or beside words of place, as in ``site-footer``.
+WEAK_WORDS = frozenset("banner disclaimer footer header notice reply respond search toolbar widget widgets".split())
 PLACE_WORDS = frozenset("area bar block bottom box button buttons global item left link links list main page primary right secondary section site slot top".split())
+#: A name that begins so says what a page has or has not; a name with these before a word of its parts lays out both.
+HAVING_WORDS = frozenset("has have no not with without hide show is".split())
+LAYOUT_WORDS = frozenset("content layout".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<svg(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*?/>|<(" + "|".join(RAW_TAGS) + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
-#: A quick look for what ``_is_chrome`` reads.
+#: A quick look for what ``_mark`` reads.
 _MARKS = re.compile(r"\b(?:class|id|role|hidden|style)\b", re.I)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
@@ -73,8 +79,13 @@ LABELLED = (
     # and there, lists of links and scraps among them
     (1, 1.0, 1, 1.0, 60, 0.0, 0, 0, 0), (2, 1.0, 50, 0.0, 40, 0.0, 0, 0, 0), (3, 1.0, 2, 1.0, 30, 0.0, 0, 0, 0), (20, 0.9, 40, 0.0, 50, 0.0, 0, 0, 0),
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0), (4, 1.0, 60, 0.0, 3, 1.0, 0, 0, 0), (12, 0.9, 8, 1.0, 10, 0.8, 0, 0, 0), (30, 0.7, 5, 1.0, 4, 1.0, 0, 0, 0),
-    (3, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0), (5, 0.5, 4, 0.5, 2, 1.0, 0, 0, 0), (2, 0.0, 1, 0.0, 3, 0.0, 0, 0, 0), (7, 0.6, 30, 0.0, 5, 0.8, 0, 0, 0),
-    (4, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0), (6, 0.0, 3, 1.0, 4, 0.9, 0, 0, 0), (18, 0.55, 60, 0.0, 6, 0.9, 0, 0, 0), (3, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0),
+    (3, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0), (5, 0.5, 4, 0.5, 2, 1.0, 0, 0, 0), (2, 0.0, 1, 1.0, 3, 1.0, 0, 0, 0), (7, 0.6, 30, 0.0, 5, 0.8, 0, 0, 0),
+    (4, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0), (6, 0.0, 3, 1.0, 4, 0.9, 0, 0, 0), (18, 0.55, 60, 0.0, 6, 0.9, 0, 0, 0), (3, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0),
+    # short sentences without links, alone, in a row or before a long one
+    (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (8, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (3, 0.0, 0, 0.0, 3, 0.0, 0, 0, 1),
+    (3, 0.0, 3, 0.0, 4, 0.0, 0, 0, 1), (4, 0.0, 3, 0.0, 50, 0.0, 0, 0, 1), (2, 0.0, 0, 0.0, 40, 0.0, 0, 0, 1), (4, 0.0, 6, 0.0, 0, 0.0, 0, 0, 1),
+    (2, 0.0, 9, 0.0, 2, 0.0, 0, 0, 1), (3, 0.0, 4, 0.0, 0, 0.0, 0, 0, 1), (5, 0.0, 2, 1.0, 8, 0.0, 0, 0, 1), (6, 0.0, 12, 0.0, 2, 1.0, 0, 0, 1),
+    (7, 0.0, 1, 1.0, 0, 0.0, 0, 0, 1), (9, 0.1, 0, 0.0, 1, 1.0, 0, 0, 1),
 )
 
 
@@ -127,41 +138,57 @@ def train_tree(table=LABELLED, depth: int = 8) -> Tree:
 
 @dataclass
 class Blocks:
-    """A page's blocks in order: texts, words, words in links, and counts of what stands around."""
+    """A page's blocks in order: texts, words, words in links, the marked elements around them, and whether an article is.
+
+    ``marks`` says of each marked element how it is marked: ``hidden``, ``wrapping`` by a tag that may hold a page, or ``part``.
+    """
 
     texts: list[str] = field(default_factory=list)
     words: list[int] = field(default_factory=list)
     linked: list[int] = field(default_factory=list)
-    chrome: list[bool] = field(default_factory=list)
+    around: list[tuple[int, ...]] = field(default_factory=list)
     article: list[bool] = field(default_factory=list)
+    marks: list[str] = field(default_factory=list)
+
+
+#: The share of a page's words from which on an element holds the page and is no part of it.
+HOLDS_PAGE = {"wrapping": 0.5, "part": 0.9, "hidden": 2.0}
 
 
-def _is_chrome(name: str, attributes: str, in_article: bool) -> bool:
+def _mark(name: str, attributes: str, in_article: bool) -> str | None:
+    """How an element is marked as a part of the page, if it is."""
+    found = None
     if name in CHROME_TAGS and not (name == "header" and in_article):
-        return True
+        found = "wrapping" if name in WRAPPING_TAGS else "part"
     if not _MARKS.search(attributes):
-        return False
+        return found
     named = name not in ARTICLE_TAGS and name not in ("html", "body")
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id", "role"):
             if named and any(_names_chrome(x) for x in value.split()):
-                return True
+                found = "part"
         elif key == "hidden" and value != "false" or key == "aria-hidden" and value == "true" or key == "style" and _NOT_SHOWN.search(value):
-            return True
-    return False
+            return "hidden"
+    return found
 
 
 def _names_chrome(name: str) -> bool:
-    """Whether a whole class or id says so: ``sidebar`` and ``site-footer`` do, ``has-sidebar`` and ``content-sidebar-wrap`` do not."""
+    """Whether a class or id says so: ``ad-container`` and ``site-footer`` do, ``has-sidebar``, ``content-sidebar-wrap`` and ``post-header`` do not."""
     parts = [p for p in _PARTS.split(name) if p]
-    return any(p in CHROME_WORDS for p in parts) and all(p in CHROME_WORDS or p in PLACE_WORDS for p in parts)
+    first = next((i for i, p in enumerate(parts) if p in CHROME_WORDS), None)
+    if not parts or parts[0] in HAVING_WORDS:
+        return False
+    if first is not None:
+        return not any(p in LAYOUT_WORDS for p in parts[:first])
+    return any(p in WEAK_WORDS for p in parts) and all(p in WEAK_WORDS or p in PLACE_WORDS for p in parts)
 
 
 def blocks_of(page: str) -> Blocks:
     out, held, linked, links = Blocks(), [], [], 0
     stack: list[tuple[str, bool, bool]] = []
-    chrome = article = 0
+    marked: list[int] = []
+    article = 0
 
     def close_block() -> None:
         words = " ".join(held)
@@ -169,7 +196,7 @@ def blocks_of(page: str) -> Blocks:
             out.texts.append(text)
             out.words.append(text.count(" ") + 1)
             out.linked.append(len(html.unescape(" ".join(linked)).split()))
-            out.chrome.append(chrome > 0)
+            out.around.append(tuple(marked))
             out.article.append(article > 0)
         held.clear()
         linked.clear()
@@ -196,7 +223,9 @@ def blocks_of(page: str) -> Blocks:
             if any(s[0] == name for s in stack):
                 while stack:
                     opened, c, a = stack.pop()
-                    chrome, article = chrome - c, article - a
+                    article -= a
+                    if c:
+                        marked.pop()
                     if opened == name:
                         break
         elif name in BLOCK_TAGS or _MARKS.search(m[4]):
@@ -204,10 +233,15 @@ def blocks_of(page: str) -> Blocks:
                 continue
             if name in ("p", "li") and stack and stack[-1][0] == name:  # their end may be left out
                 opened, c, a = stack.pop()
-                chrome, article = chrome - c, article - a
-            c, a = _is_chrome(name, m[4], article > 0), name in ARTICLE_TAGS
-            stack.append((name, c, a))
-            chrome, article = chrome + c, article + a
+                article -= a
+                if c:
+                    marked.pop()
+            mark, a = _mark(name, m[4], article > 0), name in ARTICLE_TAGS
+            if mark:
+                marked.append(len(out.marks))
+                out.marks.append(mark)
+            stack.append((name, mark is not None, a))
+            article += a
     if pos < len(page):
         _hold(held, page[pos:])
     close_block()
@@ -222,22 +256,35 @@ def _hold(held: list[str], piece: str) -> None:
         held.append(piece)
 
 
+def _parts(b: Blocks) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each block is in a marked part of the page, and whether it is in the page's article."""
+    words, held = np.array(b.words, float), np.zeros(len(b.marks))
+    for n, around in zip(b.words, b.around):
+        for i in around:
+            held[i] += n
+    part = held <= np.array([HOLDS_PAGE[m] for m in b.marks]) * words.sum() if b.marks else np.zeros(0, bool)
+    chrome = np.array([any(part[i] for i in around) for around in b.around])
+    article = np.array(b.article)
+    if 2 * words[article & ~chrome].sum() < words[~chrome].sum():
+        article = np.zeros(len(words), bool)
+    return chrome, article
+
+
 def features_of(b: Blocks) -> np.ndarray:
     words = np.array(b.words, float)
     density = np.minimum(np.array(b.linked, float) / np.maximum(words, 1), 1)
     shift = lambda v, k: np.concatenate([[0.0], v[:-1]]) if k < 0 else np.concatenate([v[1:], [0.0]])
-    return np.column_stack(
-        [words, density, shift(words, -1), shift(density, -1), shift(words, 1), shift(density, 1), np.array(b.chrome, float), np.array(b.article, float)]
-    )
+    return np.column_stack([words, density, shift(words, -1), shift(density, -1), shift(words, 1), shift(density, 1), *(x.astype(float) for x in _parts(b))])
 
 
 def main_text(page: str, tree: Tree) -> str:
     b = blocks_of(page)
     if not b.texts:
         return ""
-    kept = tree.predict(features_of(b))
-    if any(b.article):  # a page that marks its article has no main text beside it
-        kept &= np.array(b.article)
+    x = features_of(b)
+    kept, article = tree.predict(x), x[:, FEATURES.index("article")] > 0
+    if article.any():  # a page with an article has no main text beside it
+        kept &= article
     return " ".join(t for t, k in zip(b.texts, kept) if k)
 
 

@@ -83,7 +83,7 @@ SPELLINGS = (
     ("maximise", "maximize"), ("modelled", "modeled"), ("modelling", "modeling"), ("offence", "offense"),
     ("optimise", "optimize"), ("organisation", "organization"), ("organise", "organize"), ("owner", "holder"),
     ("owners", "holders"), ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"),
-    ("signalling", "signaling"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "wilfull"), ("http", "https"),
+    ("signalling", "signaling"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("http", "https"),
 )
 
 #: What parts words: white space and punctuation of ASCII, dashes and quotation marks beyond it.
