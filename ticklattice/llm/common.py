@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,16 +62,11 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     return docs.join(small_side(gone.toDF(name)), F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """Within, whole texts go to Python tasks so many at a time, which bounds the buffers on both sides; the setting is put back after."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+def slices(batches: Iterator, rows: int = 512) -> Iterator:
+    """Arrow batches in turn, cut to so many rows: texts are made Python objects a few at a time, whatever the size of a batch."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def text_bytes(column) -> list[bytes]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticklattice.llm.common import chunks
+from ticklattice.llm.common import chunks, slices
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -206,7 +206,7 @@ def encode(docs: DataFrame, model: bytes, *, text_col: str = "text", ids_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(model)
         pieces = encoder.p
-        for batch in batches:
+        for batch in slices(batches):
             start = 0
             for some in chunks([t or "" for t in batch.column(at).to_pylist()], 2_000_000):
                 encoded = encoder.encode(some)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticklattice.llm.common import WORD_BYTES, WordCutter, mixed, shingle_sets, text_bytes, without
+from ticklattice.llm.common import WORD_BYTES, WordCutter, mixed, shingle_sets, slices, text_bytes, without
 from ticklattice.session import stored
 
 #: Lengths in bytes of the word starts that are features beside the whole word.
@@ -166,7 +166,7 @@ def severity(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", te
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = _Marked(model.features)
-        for batch in batches:
+        for batch in slices(batches):
             x = np.zeros(batch.num_rows)
             for r, text in enumerate(text_bytes(batch.column(1))):
                 words = words_of(text)
