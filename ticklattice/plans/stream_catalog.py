@@ -47,15 +47,23 @@ taken AS (SELECT t.* FROM trades t, seen WHERE (time_ms < {CUT} AND side = 0) OR
 last AS (SELECT max(time_ms) - {DELAY_MS} AS mark FROM trades)"""
 
 
+LATE_FEATURES = {
+    "trade_count": "count(*)", "sum_vol": "sum(quantity)", "sum_pv": "sum(price * quantity)", "buy_vol": "sum(CASE WHEN side = 0 THEN quantity ELSE 0 END)",
+    "sell_vol": "sum(CASE WHEN side = 0 THEN 0 ELSE quantity END)", "sum_price": "sum(price)", "sum_price2": "sum(price * price)",
+    "open": "arg_min(price, platform_trade_id)", "high": "max(price)", "low": "min(price)", "close": "arg_max(price, platform_trade_id)",
+    "min_size": "min(quantity)", "max_size": "max(quantity)", "first_ts": "arg_min(time_ms, platform_trade_id)", "last_ts": "arg_max(time_ms, platform_trade_id)",
+}  # all but those that need consecutive trades
+
+
 @query("late_trades", cte(TRADES, LATE) + f"""
-SELECT platform, symbol, time_ms // {WINDOW_MS} * {WINDOW_MS} + {WINDOW_MS} AS window_end_ms, count(*) AS trade_count, {rs('sum(price)')} AS sum_price,
-       arg_min(price, platform_trade_id) AS open, arg_max(price, platform_trade_id) AS close
+SELECT platform, symbol, time_ms // {WINDOW_MS} * {WINDOW_MS} + {WINDOW_MS} AS window_end_ms, """ +
+       ", ".join(f"{x if f in WHOLE else rs(x)} AS {f}" for f, x in LATE_FEATURES.items()) + f"""
 FROM taken, last WHERE time_ms // {WINDOW_MS} * {WINDOW_MS} + {WINDOW_MS} <= mark GROUP BY 1, 2, 3""")
 def _st2(spark, sf):
     t = trades(spark, sf)
     early = (F.col("time_ms") < CUT) & (F.col("side") == 0)
     out = runner.run_in_parts([t.where(early), t.where(~early)], lambda s: ps.watermark_windows(s, WINDOW_MS, f"{DELAY_MS} milliseconds"), "late")
-    return out.select(*S, "window_end_ms", "trade_count", r(F.col("sum_price")).alias("sum_price"), "open", "close")
+    return out.select(*S, "window_end_ms", *[F.col(f) if f in WHOLE else r(F.col(f)).alias(f) for f in LATE_FEATURES])
 
 
 def _tagged(spark, sf):

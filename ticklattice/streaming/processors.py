@@ -231,7 +231,8 @@ def watermark_windows(trades: DataFrame, size_ms: int, delay: str) -> DataFrame:
         F.count("*").alias("trade_count"), F.sum(q).alias("sum_vol"), F.sum(p * q).alias("sum_pv"),
         F.sum(F.when(F.col("side") == 0, q).otherwise(0.0)).alias("buy_vol"), F.sum(p).alias("sum_price"), F.sum(p * p).alias("sum_price2"),
         F.min_by(p, order).alias("open"), F.max(p).alias("high"), F.min(p).alias("low"), F.max_by(p, order).alias("close"),
-        F.min(q).alias("min_size"), F.max(q).alias("max_size"))
+        F.min(q).alias("min_size"), F.max(q).alias("max_size"), F.min_by("time_ms", order).alias("first_ts"), F.max_by("time_ms", order).alias("last_ts"),
+        F.sum(F.when(F.col("side") == 0, 0.0).otherwise(q)).alias("sell_vol"))
     made = [c for c in out.columns if c not in ("platform", "symbol", "w")]
     return out.select("platform", "symbol", F.lit(size_ms).cast("long").alias("window_size_ms"), F.unix_millis("w.end").alias("window_end_ms"), *made)
 
