@@ -1,6 +1,7 @@
 """Small scenarios with results worked out by hand."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,10 @@ from ticklattice.operators import predict as pr
 from ticklattice.operators import reconcile as rc
 from ticklattice.operators import trade_windows as tw
 from ticklattice.sources import raw_log as lg
-from ticklattice.streaming.processors import TwoFeedHandler, TwoWindowHandler
+from ticklattice.streaming.feed_merge import FeedMergeProcessor
+from ticklattice.streaming.processors import TwoWindowHandler
+
+from .states import HandleOfOne
 
 KEYS = ["symbol"]
 
@@ -115,14 +119,56 @@ def test_two_feeds_as_one(spark):
     feed = lambda ids: spark.createDataFrame([("s", i) for i in ids], "symbol string, id long")
     out = rc.merge_trades(feed([2, 2, 4, 7, 10, 10, 11]), feed([1, 2, 4, 8, 8, 11, 13]), KEYS)
     assert [r["id"] for r in out.orderBy("id").collect()] == [1, 2, 4, 7, 8, 10, 11]
-    handler, state, sent = TwoFeedHandler(), None, []
     batches = [[("rest", 2), ("rest", 2), ("ws", 1), ("ws", 2)], [("ws", 4)], [("rest", 4), ("ws", 8), ("ws", 8)], [("rest", 7)],
                [("ws", 11), ("rest", 10), ("ws", 13), ("rest", 10)], [("rest", 11)]]
+    merge, handle = FeedMergeProcessor(), HandleOfOne()
+    merge.init(handle)
+    sent = [(i, feed) for batch in batches for i, feed in fed(merge, batch)]
+    assert sent == [(1, "ws"), (2, "rest"), (4, "rest"), (7, "rest"), (8, "ws"), (10, "rest"), (11, "ws")] and list(merge.waiting.held) == [13]
+
+
+def fed(merge, batch):
+    import pandas as pd
+
+    table = pd.DataFrame(batch, columns=["feed", "id"])
+    cut = len(table) // 2
+    chunks = [x for x in (table[:cut], table[cut:]) if len(x)]
+    return [(r.id, r.feed) for out in merge.handleInputRows(("p", "s"), iter(chunks), None) for r in out.itertuples()]
+
+
+def one_by_one(batches):
+    """The rule for each id in turn."""
+    last, waiting, tops, out, writes = 0, {}, {"rest": -1, "ws": -1}, [], []
     for batch in batches:
-        for name, i in batch:
-            state, _ = handler(state, {"id": i, "feed": name})
-        sent += [i for i, _ in handler.release(state)]
-    assert sent == [1, 2, 4, 7, 8, 10, 11] and list(state["waiting"]) == ["13"]
+        before = dict(waiting)
+        for feed, i in batch:
+            tops[feed] = max(tops[feed], i)
+            if i > last and (i not in waiting or feed == "rest"):
+                waiting[i] = feed
+        for i in sorted(waiting):
+            if i > last + 1 and i > min(tops.values()):
+                break
+            out.append((i, waiting.pop(i)))
+            last = i
+        writes.append(sum(waiting.get(i) != before.get(i) for i in {*waiting, *before}))
+    return out, waiting, sum(writes)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_feeds_merge_by_batches_as_one_by_one(seed):
+    rng = random.Random(seed)
+    ids = [("rest" if rng.random() < 0.5 else "ws", max(1, n // 2 + rng.randrange(-6, 7))) for n in range(600) if rng.random() < 0.9]
+    batches, at = [], 0
+    while at < len(ids):
+        size = rng.choice((1, 2, 17, 60))
+        batches.append(ids[at : at + size])
+        at += size
+    merge = FeedMergeProcessor()
+    merge.init(HandleOfOne())
+    got = [x for batch in batches for x in fed(merge, batch)]
+    want, waiting, writes = one_by_one(batches)
+    assert got == want and {i: "rest" if r else "ws" for i, r in merge.waiting.held.items()} == waiting
+    assert merge.waiting.writes == writes  # what waits on is not written again
 
 
 P = 2491733000

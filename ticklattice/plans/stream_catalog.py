@@ -9,13 +9,14 @@ from ticklattice.operators import order_book as ob
 from ticklattice.operators import reconcile as rc
 from ticklattice.operators import trade_windows as tw
 from ticklattice.plans.book_catalog import GOLD_CTE, ORDER_CTE, TICKS, _out, _out_sql, gold
-from ticklattice.plans.feeds_catalog import FEEDS, LOG, MERGED, SEQUENCE, _feeds, log, sequence
+from ticklattice.plans.feeds_catalog import LOG, MERGED, SEQUENCE, _feeds, log, sequence
 from ticklattice.plans.registry import ORACLES, query
 from ticklattice.plans.views import BOOK_SLICE, BOOKS, T0_MS, TRADES, WINDOW_MS, book_messages, cte, trades
 from ticklattice.plans.windows_catalog import KEYS, TRADE_WINDOWS, WHOLE, K, r, rs
 from ticklattice.session import scratch_path
 from ticklattice.sources import raw_log as raw
 from ticklattice.streaming import book_windows as bw
+from ticklattice.streaming import feed_merge as fm
 from ticklattice.streaming import processors as ps
 from ticklattice.streaming import runner
 
@@ -73,7 +74,7 @@ def _tagged(spark, sf):
 
 @query("trade_reconcile_state", ORACLES["merge_api_ws_trades"])
 def _st4(spark, sf):
-    return runner.run_in_parts(halves(_tagged(spark, sf), "timestamp"), ps.merge_trades_stream, "merge")
+    return runner.run_in_parts(halves(_tagged(spark, sf), "timestamp"), fm.merge_trades_stream, "merge")
 
 
 @query("book_sequence_state", cte(BOOKS, SEQUENCE, MERGED) + "SELECT * FROM merged")

@@ -239,51 +239,6 @@ def watermark_windows(trades: DataFrame, size_ms: int, delay: str) -> DataFrame:
 
 # --- reconciliation --------------------------------------------------------------------------------------------------
 
-class TwoFeedHandler:
-    """Puts trades of two feeds out once and in order of id.
-
-    A trade that follows the last one goes out; one behind it is dropped. Over a hole a trade goes out only when both
-    feeds hold a trade at or beyond it, so the missing ones cannot come any more.
-    """
-
-    def __call__(self, state: dict | None, row: dict) -> tuple[dict, list[dict]]:
-        state = state or {"last": 0, "waiting": {}, "top": {"rest": -1, "ws": -1}}
-        i, feed = int(row["id"]), row["feed"]
-        state["top"][feed] = max(state["top"][feed], i)
-        if i > state["last"] and (str(i) not in state["waiting"] or feed == "rest"):
-            state["waiting"][str(i)] = feed
-        return state, []
-
-    def release(self, state: dict) -> list[tuple[int, str]]:
-        sure, out = min(state["top"].values()), []
-        for i in sorted(map(int, state["waiting"])):
-            if i > state["last"] + 1 and i > sure:
-                break
-            out.append((i, state["waiting"].pop(str(i))))
-            state["last"] = i
-        return out
-
-
-class TwoFeedProcessor(_WithState):
-    order = ("id",)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        handler, state = TwoFeedHandler(), self.load()
-        for row in rows_in_order(rows, self.order).to_dict("records"):
-            state, _ = handler(state, row)
-        out = handler.release(state)
-        self.save(state)
-        if out:
-            yield pd.DataFrame([(*key, i, feed) for i, feed in out], columns=["platform", "symbol", "id", "feed"])
-
-
-def merge_trades_stream(feeds: DataFrame) -> DataFrame:
-    """Two tagged feeds (``platform, symbol, id, feed`` with ``rest`` or ``ws``) as one; see ``TwoFeedHandler``."""
-    use_rocksdb(feeds.sparkSession)
-    return feeds.select("platform", "symbol", "id", "feed").groupBy("platform", "symbol").transformWithStateInPandas(
-        TwoFeedProcessor(), outputStructType="platform string, symbol string, id long, feed string", outputMode="Append", timeMode="None")
-
-
 def sequence_stream(messages: DataFrame) -> DataFrame:
     """The gap-free sequence of snapshots and updates on a stream, see ``reconcile.SequenceFold``."""
     s, i = pa.string(), pa.int64()
