@@ -19,9 +19,12 @@ S = ["platform", "symbol"]
 
 # --- transforms ------------------------------------------------------------------------------------------------------
 
-VALUES = ["close", "sum_vol"]
-SPLIT = """
-base AS (SELECT platform, symbol, window_size_ms, window_end_ms, close, sum_vol,
+VALUES = list(TRADE_FIELDS)
+#: For lags of z-scores: fields whose values hardly ever repeat, as two engines' z-scores of equal values differ in their last bits and so in sign.
+LAGGED = ["sum_vol", "sum_pv", "sum_price", "sum_price2", "open", "high", "low", "close"]
+_PLAIN = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in VALUES)
+SPLIT = f"""
+base AS (SELECT platform, symbol, window_size_ms, window_end_ms, {_PLAIN},
                 row_number() OVER w - 1 AS row, count(*) OVER (PARTITION BY platform, symbol) AS rows
          FROM trade_windows WINDOW w AS (PARTITION BY platform, symbol ORDER BY window_end_ms)),
 split AS (SELECT *, rows - CAST(greatest(1, ceil(rows * 0.1::DOUBLE)) AS BIGINT) AS n_train,
@@ -36,13 +39,14 @@ def _z(c: str) -> str:
             f"ELSE ({c} - avg({c}) {train}) / {safe(f'stddev_pop({c}) {train}')} END AS {c}")
 
 
-SCORED = f"scored AS (SELECT {K}, row, is_test, {_z('close')}, {_z('sum_vol')} FROM split)"
+SCORED = f"scored AS (SELECT {K}, row, is_test, {', '.join(map(_z, VALUES))} FROM split)"
+_ROUNDED = ", ".join(f"{rs(c)} AS {c}" for c in VALUES)
 SPLIT_CTE = (TRADES, TRADE_WINDOWS, SPLIT)
 SCORED_CTE = (*SPLIT_CTE, SCORED)
 
 
 def _split(spark, sf):
-    return tf.chrono_split(trade_gold(spark, sf).select(*KEYS, *VALUES))
+    return tf.chrono_split(trade_gold(spark, sf).select(*KEYS, *[F.col(c).cast("double").alias(c) for c in VALUES]))
 
 
 @query("chrono_split", cte(*SPLIT_CTE) + f"SELECT {K}, row, is_test FROM split")
@@ -50,12 +54,12 @@ def _w11(spark, sf):
     return _split(spark, sf).select(*KEYS, "row", "is_test")
 
 
-@query("zscore_train", cte(*SCORED_CTE) + f"SELECT {K}, {rs('close')} AS close, {rs('sum_vol')} AS sum_vol FROM scored WHERE NOT is_test")
+@query("zscore_train", cte(*SCORED_CTE) + f"SELECT {K}, {_ROUNDED} FROM scored WHERE NOT is_test")
 def _w4(spark, sf):
     return tf.zscore(_split(spark, sf), VALUES).where("NOT is_test").select(*KEYS, *[r(F.col(c)).alias(c) for c in VALUES])
 
 
-@query("zscore_rolling_test", cte(*SCORED_CTE) + f"SELECT {K}, {rs('close')} AS close, {rs('sum_vol')} AS sum_vol FROM scored WHERE is_test")
+@query("zscore_rolling_test", cte(*SCORED_CTE) + f"SELECT {K}, {_ROUNDED} FROM scored WHERE is_test")
 def _w5(spark, sf):
     return tf.zscore(_split(spark, sf), VALUES).where("is_test").select(*KEYS, *[r(F.col(c)).alias(c) for c in VALUES])
 
@@ -75,16 +79,18 @@ for _name, _kind in (("lag_stepper", "stepper"), ("lag_diff", "diff"), ("doubled
 
 # The nine strategies from split to transformed rows.
 for _s in tf.STRATEGIES:
+    _vals = VALUES if _s == "zscore" else LAGGED
     _kind = _s.removeprefix("zscore_").removesuffix("_incl").removesuffix("_fibo")
-    _cols = ([f"{rs(c)} AS {c}" for c in VALUES] if _s == "zscore" or _s.endswith("_incl") else []) + (
-        [] if _s == "zscore" else [f"{_kind}_{c}_{lag} AS {c}__{_kind}_{lag}" for lag in tf.FIBO_LAGS for c in VALUES])
-    _made = "" if _s == "zscore" else ", " + ", ".join(f"{_lag_sql(_kind, c, lag)} AS {_kind}_{c}_{lag}" for lag in tf.FIBO_LAGS for c in VALUES)
+    _cols = ([f"{rs(c)} AS {c}" for c in _vals] if _s == "zscore" or _s.endswith("_incl") else []) + (
+        [] if _s == "zscore" else [f"{_kind}_{c}_{lag} AS {c}__{_kind}_{lag}" for lag in tf.FIBO_LAGS for c in _vals])
+    _made = "" if _s == "zscore" else ", " + ", ".join(f"{_lag_sql(_kind, c, lag)} AS {_kind}_{c}_{lag}" for lag in tf.FIBO_LAGS for c in _vals)
     _warm = 0 if _s == "zscore" else (26 if _kind.startswith("doubled") else 13)
 
-    def _run(spark, sf, s=_s):
-        out = tf.transform(_split(spark, sf), s, VALUES)
-        cols = tf.transformed_columns(s, VALUES)
-        return out.select(*KEYS, "is_test", *[r(F.col(c)).alias(c) if c in VALUES else F.col(c) for c in cols])
+    def _run(spark, sf, s=_s, values=_vals):
+        split = _split(spark, sf)
+        out = tf.transform(split.drop(*[c for c in VALUES if c not in values]), s, values)
+        cols = tf.transformed_columns(s, values)
+        return out.select(*KEYS, "is_test", *[r(F.col(c)).alias(c) if c in values else F.col(c) for c in cols])
 
     add(f"strategy_{_s}", _run, cte(*SCORED_CTE) + f"SELECT {K}, is_test, {', '.join(_cols)} FROM (SELECT *{_made} FROM scored) WHERE is_test OR row >= {_warm}")
 
