@@ -270,3 +270,26 @@ def test_errors(spark):
         nz.kraken_rest_trades(keys).collect()
     with pytest.raises(KeyError):
         ft.feature_groups(["0_t_close"], [0])
+
+
+def test_zscores_and_lags_beside_values_that_are_not_finite(spark):
+    import math
+    import statistics
+
+    from ticklattice.operators import transforms as tf
+
+    inf, nan = float("inf"), float("nan")
+    values = [nan, inf, *[float(i * i % 7) for i in range(2, 16)], inf, 2.0, 3.0, 5.0]
+    rows = [("k", "s", 1000, i * 1000, x) for i, x in enumerate(values)]
+    df = spark.createDataFrame(rows, "platform string, symbol string, window_size_ms long, window_end_ms long, x double")
+    split = tf.chrono_split(df, test_size=0.5)
+    got = {r["row"]: r["x"] for r in tf.zscore(split, ["x"]).select("row", "x").collect()}
+    for i in range(20):
+        frame = values[:10] if i < 10 else values[i - 9:i + 1]
+        if all(map(math.isfinite, frame)):
+            assert abs(got[i] - (values[i] - statistics.fmean(frame)) / statistics.pstdev(frame)) < 1e-9
+        else:
+            assert math.isnan(got[i])
+    assert sum(map(math.isfinite, got.values())) == 5
+    signs = {r["row"]: r["x__diff_2"] for r in tf.lag_features(split.select(*tf.KEYS, "row", "x"), ["x"], "diff", lags=[2], keep=True).collect()}
+    assert signs[0] == 0 and signs[2] == 0 and signs[3] == 1 and signs[16] == -1
