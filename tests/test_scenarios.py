@@ -293,3 +293,11 @@ def test_zscores_and_lags_beside_values_that_are_not_finite(spark):
     assert sum(map(math.isfinite, got.values())) == 5
     signs = {r["row"]: r["x__diff_2"] for r in tf.lag_features(split.select(*tf.KEYS, "row", "x"), ["x"], "diff", lags=[2], keep=True).collect()}
     assert signs[0] == 0 and signs[2] == 0 and signs[3] == 1 and signs[16] == -1
+
+
+def test_flat_features_are_finite(spark):
+    from ticklattice.operators.features import flatten_features
+
+    df = spark.sql("SELECT struct(double('NaN') AS sum_logret, double('-Infinity') AS close, 3D AS high) AS `0_trade_features`, struct(double('Infinity') AS spread_min) AS `0_order_features`")
+    row = flatten_features(df, [0], trade_fields={"sum_logret": 0.0, "close": 1.0, "high": 0.0}, order_fields={"spread_min": 0.0}).first()
+    assert list(row) == [0.0, 1.0, 3.0, 0.0]
