@@ -301,3 +301,25 @@ def test_flat_features_are_finite(spark):
     df = spark.sql("SELECT struct(double('NaN') AS sum_logret, double('-Infinity') AS close, 3D AS high) AS `0_trade_features`, struct(double('Infinity') AS spread_min) AS `0_order_features`")
     row = flatten_features(df, [0], trade_fields={"sum_logret": 0.0, "close": 1.0, "high": 0.0}, order_fields={"spread_min": 0.0}).first()
     assert list(row) == [0.0, 1.0, 3.0, 0.0]
+
+
+def _zero_price_trades(spark):
+    prices = ["2", "0", "4", "0", "0", "5", "5", "6", "7", "0"]
+    rows = [("k", "s", i, i // 2 * 1000 + i % 2, p, "1", 0) for i, p in enumerate(prices)]
+    return spark.createDataFrame(rows, "platform string, symbol string, platform_trade_id long, time_ms long, price string, quantity string, side int")
+
+
+def test_returns_to_and_from_a_price_of_0_are_infinite_in_batch_and_stream(spark):
+    from ticklattice.operators.trade_windows import trade_windows
+    from ticklattice.streaming import processors, runner
+
+    t = _zero_price_trades(spark)
+    show = lambda df: {r["window_end_ms"]: [str(r[f]) for f in ("sum_logret", "sum_logret2", "sum_logret3")] for r in df.collect()}
+    want = {1000: ["-inf", "inf", "-inf"], 2000: ["-inf", "inf", "-inf"], 3000: ["inf", "inf", "inf"], 5000: ["-inf", "inf", "-inf"]}
+    for slice_ids in (65_536, 1):  # inside a slice and between slices
+        got = show(trade_windows(t, 1000, slice_ids=slice_ids))
+        assert {k: got[k] for k in want} == want
+    both = show(trade_windows(t, 2000))
+    assert both[2000] == ["nan", "inf", "nan"]
+    got = show(runner.run_in_parts([t], lambda s: processors.two_window_stream(s, 2000), "zero"))
+    assert got == {2000: both[2000]}  # the last two windows are still open

@@ -113,10 +113,10 @@ def _w14(spark, sf):
 @query("in_window_diff", cte(TRADES, TRADE_WINDOWS) + f"SELECT platform, symbol, platform_trade_id AS id, dt, {rs('lr')} AS lr FROM trade_steps")
 def _w1(spark, sf):
     from ticklattice.functions.scale import lag_one
-    from ticklattice.operators.trade_windows import window_start
+    from ticklattice.operators.trade_windows import log_price, window_start
     from ticklattice.plans.views import trades
 
-    t = trades(spark, sf).select(*S, F.col("platform_trade_id").alias("id"), "time_ms", F.log(F.col("price").cast("double")).alias("lp"))
+    t = trades(spark, sf).select(*S, F.col("platform_trade_id").alias("id"), "time_ms", log_price(F.col("price").cast("double")).alias("lp"))
     t = t.withColumn("ws", window_start("time_ms", WINDOW_MS)).withColumn("_slice", F.floor(F.col("id") / 65_536))
     t = lag_one(t, [*S, "ws"], ["id"], {"pt": "time_ms", "pl": "lp"})
     return t.select(*S, "id", (F.col("time_ms") - F.col("pt")).alias("dt"), r(F.col("lp") - F.col("pl")).alias("lr"))
