@@ -304,3 +304,22 @@ def test_no_cartesian_products(spark):
 
     for name in ("merge_api_ws_trades", "pct_targets", "prediction_summary", "gap_backfill", "expand_feature_sets"):
         assert "CartesianProduct" not in plan(QUERIES[name](spark, SF)), name
+
+
+def test_no_step_of_late_messages_takes_a_whole_key(spark):
+    import re
+
+    from ticklattice.operators.order_book import drop_late
+
+    schema = "platform string, symbol string, id long, type string, time_ms long, bids array<int>, asks array<int>"
+    messages = spark.createDataFrame([("k", "s", i, "snapshot" if i == 3 else "update", i, [], []) for i in range(9)], schema)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = drop_late(messages, 1000)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"SortMergeJoin \[platform#\d+, symbol#\d+\]", plan)
+        assert "REPARTITION_BY_NUM" in plan  # adaptive execution keeps the number of tasks
+        assert sorted(r["id"] for r in out.collect()) == [3, 4, 5, 6, 7, 8]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
