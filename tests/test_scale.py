@@ -323,3 +323,21 @@ def test_no_step_of_late_messages_takes_a_whole_key(spark):
         assert sorted(r["id"] for r in out.collect()) == [3, 4, 5, 6, 7, 8]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_streamed_book_takes_a_part_in_bounded_micro_batches_in_order(spark):
+    from pyspark.sql import functions as F
+
+    from ticklattice.operators.order_book import LEVELS, book_ticks
+    from ticklattice.streaming import book_windows as bw
+    from ticklattice.streaming import runner
+
+    level = F.array(F.struct((F.lit(100) + F.col("id") % 7).alias("price"), (F.lit(1) + F.col("id") % 3).alias("qty"))).cast(LEVELS)
+    m = spark.range(1000).repartition(7).select(
+        F.lit("p").alias("platform"), F.concat(F.lit("s"), F.col("id") % 2).alias("symbol"), "id", (F.col("id") * 10).alias("time_ms"),
+        F.when(F.col("id") % 100 < 2, "snapshot").otherwise("update").alias("type"), level.alias("bids"), F.array().cast(LEVELS).alias("asks"))
+    seen = []
+    watch = lambda q: seen.extend(p["numInputRows"] for p in q.recentProgress)
+    out = runner.run_in_parts([m.where("id < 500"), m.where("id >= 500")], bw.book_tick_stream, "bounded", watch, order="id", rows=100)
+    assert sum(seen) == 1000 and max(seen) <= 200
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, book_ticks(m).collect()))

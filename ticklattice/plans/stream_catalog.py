@@ -36,7 +36,7 @@ def halves(df: DataFrame, by: str = "time_ms", cut: int = CUT) -> list[DataFrame
     f"{f if f in WHOLE else rs(f)} AS {f}" for f in tw.TRADE_FEATURES) +
     " FROM trade_windows QUALIFY row_number() OVER (PARTITION BY platform, symbol ORDER BY window_end_ms DESC) > 2")
 def _st1(spark, sf):
-    out = runner.run_in_parts(halves(trades(spark, sf)), lambda s: ps.two_window_stream(s, WINDOW_MS), "two-windows")
+    out = runner.run_in_parts(halves(trades(spark, sf)), lambda s: ps.two_window_stream(s, WINDOW_MS), "two-windows", order="platform_trade_id")
     return out.select(*KEYS, *[(F.col(f) if f in WHOLE else r(F.col(f))).alias(f) for f in tw.TRADE_FEATURES])
 
 
@@ -79,12 +79,12 @@ def _st4(spark, sf):
 
 @query("book_sequence_state", cte(BOOKS, SEQUENCE, MERGED) + "SELECT * FROM merged")
 def _st5(spark, sf):
-    return runner.run_in_parts(halves(sequence(spark, sf), "arrival", CUT_ID), ps.sequence_stream, "sequence")
+    return runner.run_in_parts(halves(sequence(spark, sf), "arrival", CUT_ID), ps.sequence_stream, "sequence", order="arrival")
 
 
 @query("order_book_state_stream", cte(BOOKS, TICKS) + "SELECT platform, symbol, id, time_ms, bb, ba, bq0, aq0, tot_b, tot_a FROM ticks")
 def _st3(spark, sf):
-    out = runner.run_in_parts(halves(book_messages(spark, sf), "id", CUT_ID), bw.book_tick_stream, "ticks")
+    out = runner.run_in_parts(halves(book_messages(spark, sf), "id", CUT_ID), bw.book_tick_stream, "ticks", order="id")
     return out.select(*S, "id", "time_ms", "bb", "ba", "bq0", "aq0", "tot_b", "tot_a")
 
 
@@ -95,14 +95,14 @@ IDLE_MS = 5_000  # a key without messages for so long puts out what it holds ope
 @query("order_window", cte(*ORDER_CTE) + f"SELECT {K}, {', '.join(_out_sql(f) for f in ob.ORDER_FEATURES)} FROM order_windows")
 def _st7(spark, sf):
     parts = halves(book_messages(spark, sf), "id", CUT_ID)
-    out = runner.run_until_idle(parts, lambda s: bw.order_window_stream(s, WINDOW_MS, idle_ms=IDLE_MS), "order-windows", IDLE_MS)
+    out = runner.run_until_idle(parts, lambda s: bw.order_window_stream(s, WINDOW_MS, idle_ms=IDLE_MS), "order-windows", IDLE_MS, order="id")
     return out.select(*KEYS, *[_out(f) for f in ob.ORDER_FEATURES])
 
 
 # Every window of a trade stream: those still open when the trades end come out by the timer.
 @query("flush_open_window", cte(TRADES, TRADE_WINDOWS) + f"SELECT {K}, " + ", ".join(f"{f if f in WHOLE else rs(f)} AS {f}" for f in tw.TRADE_FEATURES) + " FROM trade_windows")
 def _st8(spark, sf):
-    out = runner.run_until_idle(halves(trades(spark, sf)), lambda s: ps.two_window_stream(s, WINDOW_MS, idle_ms=IDLE_MS), "open", IDLE_MS)
+    out = runner.run_until_idle(halves(trades(spark, sf)), lambda s: ps.two_window_stream(s, WINDOW_MS, idle_ms=IDLE_MS), "open", IDLE_MS, order="platform_trade_id")
     return out.select(*KEYS, *[(F.col(f) if f in WHOLE else r(F.col(f))).alias(f) for f in tw.TRADE_FEATURES])
 
 
@@ -189,7 +189,7 @@ SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY id) - 1 AS
 def _x3(spark, sf):
     rows = log(spark, sf).select("user_id", "id", "timestamp", "event_type")
     build = lambda s: ps.handle_rows(s.drop("timestamp"), ["user_id"], ChangeCounter(), ["id"], "user_id long, id long, changes long")
-    return runner.run_in_parts(halves(rows, "timestamp"), build, "handler")
+    return runner.run_in_parts(halves(rows, "timestamp"), build, "handler", order="id")
 
 
 @query("consumer_streams", cte(LOG) + """

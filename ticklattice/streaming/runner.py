@@ -7,10 +7,12 @@ from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ticklattice.session import scratch_path
+from ticklattice.session import scratch_path, stored
 
+BATCH_ROWS = 250_000  # rows of one micro-batch, about; a stateful task holds a key's rows of one
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -53,18 +55,38 @@ def replace_batch(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def add_files(part: DataFrame, path: str, order: str, rows: int = BATCH_ROWS) -> int:
+    """Add the rows to a source folder as files of about ``rows`` rows, one after the other in ``order``; returns how many files.
+
+    A file source takes files by their time of writing, so with ``max_files=1`` the micro-batches are in ``order`` and bounded.
+    """
+    spark = part.sparkSession
+    whole = stored(part, "arrived")
+    n = max(1, -(-whole.count() // rows))
+    cut = scratch_path(spark, "batches")
+    whole.repartitionByRange(n, order).withColumn("_batch", F.spark_partition_id()).write.partitionBy("_batch").parquet(cut)
+    batches = sorted(r[0] for r in spark.read.parquet(cut).select("_batch").distinct().toLocalIterator())
+    for b in batches:
+        spark.read.schema(part.schema).parquet(f"{cut}/_batch={b}").coalesce(1).write.mode("append").parquet(path)
+    return len(batches)
+
+
 def run_in_parts(parts: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame], label: str,
-                 watch: Callable[[StreamingQuery], None] | None = None) -> DataFrame:
+                 watch: Callable[[StreamingQuery], None] | None = None, *, order: str | None = None, rows: int = BATCH_ROWS) -> DataFrame:
     """Let a stream see the parts arrive one after the other and return what it put out.
 
-    Each part is added to a source folder and the query, always on the same checkpoint, runs until it has taken it in.
+    Each part is added to a source folder and the query, always on the same checkpoint, runs until it has taken it in: in one
+    micro-batch, or with ``order`` in as many as it has times ``rows`` rows, see ``add_files``.
     """
     spark = parts[0].sparkSession
     root = scratch_path(spark, label)
-    schema = None
+    schema, max_files = None, 1 if order else None
     for part in parts:
-        part.write.mode("append").parquet(f"{root}/in")
-        query = append_to(build(read_files(spark, f"{root}/in", part.schema)), f"{root}/out", f"{root}/checkpoint")
+        if order:
+            add_files(part, f"{root}/in", order, rows)
+        else:
+            part.write.mode("append").parquet(f"{root}/in")
+        query = append_to(build(read_files(spark, f"{root}/in", part.schema, max_files=max_files)), f"{root}/out", f"{root}/checkpoint")
         query.awaitTermination()
         if query.exception():
             raise query.exception()
@@ -75,24 +97,32 @@ def run_in_parts(parts: Sequence[DataFrame], build: Callable[[DataFrame], DataFr
 
 
 def run_until_idle(parts: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame], label: str, idle_ms: int, *,
-                   watch: Callable[[StreamingQuery], None] | None = None, limit_s: float = 900.0) -> DataFrame:
-    """A live query over the parts, a micro-batch each, that is stopped once the timers of all idle keys have run out.
+                   order: str | None = None, rows: int = BATCH_ROWS, watch: Callable[[StreamingQuery], None] | None = None, limit_s: float = 900.0) -> DataFrame:
+    """A live query over the parts, that is stopped once the timers of all idle keys have run out.
 
     Timers in processing time run out in micro-batches without rows, which a live query goes on making. The first of these that
-    begins ``idle_ms`` and a second after the last one with rows has run every timer. A part is one file, so the micro-batches of the parts come first.
+    begins ``idle_ms`` and a second after the last one with rows has run every timer. A part is one file, with ``order`` as many as it has times
+    ``rows`` rows, and each file is one micro-batch, so those with rows come first. ``limit_s`` bounds the wait after one of these.
     """
     spark = parts[0].sparkSession
     root = scratch_path(spark, label)
-    for part in parts:
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    files = len(parts)
+    if order:
+        files = sum(add_files(part, f"{root}/in", order, rows) for part in parts)
+    else:
+        for part in parts:
+            part.coalesce(1).write.mode("append").parquet(f"{root}/in")
     stream = build(read_files(spark, f"{root}/in", parts[0].schema, max_files=1))
     query = append_to(stream, f"{root}/out", f"{root}/checkpoint", interval="1 second")
-    end, begun = time.monotonic() + limit_s, {}
+    end, begun, taken = time.monotonic() + limit_s, {}, -1
     try:
         while True:
             begun.update({p["batchId"]: datetime.fromisoformat(p["timestamp"]).timestamp() for p in query.recentProgress})
-            if len(parts) - 1 in begun and max(begun.values()) >= begun[len(parts) - 1] + idle_ms / 1000 + 1:
+            if files - 1 in begun and max(begun.values()) >= begun[files - 1] + idle_ms / 1000 + 1:
                 break
+            newest = min(files - 1, max(begun, default=-1))
+            if newest > taken:
+                taken, end = newest, time.monotonic() + limit_s
             if query.exception():
                 raise query.exception()
             if time.monotonic() > end:
