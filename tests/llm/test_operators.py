@@ -252,6 +252,35 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_blocks_of_sets_take_little_memory_beyond_their_tokens():
+    import tracemalloc
+
+    import numpy as np
+
+    from ticklattice.llm.jaccard_join import _overlaps
+
+    rng = np.random.default_rng(1)
+    make = lambda n, size, of: [np.unique(rng.integers(0, of, size).astype(np.uint64)) for _ in range(n)]
+    left, right = make(9, 40, 300), make(7, 50, 300)
+    assert _overlaps(left, right, 16).tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    left, right = make(256, 2000, 1 << 60), make(256, 2000, 1 << 60)
+    tracemalloc.start()
+    _overlaps(left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 36 * 512 * 2000, peak / 512 / 2000  # bytes a token
+
+
+def test_near_duplicates_send_texts_a_few_at_a_time(spark, make_docs, monkeypatch):
+    from ticklattice.llm import jaccard_join
+
+    name, seen, stored = "spark.sql.execution.arrow.maxRecordsPerBatch", [], jaccard_join.stored
+    before = spark.conf.get(name)
+    monkeypatch.setattr(jaccard_join, "stored", lambda *a: seen.append(int(spark.conf.get(name))) or stored(*a))
+    drop_near_duplicates(make_docs([(1, "a b c d e f"), (2, "a b c d e f")]))
+    assert seen and max(seen) <= 512 and spark.conf.get(name) == before
+
+
 @pytest.mark.parametrize("operator", [exact_duplicates, similar_documents, lambda d: shards(d, 24), drop_near_duplicates, drop_exact_duplicates])
 def test_empty_tables_give_no_rows(make_docs, operator):
     assert operator(make_docs([])).count() == 0

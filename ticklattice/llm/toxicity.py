@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticklattice.llm.common import WORD_BYTES, WordCutter, mixed, shingle_sets, slices, text_bytes, without
+from ticklattice.llm.common import WORD_BYTES, WordCutter, mixed, shingle_sets, slices, small_batches, text_bytes, without
 from ticklattice.session import stored
 
 #: Lengths in bytes of the word starts that are features beside the whole word.
@@ -192,4 +192,6 @@ def severity(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", te
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that a model fitted on the labels does not find toxic, with all their columns."""
     found = severity(docs, train(docs, labels, id_col=id_col, text_col=text_col, **options), id_col=id_col, text_col=text_col)
-    return without(docs, stored(found.where("toxic").select("doc_id").distinct(), "toxic"), id_col)
+    with small_batches(docs.sparkSession):
+        gone = stored(found.where("toxic").select("doc_id").distinct(), "toxic")
+    return without(docs, gone, id_col)
