@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ticklattice.llm.common import table
+from ticklattice.llm.common import bound_batches, table
 from ticklattice.llm.decontamination import drop_contaminated
 from ticklattice.llm.exact_dedup import drop_exact_duplicates
 from ticklattice.llm.jaccard_join import drop_near_duplicates
@@ -42,7 +42,11 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All columns, the ids of the whole text and whether they decode to it again."""
+    """All columns, the ids of the whole text and whether they decode to it again.
+
+    The rows are made when the result is written, after this returns, so the smaller Arrow batches are the session's from here on.
+    """
+    bound_batches(spark)
     return encode(docs, model_bytes(TOKENIZER), ids_col="token_ids", check_col="decodes_back")
 
 

@@ -53,3 +53,18 @@ def test_each_stage_bears_odd_rows(spark, make_docs, odd_rows, tmp_path):
             assert out.columns[: len(docs.columns)] == docs.columns, name
             docs = out.select(docs.columns)
         assert (docs.count() > 0) == bool(rows)
+
+
+def test_token_ids_are_made_from_small_batches(spark, make_docs):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        docs = corpus_pipeline.token_ids(spark, make_docs([(i, "a b") for i in range(2000)]).coalesce(1), "")
+        rows = docs.mapInArrow(lambda batches: (b.slice(0, 1).select(["doc_id"]) for b in batches), "doc_id long")
+        assert rows.count() >= 4 and int(spark.conf.get(name)) <= 512
+        spark.conf.set(name, "100")
+        corpus_pipeline.token_ids(spark, docs, "")
+        assert spark.conf.get(name) == "100"
+    finally:
+        spark.conf.set(name, before)

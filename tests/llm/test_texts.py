@@ -352,3 +352,18 @@ def test_best_unigram_paths(model):
         for end in range(1, len(marked) + 1):
             best[end] = max(best[a] + pieces.scores[pieces.ids[marked[a:end]]] for a in range(end) if marked[a:end] in pieces.ids)
         assert sum(pieces.scores[i] for i in ids) == best[len(marked)] and piece_codec.decode_ids(ids, pieces) == text
+
+
+def test_an_encoder_keeps_little(model):
+    import random
+    import tracemalloc
+
+    draw = random.Random(3)
+    text = " ".join("".join(draw.choices("etaoinshrd", k=draw.randint(4, 8))) for _ in range(6000))
+    encoder = piece_codec.Encoder(piece_codec.Pieces(model))
+    tracemalloc.start()
+    encoder.encode([text])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    each = held / (len(encoder.words) + len(encoder.apart))  # bytes a word or pair
+    assert each < 100, each

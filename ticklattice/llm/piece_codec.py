@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -26,6 +27,8 @@ from ticklattice.llm.common import chunks, slices
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Characters of text that are cut and encoded at a time (but for a single longer text); they take some forty bytes of memory each.
+CHUNK = 1_000_000
 _END = ""  # the key under which a trie node holds its piece
 
 
@@ -84,7 +87,7 @@ class Pieces:
 
 
 class Encoder:
-    """Encodes words, keeping the pieces of those seen and of pairs tried; both stores are emptied when full."""
+    """Encodes words, keeping the ids of those seen as packed 32-bit numbers, and pairs tried; both stores are emptied when full."""
 
     LIMIT = 300_000
 
@@ -98,7 +101,7 @@ class Encoder:
         if len(self.apart) > 2 * self.LIMIT:
             self.apart.clear()
         x, y = self.p.names[a], self.p.names[b]
-        known = self.apart[a, b] = self.p.merged(x + y) == [x, y]
+        known = self.apart[a << 32 | b] = self.p.merged(x + y) == [x, y]
         return known
 
     def _stands(self, a: int) -> bool:
@@ -124,7 +127,7 @@ class Encoder:
                 continue
             if start:
                 before = forward[start][1]
-                fits = apart.get((before, i))
+                fits = apart.get(before << 32 | i)
                 if fits is None:
                     fits = self._stay_apart(before, i)
             else:
@@ -139,10 +142,12 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Work out the words not known yet, in sorted order."""
-        if len(self.words) + len(words) > self.LIMIT:
+        new = [w for w in words if w not in self.words]
+        if len(self.words) + len(new) > self.LIMIT:
             self.words.clear()
+            new = words
         last, forward = "", [(0.0, -1, 0)]
-        for word in sorted(w for w in words if w not in self.words):
+        for word in sorted(new):
             shared = len(os.path.commonprefix((last, word)))
             del forward[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
@@ -150,7 +155,7 @@ class Encoder:
             self.words[word] = self._back(word, forward)
             last = word
 
-    def _back(self, word: str, forward: list) -> tuple[int, ...]:
+    def _back(self, word: str, forward: list) -> bytes:
         path, end = [], len(word)
         while end:
             _, i, start = forward[end]
@@ -164,12 +169,16 @@ class Encoder:
                 out.extend(self.p.byte_ids[b] for b in word[start].encode())
             elif not out or out[-1] != self.p.unknown:
                 out.append(self.p.unknown)
-        return tuple(out)
+        return array("i", out).tobytes()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit numbers one after the other."""
         cut = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         self.learn(set(chain.from_iterable(cut)))
-        return [list(chain.from_iterable(map(self.words.__getitem__, words))) for words in cut]
+        return [b"".join(map(self.words.__getitem__, words)) for words in cut]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(raw, np.int32).tolist() for raw in self.packed(texts)]
 
 
 #: The encoder of this process, kept from task to task: (model, encoder).
@@ -188,9 +197,9 @@ def decode_ids(ids: list[int], pieces: Pieces) -> str:
     return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
-def _token_column(encoded: list[list[int]]) -> pa.Array:
-    offsets = np.cumsum([0, *map(len, encoded)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(encoded), np.int32, int(offsets[-1]))))
+def _token_column(packed: list[bytes]) -> pa.Array:
+    offsets = (np.cumsum([0, *map(len, packed)]) // 4).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
 
 def encode(docs: DataFrame, model: bytes, *, text_col: str = "text", ids_col: str = "token_ids", check_col: str | None = None) -> DataFrame:
@@ -208,11 +217,12 @@ def encode(docs: DataFrame, model: bytes, *, text_col: str = "text", ids_col: st
         pieces = encoder.p
         for batch in slices(batches):
             start = 0
-            for some in chunks([t or "" for t in batch.column(at).to_pylist()], 2_000_000):
-                encoded = encoder.encode(some)
-                out = [*batch.slice(start, len(some)).columns, _token_column(encoded)]
+            for some in chunks([t or "" for t in batch.column(at).to_pylist()], CHUNK):
+                packed = encoder.packed(some)
+                out = [*batch.slice(start, len(some)).columns, _token_column(packed)]
                 if check_col:
-                    out.append(pa.array([decode_ids(i, pieces) == t for i, t in zip(encoded, some)], pa.bool_()))
+                    same = [decode_ids(np.frombuffer(raw, np.int32).tolist(), pieces) == t for raw, t in zip(packed, some)]
+                    out.append(pa.array(same, pa.bool_()))
                 start += len(some)
                 yield pa.RecordBatch.from_arrays(out, [*batch.schema.names, *new])
 
