@@ -135,6 +135,70 @@ def test_language_model_keeps_all_features_and_fine_cells():
         assert any((x != y).any() for x, y in zip(lm.member_buckets(one, k), lm.member_buckets(moved, k)))
 
 
+def test_language_model_step_is_the_gradient_in_bounded_memory():
+    import tracemalloc
+
+    from ticklattice.llm import language_model as lm
+
+    r = np.random.default_rng(4)
+    n, rate = 100_000, 0.3  # one text of more tokens than a part has
+    table = r.normal(0, 0.5, (lm.BUCKETS, lm.CLASSES)).astype(np.float32)
+    buckets = [np.minimum(r.zipf(1.3, n), lm.BUCKETS - 1).astype(np.intp), r.integers(1, lm.BUCKETS, n)]
+    target = r.integers(0, lm.CLASSES, n)
+    for bias in (True, False):
+        x = sum(table[b].astype(np.float64) for b in buckets) + bias * table[0].astype(np.float64)
+        missed = (np.arange(lm.CLASSES) == target[:, None]) - np.exp(x) / np.exp(x).sum(axis=1, keepdims=True)
+        log_p = np.log(np.exp(x) / np.exp(x).sum(axis=1, keepdims=True))[np.arange(n), target]
+        assert np.allclose(lm._log_p(table, buckets, target, bias), log_p, atol=1e-5)
+        want = table.astype(np.float64)
+        want[0] += bias * rate * missed.mean(axis=0)
+        for b in buckets:
+            sums = np.zeros(table.shape)
+            np.add.at(sums, b, missed)
+            want += sums * (rate / (np.bincount(b, minlength=lm.BUCKETS) + 20))[:, None]
+        got = table.copy()
+        tracemalloc.start()
+        lm._step(got, buckets, target, rate, bias)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert np.abs(got - want).max() < 1e-5 and np.abs(got - table).max() > 0.01
+        assert peak < 30e6, peak
+
+
+def test_language_model_blocks_look_at_distinct_words_only(monkeypatch):
+    from ticklattice.llm import language_model as lm
+    from ticklattice.llm.common import WordCutter
+
+    cells, seen = lm._tail_cells, []
+
+    def counted(buf, starts, ends):
+        seen.append(len(starts))
+        return cells(buf, starts, ends)
+
+    monkeypatch.setattr(lm, "_tail_cells", counted)
+    r = random.Random(8)
+    words = [f"w{i:04d}" for i in range(500)]
+    texts = [b"", *(" ".join(r.choices(words[: 100 * i + 100], k=200_000)).encode() for i in range(5)), b" \n ", b"once w0001"]  # several chunks
+    ids = list(range(8))
+    batch = lm._block(ids, texts, 10, WordCutter())
+    assert sum(seen) <= 500 * len(seen) + 1
+    got, start = lm._Reader(batch, 0), 0
+    assert len(got.words) == len(set(got.words.tolist())) == 502
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in ids]
+    counts = Counter()
+    for text, size, out in zip(texts, got.sizes, held):
+        h, _ = WordCutter().cut([text])
+        own = got.words[got.tokens[start : start + size]]
+        assert own.tolist() == [*h.tolist(), int(lm.END_HASH)]
+        counts.update([] if out else own.tolist())
+        start += size
+    assert start == len(got.tokens) and got.held.tolist() == held
+    assert batch.column("counts").values.to_pylist() == [counts[w] for w in got.words.tolist()]
+    buf, starts, ends, h, _ = WordCutter().places([b" ".join(texts)])
+    want = dict(zip(h.tolist(), cells(buf, starts, ends).tolist())) | {int(lm.END_HASH): lm.CELLS - 1}
+    assert got.tail.tolist() == [want[w] for w in got.words.tolist()]
+
+
 def test_language_model_of_nothing(make_docs):
     assert score_texts(make_docs([])).count() == 0
 

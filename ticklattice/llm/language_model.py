@@ -39,6 +39,8 @@ BUCKETS = 1 << 13
 END_HASH = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # the end of a text; no word is a line feed
 BLOCK_BYTES = 32_000_000
 PART_TOKENS = 32_000
+#: So many tokens' sums at a time stay in a core's own cache.
+RUN_TOKENS = 2_000
 _PUNCTUATION = np.isin(np.arange(256), list(b".,;:!?\"')&%$#*-"))
 
 
@@ -66,20 +68,32 @@ def _list(values: list[np.ndarray], kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.empty(0), kind))
 
 
+def _numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes, where each stands first, and each hash's number among them."""
+    found = pa.array(hashes.view(np.int64)).dictionary_encode()
+    number, distinct = found.indices.to_numpy(), found.dictionary.to_numpy().view(np.uint64)
+    first = np.empty(len(distinct), np.intp)
+    first[number[::-1]] = np.arange(len(number) - 1, -1, -1)  # the last one written stays
+    return distinct, first, number
+
+
 def _block(ids: list, texts: list[bytes], modulus: int, cutter: WordCutter) -> pa.RecordBatch:
-    hashes, cells, sizes = [], [], []
+    hashes, cells, numbers, sizes, known = [], [], [], [], 0
     for some in chunks(texts, 2_000_000):
         buf, starts, ends, h, n = cutter.places(some)
-        after = np.cumsum(n)  # where each text's end goes
-        hashes.append(np.insert(h, after, END_HASH))
-        cells.append(np.insert(_tail_cells(buf, starts, ends), after, CELLS - 1))
+        distinct, first, number = _numbered(h)
+        hashes += [distinct, [END_HASH]]
+        cells += [_tail_cells(buf, starts[first], ends[first]), [CELLS - 1]]
+        numbers.append(np.insert(number + np.int32(known), np.cumsum(n), known + len(distinct)))
+        known += len(distinct) + 1
         sizes.append(n + 1)
     sizes = np.concatenate(sizes)
-    hashes, at, tok = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    hashes, at, number = _numbered(np.concatenate(hashes, dtype=np.uint64))
+    tok = number[np.concatenate(numbers)]
     often = np.argsort(-np.bincount(tok), kind="stable")  # small numbers for frequent words, which pack better
     rank = np.empty(len(often), np.int32)
     rank[often] = np.arange(len(often), dtype=np.int32)
-    tok, hashes, cells = rank[tok], hashes[often], np.concatenate(cells)[at[often]]
+    tok, hashes, cells = rank[tok], hashes[often], np.concatenate(cells, dtype=np.int16)[at[often]]
     held = np.array([zlib.crc32(str(i).encode()) % modulus == 0 if i is not None else False for i in ids])
     counts = np.bincount(tok[~np.repeat(held, sizes)], minlength=len(hashes)).astype(np.int64)
     packed = pa.compress(np.ascontiguousarray(tok.view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
@@ -160,61 +174,83 @@ class Weights:
     members: np.ndarray  # BUCKETS x MEMBERS
 
 
+#: The members' bucket of each bucket and class.
+_OWN = (((np.arange(BUCKETS * CLASSES) * 2654435761 & 0xFFFFFFFF) >> 9) % (BUCKETS - CLASSES) + CLASSES).astype(np.int16)
+
+
 def member_buckets(buckets: list[np.ndarray], k: np.ndarray) -> list[np.ndarray]:
-    own = [(((b * CLASSES + k) * 2654435761 & 0xFFFFFFFF) >> 9) % (BUCKETS - CLASSES) + CLASSES for b in buckets]
-    return [k.astype(np.intp), *own]
+    return [k.astype(np.intp), *(_OWN[b * CLASSES + k].astype(np.intp) for b in buckets)]
 
 
-_scratch: dict[tuple[int, int], np.ndarray] = {}
+_LEAST, _MOST = np.exp(np.float32([-60, 60]))
+_scratch: dict[tuple, np.ndarray] = {}
 
 
-def _room(n: int, width: int, slot: int) -> np.ndarray:
+def _room(shape: tuple[int, int], kind, slot: int) -> np.ndarray:
     """Memory used again and again, as fresh pages would cost more than the sums."""
-    held = _scratch.get((width, slot))
-    if held is None or len(held) < n:
-        held = _scratch[width, slot] = np.empty((max(n, 2 * PART_TOKENS), width), np.float32)
-    return held[:n]
+    held = _scratch.get((shape, kind, slot))
+    if held is None:
+        held = _scratch[shape, kind, slot] = np.empty(shape, kind)
+    return held
+
 
+def _runs(n: int, size: int) -> Iterator[slice]:
+    return (slice(i, min(i + size, n)) for i in range(0, n, size))
 
-def _log_softmax(table: np.ndarray, buckets: list[np.ndarray], bias: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of weight rows by token and outcome, and the log of the sum of their exponentials by token.
 
-    Weights are logs of shares and bounded steps from there, far from what would overflow. The first array is scratch.
+def _factors(table: np.ndarray, bias: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The weights' exponentials for the first feature, which takes the bias along, and for the others.
+
+    Weights are logs of shares and bounded steps from there, far from what would overflow, a few of them multiplied too.
     """
-    n, width = len(buckets[0]), table.shape[1]
-    x, more = _room(n, width, 0), _room(n, width, 1)
-    np.take(table, buckets[0], axis=0, mode="clip", out=x)
-    for b in buckets[1:]:
-        np.take(table, b, axis=0, mode="clip", out=more)
-        np.add(x, more, out=x)
-    if bias:
-        np.add(x, table[0], out=x)
-    np.clip(x, -60, 60, out=x)
-    np.exp(x, out=more)
-    return x, np.log(more @ np.ones(width, np.float32))
+    e = np.exp(table)
+    return e * e[0] if bias else e, e
+
+
+def _softmax(factors: tuple[np.ndarray, np.ndarray], buckets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For ``RUN_TOKENS`` at most: the exponentials of the sums of weight rows by token and outcome, and by token. The first array is scratch."""
+    n, width = len(buckets[0]), factors[0].shape[1]
+    x, more = (_room((RUN_TOKENS, width), np.float32, i)[:n] for i in (0, 1))
+    factors[0].take(buckets[0], axis=0, mode="clip", out=x)
+    for b in buckets[1:]:  # products of exponentials, as the exponential of each sum would cost more than all else here
+        factors[1].take(b, axis=0, mode="clip", out=more)
+        np.multiply(x, more, out=x)
+    np.clip(x, _LEAST, _MOST, out=x)
+    return x, x @ np.ones(width, np.float32)
 
 
 def _log_p(table: np.ndarray, buckets: list[np.ndarray], target: np.ndarray, bias: bool) -> np.ndarray:
-    x, total = _log_softmax(table, buckets, bias)
-    return x[np.arange(len(target)), target].astype(np.float64) - total
+    out, factors = np.empty(len(target)), _factors(table, bias)
+    for run in _runs(len(target), RUN_TOKENS):
+        x, total = _softmax(factors, [b[run] for b in buckets])
+        out[run] = np.log(x[np.arange(len(x)), target[run]].astype(np.float64)) - np.log(total.astype(np.float64))
+    return out
+
+
+def _missed(factors: tuple[np.ndarray, np.ndarray], buckets: list[np.ndarray], target: np.ndarray) -> np.ndarray:
+    """By outcome and token (``PART_TOKENS`` at most) what the target has and the model does not give it. The array is scratch."""
+    left = _room((factors[0].shape[1], PART_TOKENS), np.float64, 0)[:, : len(target)]
+    for run in _runs(len(target), RUN_TOKENS):
+        x, total = _softmax(factors, [b[run] for b in buckets])
+        np.multiply(x.T, -1 / total, out=left[:, run])
+    left[target, np.arange(len(target))] += 1
+    return left
 
 
 def _step(table: np.ndarray, buckets: list[np.ndarray], target: np.ndarray, rate: float, bias: bool) -> None:
     """One gradient step for ``P(target | buckets)``, each bucket's by the mean over its tokens, damped for rare ones."""
-    x, total = _log_softmax(table, buckets, bias)
-    width = table.shape[1]
-    p = np.subtract(total[:, None], x, out=x)
-    np.exp(np.negative(p, out=p), out=p)
-    np.negative(p, out=p)
-    p[np.arange(len(target)), target] += 1
-    if bias:
-        table[0] += rate * p.mean(axis=0)
-    flat, columns = p.ravel().astype(np.float64), np.arange(width)
-    for b in buckets:
-        share = rate / (np.bincount(b, minlength=len(table)) + 20)
-        sums = np.bincount((b[:, None] * width + columns).ravel(), weights=flat, minlength=table.size).reshape(table.shape)
-        sums *= share[:, None]
-        table += sums
+    n, rows, factors = len(target), len(table), _factors(table, bias)
+    shares = [rate / (np.bincount(b, minlength=rows) + 20) for b in buckets]
+    moves = np.zeros(table.shape[::-1])
+    for part in _runs(n, PART_TOKENS):
+        left = _missed(factors, [b[part] for b in buckets], target[part])
+        if bias:
+            moves[:, 0] += rate / n * left.sum(axis=1)
+        for b, share in zip(buckets, shares):
+            for move, of_outcome in zip(moves, left):  # one outcome at a time: its tokens and sums stay in the cache
+                move += share * np.bincount(b[part], weights=of_outcome, minlength=rows)
+    for run in _runs(rows, RUN_TOKENS):
+        table[run] += moves[:, run].T
 
 
 class _Reader:
@@ -293,15 +329,12 @@ def _counted(history: History):
     """Start from what each feature alone says: smoothed counts of classes and members by bucket."""
 
     def run(readers):
-        by_class, by_member = np.zeros(BUCKETS * CLASSES), np.zeros(BUCKETS * MEMBERS)
+        by_class, by_member = np.zeros(BUCKETS * CLASSES, np.int64), np.zeros(BUCKETS * MEMBERS, np.int64)
         for r in readers:
             for _, _, cells, buckets in r.parts(history, True):
                 k, j = cells // MEMBERS, cells % MEMBERS
-                by_class[:CLASSES] += np.bincount(k, minlength=CLASSES)
-                for b in buckets:
-                    by_class += np.bincount(b * CLASSES + k, minlength=BUCKETS * CLASSES)
-                for b in member_buckets(buckets, k):
-                    by_member += np.bincount(b * MEMBERS + j, minlength=BUCKETS * MEMBERS)
+                by_class += np.bincount(np.concatenate([k, *(b * CLASSES + k for b in buckets)]), minlength=len(by_class))
+                by_member += np.bincount(np.concatenate([b * MEMBERS + j for b in member_buckets(buckets, k)]), minlength=len(by_member))
         return by_class.astype(np.float32), by_member.astype(np.float32)
 
     return run
