@@ -323,3 +323,17 @@ def test_returns_to_and_from_a_price_of_0_are_infinite_in_batch_and_stream(spark
     assert both[2000] == ["nan", "inf", "nan"]
     got = show(runner.run_in_parts([t], lambda s: processors.two_window_stream(s, 2000), "zero"))
     assert got == {2000: both[2000]}  # the last two windows are still open
+
+
+def test_moves_from_0_are_infinite_or_no_number(spark):
+    df = spark.sql("SELECT * FROM VALUES (0D, 3D), (0D, 0D), (2D, 1D) AS t(a, b)").select(
+        F.struct(F.col("a").alias("high"), F.col("a").alias("low"), F.col("a").alias("close")).alias("first_past_features"),
+        F.struct(F.col("b").alias("high"), F.col("b").alias("low"), F.col("b").alias("close")).alias("relaxed_target"))
+    rules = ft.pct_rules([0.5], [-0.2])
+    out = ft.add_targets(df, rules).select("target_high_up_5p", "target_low_down_2p")
+    assert rows(out) == [(True, False), (True, False), (False, True)]  # as in SQL, where no number is above all others
+    keyed = df.select(F.lit("k").alias("platform"), F.lit("s").alias("symbol"), F.lit(1).alias("window_size_ms"), F.lit(1).alias("window_end_ms"), "*")
+    found = ft.pct_quantiles(keyed, quantiles=(0.0, 1.0)).orderBy("direction", "quantile").select("direction", "quantile", F.col("value").cast("string"))
+    assert rows(found) == [("down", 0.0, "-0.5"), ("down", 1.0, "-0.5"), ("up", 0.0, "Infinity"), ("up", 1.0, "NaN")]
+    named = ft.pct_targets_long(keyed, ft.round_thresholds(ft.pct_quantiles(keyed, quantiles=(0.0,))))
+    assert {r["target_name"] for r in named.collect()} == {f"target_{f}_{d}" for f in ("high", "low") for d in ("down_5p", "up_Infinityp")}
