@@ -341,3 +341,23 @@ def test_a_streamed_book_takes_a_part_in_bounded_micro_batches_in_order(spark):
     out = runner.run_in_parts([m.where("id < 500"), m.where("id >= 500")], bw.book_tick_stream, "bounded", watch, order="id", rows=100)
     assert sum(seen) == 1000 and max(seen) <= 200
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, book_ticks(m).collect()))
+
+
+def test_a_stream_has_no_more_stateful_tasks_than_cores(spark):
+    from ticklattice.streaming import runner
+    from ticklattice.streaming.processors import handle_rows
+
+    count = lambda state, row: ({"n": (state or {"n": 0})["n"] + 1}, [{"k": row["k"], "id": row["id"], "n": (state or {"n": 0})["n"]}])
+    rows = spark.range(600).selectExpr("id % 50 AS k", "id")
+    before, seen, got = spark.conf.get("spark.sql.shuffle.partitions"), [], {}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        for many in (False, True):  # a frame for each key, or its rows one by one
+            out = runner.run_in_parts([rows], lambda s: handle_rows(s, ["k"], count, ["id"], "k long, id long, n long", many_keys=many), "tasks",
+                                      lambda q: seen.extend(p["stateOperators"][0]["numShufflePartitions"] for p in q.recentProgress), order="id", rows=200)
+            got[many] = sorted(tuple(r) for r in out.collect())
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(seen) >= 6 and max(seen) <= max(8, spark.sparkContext.defaultParallelism)
+    assert got[False] == got[True] == sorted((i % 50, i, i // 50) for i in range(600))

@@ -13,7 +13,7 @@ from ticklattice.plans.feeds_catalog import LOG, MERGED, SEQUENCE, _feeds, log,
 from ticklattice.plans.registry import ORACLES, query
 from ticklattice.plans.views import BOOK_SLICE, BOOKS, T0_MS, TRADES, WINDOW_MS, book_messages, cte, trades
 from ticklattice.plans.windows_catalog import KEYS, TRADE_WINDOWS, WHOLE, K, r, rs
-from ticklattice.session import scratch_path
+from ticklattice.session import scratch_path, stored
 from ticklattice.sources import raw_log as raw
 from ticklattice.streaming import book_windows as bw
 from ticklattice.streaming import feed_merge as fm
@@ -27,7 +27,10 @@ CUT = T0_MS + 15 * 86_400_000  # the middle of the month: what lies before it ar
 CUT_ID = 1212 * BOOK_SLICE  # book messages arrive by id
 
 
-def halves(df: DataFrame, by: str = "time_ms", cut: int = CUT) -> list[DataFrame]:
+def halves(df: DataFrame, by: str = "time_ms", cut: int = CUT, *, once: bool = False) -> list[DataFrame]:
+    """Both parts; with ``once`` the rows are made and stored once for all that reads them."""
+    if once:
+        df = stored(df, "arrived")
     return [df.where(F.col(by) < cut), df.where(F.col(by) >= cut)]
 
 
@@ -36,7 +39,7 @@ def halves(df: DataFrame, by: str = "time_ms", cut: int = CUT) -> list[DataFrame
     f"{f if f in WHOLE else rs(f)} AS {f}" for f in tw.TRADE_FEATURES) +
     " FROM trade_windows QUALIFY row_number() OVER (PARTITION BY platform, symbol ORDER BY window_end_ms DESC) > 2")
 def _st1(spark, sf):
-    out = runner.run_in_parts(halves(trades(spark, sf)), lambda s: ps.two_window_stream(s, WINDOW_MS), "two-windows", order="platform_trade_id")
+    out = runner.run_in_parts(halves(trades(spark, sf), once=True), lambda s: ps.two_window_stream(s, WINDOW_MS), "two-windows", order="platform_trade_id")
     return out.select(*KEYS, *[(F.col(f) if f in WHOLE else r(F.col(f))).alias(f) for f in tw.TRADE_FEATURES])
 
 
@@ -79,12 +82,12 @@ def _st4(spark, sf):
 
 @query("book_sequence_state", cte(BOOKS, SEQUENCE, MERGED) + "SELECT * FROM merged")
 def _st5(spark, sf):
-    return runner.run_in_parts(halves(sequence(spark, sf), "arrival", CUT_ID), ps.sequence_stream, "sequence", order="arrival")
+    return runner.run_in_parts(halves(sequence(spark, sf), "arrival", CUT_ID, once=True), ps.sequence_stream, "sequence", order="arrival")
 
 
 @query("order_book_state_stream", cte(BOOKS, TICKS) + "SELECT platform, symbol, id, time_ms, bb, ba, bq0, aq0, tot_b, tot_a FROM ticks")
 def _st3(spark, sf):
-    out = runner.run_in_parts(halves(book_messages(spark, sf), "id", CUT_ID), bw.book_tick_stream, "ticks", order="id")
+    out = runner.run_in_parts(halves(book_messages(spark, sf), "id", CUT_ID, once=True), bw.book_tick_stream, "ticks", order="id")
     return out.select(*S, "id", "time_ms", "bb", "ba", "bq0", "aq0", "tot_b", "tot_a")
 
 
@@ -94,7 +97,7 @@ IDLE_MS = 5_000  # a key without messages for so long puts out what it holds ope
 # All windows and features come out of the stream; each key's last one by its timer.
 @query("order_window", cte(*ORDER_CTE) + f"SELECT {K}, {', '.join(_out_sql(f) for f in ob.ORDER_FEATURES)} FROM order_windows")
 def _st7(spark, sf):
-    parts = halves(book_messages(spark, sf), "id", CUT_ID)
+    parts = halves(book_messages(spark, sf), "id", CUT_ID, once=True)
     out = runner.run_until_idle(parts, lambda s: bw.order_window_stream(s, WINDOW_MS, idle_ms=IDLE_MS), "order-windows", IDLE_MS, order="id")
     return out.select(*KEYS, *[_out(f) for f in ob.ORDER_FEATURES])
 
@@ -102,7 +105,7 @@ def _st7(spark, sf):
 # Every window of a trade stream: those still open when the trades end come out by the timer.
 @query("flush_open_window", cte(TRADES, TRADE_WINDOWS) + f"SELECT {K}, " + ", ".join(f"{f if f in WHOLE else rs(f)} AS {f}" for f in tw.TRADE_FEATURES) + " FROM trade_windows")
 def _st8(spark, sf):
-    out = runner.run_until_idle(halves(trades(spark, sf)), lambda s: ps.two_window_stream(s, WINDOW_MS, idle_ms=IDLE_MS), "open", IDLE_MS, order="platform_trade_id")
+    out = runner.run_until_idle(halves(trades(spark, sf), once=True), lambda s: ps.two_window_stream(s, WINDOW_MS, idle_ms=IDLE_MS), "open", IDLE_MS, order="platform_trade_id")
     return out.select(*KEYS, *[(F.col(f) if f in WHOLE else r(F.col(f))).alias(f) for f in tw.TRADE_FEATURES])
 
 
@@ -188,8 +191,8 @@ class ChangeCounter:
 SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY id) - 1 AS changes FROM c""".replace("\n, c", ", c", 1))
 def _x3(spark, sf):
     rows = log(spark, sf).select("user_id", "id", "timestamp", "event_type")
-    build = lambda s: ps.handle_rows(s.drop("timestamp"), ["user_id"], ChangeCounter(), ["id"], "user_id long, id long, changes long")
-    return runner.run_in_parts(halves(rows, "timestamp"), build, "handler", order="id")
+    build = lambda s: ps.handle_rows(s.drop("timestamp"), ["user_id"], ChangeCounter(), ["id"], "user_id long, id long, changes long", many_keys=True)
+    return runner.run_in_parts(halves(rows, "timestamp", once=True), build, "handler", order="id")
 
 
 @query("consumer_streams", cte(LOG) + """

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ticklattice.session import scratch_path, stored
+from ticklattice.session import scratch_path
 
 BATCH_ROWS = 250_000  # rows of one micro-batch, about; a stateful task holds a key's rows of one
+STATE_TASKS = 8  # a stream's stateful tasks, or as many as there are cores
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -36,7 +38,24 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, *, interval: str |
     """
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
-    return writer.start()
+    with state_tasks(stream.sparkSession):
+        return writer.start()
+
+
+@contextmanager
+def state_tasks(spark: SparkSession) -> Iterator[None]:
+    """A stream started inside has no more stateful tasks than cores (``STATE_TASKS`` at least).
+
+    Each of them opens and commits a state store in every micro-batch, even without rows, which takes longer than the rows of a bounded
+    micro-batch. The number of a checkpoint's first run holds for all later ones.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), max(STATE_TASKS, spark.sparkContext.defaultParallelism))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, *, interval: str | None = None) -> StreamingQuery:
@@ -58,13 +77,12 @@ def replace_batch(path: str) -> Callable[[DataFrame, int], None]:
 def add_files(part: DataFrame, path: str, order: str, rows: int = BATCH_ROWS) -> int:
     """Add the rows to a source folder as files of about ``rows`` rows, one after the other in ``order``; returns how many files.
 
-    A file source takes files by their time of writing, so with ``max_files=1`` the micro-batches are in ``order`` and bounded.
+    ``part`` is read three times (counted, cut into ranges, dealt out), so hand in a stored table or a filter over one. A file source takes files by their time of writing, so with ``max_files=1`` the micro-batches are in ``order`` and bounded.
     """
     spark = part.sparkSession
-    whole = stored(part, "arrived")
-    n = max(1, -(-whole.count() // rows))
+    n = max(1, -(-part.count() // rows))
     cut = scratch_path(spark, "batches")
-    whole.repartitionByRange(n, order).withColumn("_batch", F.spark_partition_id()).write.partitionBy("_batch").parquet(cut)
+    part.repartitionByRange(n, order).withColumn("_batch", F.spark_partition_id()).write.partitionBy("_batch").parquet(cut)
     batches = sorted(r[0] for r in spark.read.parquet(cut).select("_batch").distinct().toLocalIterator())
     for b in batches:
         spark.read.schema(part.schema).parquet(f"{cut}/_batch={b}").coalesce(1).write.mode("append").parquet(path)
