@@ -300,3 +300,11 @@ def test_a_block_asks_no_one_below_for_its_proof(make_docs, monkeypatch):
 
 def test_crc_of_query_is_unsigned(spark):
     assert spark.range(1).select(F.crc32(F.lit(b"\x01\x00\x00\x00"))).first()[0] == zlib.crc32(b"\x01\x00\x00\x00")
+
+
+def test_stored_blocks_hold_a_leaf_a_row(spark):
+    """A stored row is a few kilobytes at most, whatever a block holds: Parquet buffers rows by the hundred and reads them by the thousand."""
+    leaves = spark.range(5000).select(F.lit("=a").alias("key"), F.col("id").alias("ord"), F.sha2(F.col("id").cast("string"), 256).alias("leaf"), F.struct("id").alias("payload"))
+    blocks, _ = merkle._tree(leaves, 8, 4)
+    assert blocks.agg(F.max(F.length(F.to_json(F.struct(*blocks.columns))))).first()[0] < 5000
+    assert blocks.count() == 5000 and blocks.where("first").count() == 2

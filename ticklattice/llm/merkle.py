@@ -75,7 +75,10 @@ def _joined(nodes: Column, start: Column, length: Column) -> Column:
 
 
 def _blocks(leaves: DataFrame, fanout: int, levels: int) -> DataFrame:
-    """``key, block, n_blocks, rows, root``: each block's leaves in order with their proofs inside the block, and its root."""
+    """``key, block, n_blocks, root, first, payload, leaf, proof``: each leaf with its proof inside its block and the block's root; one leaf is ``first``.
+
+    A block's leaves and proofs are megabytes, and Parquet writes and reads rows by the hundred or thousand, so blocks are stored leaf by leaf.
+    """
     size = fanout**levels
     rows = leaves.withColumn("block", F.floor(F.col("pos") / size)).groupBy("key", "block", "total").agg(
         F.sort_array(F.collect_list(F.struct("pos", "leaf", "payload"))).alias("rows")
@@ -100,10 +103,11 @@ def _blocks(leaves: DataFrame, fanout: int, levels: int) -> DataFrame:
     proofs = F.transform(
         "rows",
         lambda r, i: F.struct(
-            r["payload"].alias("payload"), r["leaf"].alias("leaf"), F.slice(F.array(*[siblings(j, i) for j in range(levels)]), F.lit(1), F.col("height")).alias("proof")
+            (i == 0).alias("first"), r["payload"].alias("payload"), r["leaf"].alias("leaf"),
+            F.slice(F.array(*[siblings(j, i) for j in range(levels)]), F.lit(1), F.col("height")).alias("proof"),
         ),
-    )
-    return rows.select("key", "block", "n_blocks", proofs.alias("rows"), F.element_at(f"level{levels}", 1).alias("root"))
+    )
+    return rows.select("key", "block", "n_blocks", F.element_at(f"level{levels}", 1).alias("root"), F.inline(proofs))
 
 
 _UPPER = "array<struct<before:string,after:string>>"
@@ -149,7 +153,7 @@ def _round(state: DataFrame, fanout: int, reach: int) -> DataFrame:
 def _tree(leaves: DataFrame, fanout: int, levels: int) -> tuple[DataFrame, DataFrame]:
     """The blocks with their leaves, and what each block knows of the nodes above it."""
     blocks = stored(_blocks(_numbered(leaves), fanout, levels), "blocks")
-    return blocks, stored(_butterfly(blocks, fanout), "uppers")
+    return blocks, stored(_butterfly(blocks.where("first").select("key", "block", "n_blocks", "root"), fanout), "uppers")
 
 
 def manifest(
@@ -181,17 +185,17 @@ def manifest(
 
     subroots = uppers.where("block = 0").select(F.lit("").alias("key"), F.col("key").alias("ord"), F.col("root").alias("leaf"), F.struct(F.col("key").alias("group")).alias("payload"))
     top_blocks, top_uppers = _tree(subroots, fanout, levels)
-    tops = top_blocks.select("key", "block", F.explode("rows").alias("r")).join(small_side(top_uppers, PROOF_ROWS), ["key", "block"]).select(
-        F.col("r.payload.group").alias("key"), F.col("root").alias("top"), F.concat("r.proof", "upper").alias("over")
+    tops = top_blocks.drop("root").join(small_side(top_uppers, PROOF_ROWS), ["key", "block"]).select(
+        F.col("payload.group").alias("key"), F.col("root").alias("top"), F.concat("proof", "upper").alias("over")
     )
     uppers = uppers.join(small_side(stored(tops, "tops"), PROOF_ROWS), "key").select("key", "block", F.col("root").alias("subroot"), "top", F.concat("upper", "over").alias("upper"))
     uppers = stored(uppers, "uppers")
-    rows = blocks.drop("root", "n_blocks").join(small_side(uppers, PROOF_ROWS), ["key", "block"]).select("subroot", "top", "upper", F.explode("rows").alias("r"))
+    rows = blocks.drop("root", "n_blocks", "first").join(small_side(uppers, PROOF_ROWS), ["key", "block"])
     return rows.select(
-        F.col("r.payload.id").alias("doc_id"),
-        F.col("r.leaf").alias("leaf"),
-        F.when(F.col("r.payload.other").isNull(), F.col("r.leaf")).otherwise(F.col("r.payload.other.claimed")).alias("claimed"),
+        F.col("payload.id").alias("doc_id"),
+        "leaf",
+        F.when(F.col("payload.other").isNull(), F.col("leaf")).otherwise(F.col("payload.other.claimed")).alias("claimed"),
         "subroot",
         F.col("top").alias("root"),
-        F.concat("r.proof", "upper").alias("proof"),
+        F.concat("proof", "upper").alias("proof"),
     )
