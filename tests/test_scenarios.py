@@ -337,3 +337,10 @@ def test_moves_from_0_are_infinite_or_no_number(spark):
     assert rows(found) == [("down", 0.0, "-0.5"), ("down", 1.0, "-0.5"), ("up", 0.0, "Infinity"), ("up", 1.0, "NaN")]
     named = ft.pct_targets_long(keyed, ft.round_thresholds(ft.pct_quantiles(keyed, quantiles=(0.0,))))
     assert {r["target_name"] for r in named.collect()} == {f"target_{f}_{d}" for f in ("high", "low") for d in ("down_5p", "up_Infinityp")}
+
+
+def test_a_windows_sums_are_added_in_order_of_id(spark):
+    data = [("k", "s", i, 1, p, q, 0) for i, p, q in ((0, "0.1", "0.1"), (70_000, "0.2", "0.2"), (70_001, "0.3", "0.3"))]
+    t = spark.createDataFrame(data, "platform string, symbol string, platform_trade_id long, time_ms long, price string, quantity string, side int")
+    row = tw.trade_windows(t, 10).first()
+    assert [row[f] for f in ("sum_vol", "buy_vol", "sum_price")] == [0.1 + 0.2 + 0.3] * 3 != [0.1 + (0.2 + 0.3)] * 3
