@@ -344,3 +344,10 @@ def test_a_windows_sums_are_added_in_order_of_id(spark):
     t = spark.createDataFrame(data, "platform string, symbol string, platform_trade_id long, time_ms long, price string, quantity string, side int")
     row = tw.trade_windows(t, 10).first()
     assert [row[f] for f in ("sum_vol", "buy_vol", "sum_price")] == [0.1 + 0.2 + 0.3] * 3 != [0.1 + (0.2 + 0.3)] * 3
+
+
+def test_samples_of_one_time_are_no_restarts(spark):
+    from ticklattice.operators import metrics as mx
+
+    samples = spark.createDataFrame([("a", 10, 4.0), ("a", 10, 3.0), ("a", 10, 2.0), ("a", 5, 1.0)], "k string, ts long, value double").coalesce(1)
+    assert rows(mx.rate(samples, ["k"], 1000, 1000)) == [("a", 1000, 3.0)]  # per second, over one second

@@ -37,8 +37,9 @@ def _over_range(rows: DataFrame, labels: Sequence[str], amount: str, range_ms: i
 
 
 def _with_previous(samples: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Samples of one time come in order of value, so that a counter's do not look like restarts."""
     sliced = samples.withColumn("_slice", F.floor(F.col("ts") / SLICE_MS))
-    return lag_one(sliced, labels, ["ts"], {"prev": "value"}).drop("_slice")
+    return lag_one(sliced, labels, ["ts", "value"], {"prev": "value"}).drop("_slice")
 
 
 def rate(samples: DataFrame, labels: Sequence[str], range_ms: int, step_ms: int) -> DataFrame:
